@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import secrets, sharding
+from quillgraph.llm import bpe, licenses, secrets, sharding, token_counts
 from quillgraph.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """The place of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -23,8 +30,25 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, order = token_counts.write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    counted = token_counts.count_tokens(files).join(order, ["file", "ordinal"])
+    return counted.select("doc_id", "n_tokens", "closed", "file", "ordinal")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op3_sharding": op3_sharding,
+    "op5_bpe_encoding_and_decoding": op5_bpe_encoding_and_decoding,
+    "op9_license_scans": op9_license_scans,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
