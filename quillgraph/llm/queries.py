@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, licenses, secrets, sharding, token_counts
+from quillgraph.llm import bpe, licenses, mixing, ngram_join, quality, secrets, sharding, token_counts
 from quillgraph.llm.common import table
 
 
+#: Target shares of the corpus' tokens.
+WEIGHTS = {"clean": 0.92, "junk": 0.05, "toxic": 0.03}
+
+
 def vocabulary(name: str) -> str:
     """The place of an installed public vocabulary file."""
     import public_tokenizers
@@ -22,6 +26,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
     return out.select(
@@ -30,10 +38,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
 
 
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WEIGHTS)
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -46,8 +62,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_sharding": op3_sharding,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe_encoding_and_decoding": op5_bpe_encoding_and_decoding,
+    "op7_mixing_sources": op7_mixing_sources,
     "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
 }

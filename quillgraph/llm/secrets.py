@@ -162,22 +162,31 @@ def discoveries(tested: DataFrame, fdr: float) -> DataFrame:
     return binned.where(F.col("_bin") >= cut).drop("_bin")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.001) -> DataFrame:
-    """(doc_id, base, found): spans as arrays of (start, r, end, kind), ordered; ``found`` is what the tests add."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.monotonically_increasing_id().alias("_row"),
-        base_spans(text).alias("base"),
-        F.when(text.rlike(TOKEN), _spans(text, TOKEN, "random")).otherwise(_none()).alias("long"),
-    )
-    free = F.filter("long", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    read = materialize(read.select("doc_id", "_row", "base", free.alias("long")), "secrets-read")
+def _read(text: Column) -> tuple[Column, Column]:
+    """Base spans of a text, and its other long tokens."""
+    base = base_spans(text)
+    long = F.when(text.rlike(TOKEN), _spans(text, TOKEN, "random")).otherwise(_none())
+    return base, long
+
+
+def _free(long: str, base: str) -> Column:
+    return F.filter(long, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+
+def _found(read: DataFrame, fdr: float) -> DataFrame:
+    """(row, found) of the rows (row, long) whose tokens the tests take for drawn characters."""
     tokens = read.where(F.size("long") > 0).select("_row", F.explode("long").alias("s")).select("_row", "s", F.col("s")["t"].alias("t"))
     tested = materialize(battery(tokens).select("_row", "s", "t", "p"), "secrets-tested")
     # a row is one document, so what is gathered here is one text's own spans
-    added = discoveries(tested, fdr).groupBy("_row").agg(F.collect_list("s").alias("found"))
-    out = read.join(added, "_row", "left")
+    return discoveries(tested, fdr).groupBy("_row").agg(F.collect_set("s").alias("found"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.001) -> DataFrame:
+    """(doc_id, base, found): spans as arrays of (start, r, end, kind), ordered; ``found`` is what the tests add."""
+    base, long = _read(F.coalesce(F.col(text_col), F.lit("")))
+    read = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), base.alias("base"), long.alias("long"))
+    read = materialize(read.select("doc_id", "_row", "base", _free("long", "base").alias("long")), "secrets-read")
+    out = read.join(_found(read, fdr), "_row", "left")
     return out.select("doc_id", _ordered(F.col("base")).alias("base"), _ordered(F.coalesce("found", _none())).alias("found"))
 
 
@@ -192,11 +201,38 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every base match in ``text_col`` replaced by ``mark``; all rows and columns stay."""
+def _masked(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with the ordered ``spans`` replaced; spans that overlap become one mark."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.aggregate(spans, start, step, rest)
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", fdr: float = 0.001) -> DataFrame:
+    """``docs`` with every span of :func:`scan` in ``text_col`` replaced by ``mark``; all rows and columns stay.
+
+    A null text stays null. A count of characters in a column ``n_chars`` follows the new text.
+    """
+    row, base, long = (free_name(docs, x) for x in ("row_key", "base_spans", "long_spans"))
     text = F.col(text_col)
-    hidden = F.regexp_replace(text, "AKIA[A-Z0-9]{16,}", mark)
-    value = ASSIGN[: ASSIGN.rindex("([A-Za-z0-9")]
-    hidden = F.regexp_replace(hidden, f"({value})[A-Za-z0-9+/_.=-]{{{ASSIGN_MIN},}}", "$1" + mark)
-    hidden = F.regexp_replace(hidden, HEX, mark)
-    return docs.withColumn(text_col, hidden)
+    own = docs.withColumn(row, F.xxhash64(id_col, text_col))
+    b, tokens = _read(F.coalesce(text, F.lit("")))
+    own = own.withColumns({base: b, long: tokens}).withColumn(long, _free(long, base))
+    read = materialize(own.where(F.size(long) > 0).select(F.col(row).alias("_row"), F.col(long).alias("long")), "secrets-long")
+    found = _found(read, fdr).withColumnRenamed("_row", row).withColumnRenamed("found", free_name(docs, "found_spans"))
+    extra = found.columns[1]
+    # only texts with other long tokens can have finds, so only these meet them
+    some = own.where(F.size(long) > 0).join(found, row, "left").withColumn(base, F.concat(base, F.coalesce(extra, _none()))).drop(extra)
+    both = own.where(F.size(long) == 0).unionByName(some)
+    out = both.withColumn(text_col, F.when(F.size(base) > 0, _masked(text, _ordered(F.col(base)), mark)).otherwise(text))
+    out = out.select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(F.length(text_col).cast(kind), F.col("n_chars")))
+    return out
