@@ -31,7 +31,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxic and junk documents are weighted out; clean ones keep their tokens."""
-    return mixing.draw(docs, table(spark, sf_dir, "labels"), {"clean": 1.0, "junk": 0.0, "toxic": 0.0}, anchor="clean", most=1)
+    return mixing.draw(docs, table(spark, sf_dir, "labels"), {"clean": 1.0, "junk": 0.0, "toxic": 0.0}, anchor="clean", most=1, snap=0.5)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
