@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, licenses, mixing, ngram_join, quality, secrets, sharding, token_counts
+from quillgraph.llm import bpe, cover_tree, licenses, mixing, ngram_join, projections, quality, secrets, sharding, token_counts
 from quillgraph.llm.common import table
 
 
@@ -46,10 +46,18 @@ def op5_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WEIGHTS)
 
 
+def op8_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -66,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe_encoding_and_decoding": op5_bpe_encoding_and_decoding,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_mixing_sources": op7_mixing_sources,
+    "op8_approximate_nearest_neighbours": op8_approximate_nearest_neighbours,
     "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
 }
