@@ -17,6 +17,7 @@ become their ids, as in the library; repeated rows are encoded each; no rows giv
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,14 @@ from pyspark.sql import functions as F
 
 CACHE = 200_000
 WINDOW = 8  # bytes of the rolling hash
-MASK = (1 << 9) - 1  # one cut in 512 bytes on average
-SPACE = (0x20, 0x0A)
+MASK = (1 << 10) - 1  # one cut in 1,024 bytes on average
+#: Words of these letters alone are one piece for the tokenizer, whose last token carries the word-end mark.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf]|\xc5\x93)+")
+END = "</w>"
 
 
 class ChunkEncoder:
-    """Encodes texts exactly like the tokenizer at ``path``, reusing chunks."""
+    """Encodes texts exactly like the tokenizer at ``path``, reusing chunks. Works on UTF-8 bytes."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -39,112 +42,146 @@ class ChunkEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-        self.joins: set[tuple[str, str, str]] = set()
-
-    def _encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        out = []
-        for e in self.lib.encode_batch_fast(texts, add_special_tokens=False):
-            ids = e.ids
-            out.append((np.array(ids, "<u4").tobytes(), self.lib.decode(ids, skip_special_tokens=False)))
-        return out
-
-    def learn(self, texts: list[str]) -> None:
-        """Words of ``texts`` that are not known yet are encoded together."""
-        new: set[str] = set()
-        for t in texts:
-            new.update(t.replace("\n", " ").split(" "))
-        new.difference_update(self.words)
-        if len(self.words) + len(new) > CACHE:
-            kept = {w: self.words[w] for w in (w for t in texts for w in t.replace("\n", " ").split(" ")) if w in self.words}
-            self.words = kept
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.tokens: list[bytes] = [b""] * (max(vocab.values()) + 1)
+        self.ends = np.zeros(len(self.tokens), bool)
+        for token, i in vocab.items():
+            self.tokens[i], self.ends[i] = token.encode(), token.endswith(END)
+        # as decode() joins: without a decoder, tokens are joined by a space
+        self.joined = self.lib.decoder is None
+        self.ids: dict[bytes, bytes] = {}
+        self.said: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self.joins: set[tuple[bytes, bytes, bytes]] = set()
+
+    def library(self, text: str) -> tuple[bytes, bytes]:
+        """Ids and decoded text as the library gives them."""
+        ids = self.lib.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes(), self.lib.decode(ids, skip_special_tokens=False).encode()
+
+    def _decoded(self, ids: list[int]) -> bytes:
+        if self.joined:
+            return b" ".join([self.tokens[i] for i in ids])
+        return self.lib.decode(ids, skip_special_tokens=False).encode()
+
+    def learn(self, data: bytes) -> None:
+        """Words of ``data`` that are not known yet are encoded together."""
+        words = set(data.split())
+        new = words.difference(self.ids)
+        if len(self.ids) + len(new) > CACHE:
+            kept = words - new
+            self.ids = {w: self.ids[w] for w in kept}
+            self.said = {w: self.said[w] for w in kept}
             self.chunks.clear()
             self.joins.clear()
-        todo = list(new)
-        self.words.update(zip(todo, self._encode(todo), strict=True))
-
-    def _inside(self, text: str) -> tuple[bytes, str]:
-        """Ids and decoded text of words between white space."""
-        got = [self.words[w] for w in text.replace("\n", " ").split(" ")]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
-
-    def _repaired(self, left: str, word: str, right: str) -> tuple[bytes, str]:
-        """The word that a cut went through; ``left`` and ``right`` are its neighbours."""
-        own = self.words.get(word) or self._encode([word])[0]
-        key = (left[-4:], word, right[:4])
+        plain, other = [], []
+        for w in new:
+            (plain if PLAIN.fullmatch(w) else other).append(w)
+        for start in range(0, len(plain), 2000):
+            part = plain[start : start + 2000]
+            ids = self.lib.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids
+            flat = np.array(ids, "<u4")
+            stop = np.flatnonzero(self.ends[flat]) + 1
+            if len(stop) != len(part):  # not one piece each after all
+                other += part
+                continue
+            raw, at = flat.tobytes(), 0
+            for w, e in zip(part, stop.tolist(), strict=True):
+                self.ids[w] = raw[4 * at : 4 * e]
+                self.said[w] = self._decoded(ids[at:e])
+                at = e
+        if other:
+            for w, e in zip(other, self.lib.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+                ids = e.ids
+                self.ids[w], self.said[w] = np.array(ids, "<u4").tobytes(), self._decoded(ids)
+
+    def _inside(self, chunk: bytes) -> tuple[bytes, bytes]:
+        """Ids and decoded text of a chunk from white space to white space."""
+        got = self.chunks.get(chunk)
+        if got is None:
+            words = chunk.split()
+            got = b"".join(map(self.ids.__getitem__, words)), b" ".join(filter(None, map(self.said.__getitem__, words)))
+            if len(self.chunks) < CACHE // 8:
+                self.chunks[chunk] = got
+        return got
+
+    def _repaired(self, left: bytes, word: bytes, right: bytes) -> tuple[bytes, bytes]:
+        """The word that a cut went through, encoded again, and between its neighbours until both ways agree."""
+        key = (left[-3:], word, right[:3])
         if key not in self.joins:
-            parts = [self.words.get(x) or self._encode([x])[0] for x in (left, word, right)]
-            whole = self._encode([f"{left} {word} {right}"])[0]
-            if whole[0] != b"".join(p[0] for p in parts):
+            wide = self.library(b" ".join([left, word, right]).decode())[0]
+            if wide != self.ids[left] + self.ids[word] + self.ids[right]:
                 raise ValueError("tokens depend on more than the words around a join")
             self.joins.add(key)
-        return own
-
-    def encode(self, texts: list[str], cuts: list[list[int]]) -> Iterator[tuple[bytes, str]]:
-        """Ids (little-endian, 32 bits) and decoded text of each text, cut at the code points ``cuts``."""
-        for text, at in zip(texts, cuts, strict=True):
-            ids, said, pos = [], [], 0
-
-            def put(x: tuple[bytes, str]) -> None:
-                ids.append(x[0])  # noqa: B023
-                if x[1]:
-                    said.append(x[1])  # noqa: B023
-
-            def inside(chunk: str) -> None:
-                got = self.chunks.get(chunk)
-                if got is None:
-                    got = self._inside(chunk)
-                    if len(self.chunks) < CACHE // 4:
-                        self.chunks[chunk] = got
-                put(got)
-
-            for cut in at:
-                if cut <= pos:
-                    continue
-                a = max(text.rfind(" ", pos, cut), text.rfind("\n", pos, cut))
-                ends = [e for e in (text.find(" ", cut), text.find("\n", cut)) if e >= 0]
-                b = min(ends) if ends else len(text)
-                if a < 0:
-                    continue  # no white space since the last join: the cut joins its own word's chunk
-                inside(text[pos:a])
-                if b > a + 1:
-                    put(self._repaired(text[pos:a].replace("\n", " ").rpartition(" ")[2], text[a + 1 : b], text[b + 1 : b + 64].replace("\n", " ").partition(" ")[0] if b + 1 < len(text) else ""))
-                pos = b + 1
-            if pos < len(text):
-                inside(text[pos:])
-            yield b"".join(ids), " ".join(said)
-
-
-def cut_points(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Byte positions of content-defined cuts in the texts that lie end to end in ``data``."""
-    if len(data) < WINDOW:
+        return self.ids[word], self.said[word]
+
+    def encode(self, data: bytes, joins: list[tuple[int, int]]) -> tuple[bytes, bytes]:
+        """Ids (little-endian, 32 bits) and decoded text; ``joins`` are the white space before and after each cut word."""
+        ids, said, pos = [], [], 0
+        for a, b in joins:
+            if a < pos or b <= a:
+                continue  # no white space since the last join: the cut lies in the same word
+            left, word, right = data[pos:a], data[a + 1 : b], data[b + 1 : b + 200].split(None, 1)
+            before = left.rsplit(None, 1)
+            parts = [self._inside(left)]
+            if word and before and right and right[0] in self.ids and word in self.ids:
+                parts.append(self._repaired(before[-1], word, right[0]))
+            elif word:
+                parts.append(self._inside(word))
+            for i, s in parts:
+                ids.append(i)
+                if s:
+                    said.append(s)
+            pos = b
+        i, s = self._inside(data[pos:])
+        return b"".join([*ids, i]), b" ".join([*said, s] if s else said)
+
+
+def cut_points(data: np.ndarray) -> np.ndarray:
+    """Positions of content-defined cuts: a rolling hash over the last bytes."""
+    if len(data) <= WINDOW:
         return np.zeros(0, np.int64)
     table = (np.arange(256, dtype=np.uint32) * np.uint32(2654435761)) ^ np.uint32(0x5BD1E995)
     v = table[data]
-    h = np.zeros(len(v) - WINDOW + 1, np.uint32)
+    h = np.zeros(len(v) - WINDOW, np.uint32)
     for k in range(WINDOW):
         h = (h << np.uint32(1)) ^ v[k : k + len(h)]
-    at = np.flatnonzero(((h >> np.uint32(5)) & np.uint32(MASK)) == 0) + WINDOW
-    at = at[at < len(data)]
-    at = at[(data[at] & 0xC0) != 0x80]  # between code points
-    doc = np.searchsorted(starts, at, "right") - 1
-    return at[at - starts[doc] >= WINDOW]  # the window lies within the text
-
-
-def _cuts(texts: pa.Array) -> list[list[int]]:
-    """Cuts of each text as code point positions."""
-    raw = [t.as_py() or "" for t in texts]
-    blobs = [r.encode() for r in raw]
-    data = np.frombuffer(b"".join(blobs), np.uint8)
-    lengths = np.array([len(b) for b in blobs], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    at = cut_points(data, starts[:-1])
-    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]) if len(data) else np.zeros(1, np.int64)
-    doc = np.searchsorted(starts, at, "right") - 1
-    place = points[at] - points[starts[doc]]
-    split = np.split(place, np.searchsorted(doc, np.arange(1, len(raw))))
-    return [s.tolist() for s in split] if len(raw) else []
+    return np.flatnonzero(((h >> np.uint32(5)) & np.uint32(MASK)) == 0) + WINDOW
+
+
+def prepared(texts: list[str]) -> list[tuple[bytes, list[tuple[int, int]]]]:
+    """Each text's bytes, with A-Z in lower case and a space before a full stop or comma that ends a word, and its joins.
+
+    Neither change moves a token: the tokenizer lowers all letters, and always parts letters from marks.
+    """
+    blobs = [t.encode() for t in texts]
+    lengths = np.array([len(b) + 1 for b in blobs], np.int64)
+    data = np.frombuffer(b"\n".join(blobs) + b"\n", np.uint8)
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    data = lower[data]
+    letter = (data >= 97) & (data <= 122)
+    space = (data == 32) | (data == 10)
+    mark = (data == 46) | (data == 44)
+    at = np.flatnonzero(letter[:-2] & mark[1:-1] & space[2:]) + 1
+    ends = np.cumsum(lengths)
+    ends += np.searchsorted(at, ends)
+    data = np.insert(data, at, 32)
+    blank = np.flatnonzero((data == 32) | (data == 10))
+    cuts = cut_points(data)
+    k = np.searchsorted(blank, cuts)  # the last byte is a line end
+    before = np.where(k > 0, blank[np.maximum(k - 1, 0)], -1)
+    after = blank[np.minimum(k, len(blank) - 1)]
+    doc = np.searchsorted(ends, cuts, "right")
+    starts = np.concatenate([[0], ends[:-1]])
+    good = (doc < len(texts)) & (before >= starts[np.minimum(doc, len(texts) - 1)])
+    cuts, before, after, doc = cuts[good], before[good], after[good], doc[good]
+    split = np.searchsorted(doc, np.arange(len(texts) + 1))
+    raw, out = data.tobytes(), []
+    for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        own = slice(split[i], split[i + 1])
+        out.append((raw[s : e - 1], list(zip((before[own] - s).tolist(), np.minimum(after[own] - s, e - 1 - s).tolist(), strict=True))))
+    return out
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -166,16 +203,21 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 part = batch.slice(start, end - start)
                 start = end
                 texts = [t.as_py() or "" for t in part.column(1)]
-                enc.learn(texts)
-                done = list(enc.encode(texts, _cuts(part.column(1))))
+                done: list = [None] * len(texts)
+                some = [k for k, t in enumerate(texts) if t and "<|" not in t]  # special tokens are matched before anything is lowered
+                ready = prepared([texts[k] for k in some]) if some else []
+                enc.learn(b"\n".join([d for d, _ in ready]))
+                for k, (data, joins) in zip(some, ready, strict=True):
+                    done[k] = enc.encode(data, joins)
+                done = [enc.library(texts[k]) if d is None else d for k, d in enumerate(done)]
                 cols = [
                     part.column(0),
                     pa.array([len(i) // 4 for i, _ in done], pa.int64()),
                     pa.array([hashlib.sha256(i).hexdigest() for i, _ in done]),
-                    pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in done]),
+                    pa.array([hashlib.sha256(s).hexdigest() for _, s in done]),
                 ]
                 if keep_ids:
-                    cols += [pa.array([i for i, _ in done], pa.binary()), pa.array([s for _, s in done], pa.string())]
+                    cols += [pa.array([i for i, _ in done], pa.binary()), pa.array([s.decode() for _, s in done], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_ids
