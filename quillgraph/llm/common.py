@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,37 +54,61 @@ def unit_hash(*cols, seed: str = "u") -> F.Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for every node of the edges that is not the smallest of its component."""
+    names, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
+    parent = list(range(len(names)))
+    for a, b in zip(inverse[: len(u)].tolist(), inverse[len(u) :].tolist(), strict=True):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        if a < b:
+            parent[b] = a
+        elif b < a:
+            parent[a] = b
+    for i, p in enumerate(parent):  # parents come first
+        parent[i] = parent[p]
+    root = np.array(parent, np.int64)
+    at = np.flatnonzero(root != np.arange(len(root)))
+    return names[at], names[root[at]]
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with the smallest node reachable, for every node that some edge names.
 
-    Alternating large-star and small-star passes: each halves the height of the trees, so the number of passes
-    grows with the logarithm of the longest chain. A pass is two aggregations over at most as many rows as edges;
-    a node of any degree only needs its minimum neighbour, which is partially aggregated before the shuffle.
+    A round deals every edge to the tasks of both its ends; a task joins all edges it got in a forest of its own and
+    gives each node its root. So a node's neighbours meet at each round, and chains halve. A task holds its share of the
+    edges, never a component. Rounds end when all trees are stars.
     """
-    cur = materialize(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
-    )
+    parts = partitions(edges.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs, held = [], [], 0
+        for batch in batches:
+            us.append(batch.column(0).to_numpy())
+            vs.append(batch.column(1).to_numpy())
+            held += batch.num_rows
+            if held > 2_000_000:  # what is joined already needs no more room than its nodes
+                u, v = _forest(np.concatenate(us), np.concatenate(vs))
+                us, vs, held = [u], [v], len(u)
+        if us:
+            u, v = _forest(np.concatenate(us), np.concatenate(vs))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    cur = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")
+    # each task first joins the edges that it holds already, many to a task: a dense group then sends on a forest of its
+    # members from each such task, not all its edges
+    cur = cur.coalesce(max(8, parts // 16)).mapInArrow(run, "u long, v long")
     while True:
-        # large star: every larger neighbour of u hangs on the smallest of u and its neighbours
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large.where("u <> v"), "cc")
-        # small star: u and its smaller neighbours hang on the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = (
-            joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(joined.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
-        nxt = materialize(small, "cc")
-        # done when every node has one parent and no parent has a parent: then the trees are stars
-        parents = nxt.select(F.col("v").alias("u")).distinct().join(nxt.select("u"), "u", "left_semi")
-        multi = nxt.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-        cur = nxt
-        if parents.unionByName(multi).isEmpty():
+        ends = cur.withColumn("at", F.explode(F.array("u", "v")))
+        cur = materialize(ends.repartition(parts, "at").select("u", "v").mapInArrow(run, "u long, v long"), "cc")
+        told = cur.distinct().select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("c")), F.struct(F.col("v").alias("n"), F.lit(0).alias("c")))).alias("x"))
+        nodes = told.groupBy("x.n").agg(F.sum("x.c").alias("ups"), F.min("x.c").alias("low"))
+        if nodes.where("ups > 1 or (ups = 1 and low = 0)").isEmpty():
             break
-    roots = cur.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    stars = cur.distinct()
+    roots = stars.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
