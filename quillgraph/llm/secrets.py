@@ -143,6 +143,8 @@ def battery(tokens: DataFrame, token: str = "t") -> DataFrame:
     x = -F.log(F.greatest(p_uniform, floor)) - F.log(F.greatest(p_runs, floor)) - F.log(F.greatest(p_serial, floor))
     # Fisher: twice x is chi-squared with 6 degrees of freedom, whose tail is a short sum
     fisher = F.exp(-x) * (1.0 + x + x * x / 2.0)
+    # a token of few letters is no drawn one, whatever its neighbours say
+    fisher = F.when((p_uniform > 0.5) | (p_serial > 0.5), F.lit(1.0)).otherwise(fisher)
     out = df.withColumns({"encoding": F.col("_enc")["name"], "chi2": k * F.col("_s") / F.col("_n") - F.col("_n"), "p": fisher})
     return out.drop("_c", "_enc", "_n", "_s", "_seen")
 
