@@ -80,4 +80,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+# links to components: the smallest id that the links reach
+_REACH = """
+reach as (select a, b from both_ways union select r.a, w.b from reach r join both_ways w on w.a = r.b),
+comp as (select a, least(a, min(b)) as component_id from reach group by a)"""
+
+_SIMILAR = (
+    r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g,
+  case when len(w) >= 5 then 5 else len(w) end as k from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.k = b.k and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from shared join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+both_ways as (select x as a, y as b from links union all select y, x from links),"""
+    + _REACH
+    + """
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id from documents d left join n on n.doc_id = d.doc_id left join comp on comp.a = d.doc_id"""
+)
+
+_NEAR = (
+    """with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select vec_id, label, e, sqrt(list_dot_product(e, e)) as norm from v),
+links as (select a.vec_id as x, b.vec_id as y from u a join u b on a.label = b.label and a.vec_id < b.vec_id and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+both_ways as (select x as a, y as b from links union all select y, x from links),"""
+    + _REACH
+    + """,
+n as (select a, count(*) as n from both_ways group by a)
+select e.vec_id, coalesce(n.n, 0) as n_links, coalesce(component_id, e.vec_id) as component_id, coalesce(component_id, e.vec_id) = e.vec_id as kept from embeddings e left join n on n.a = e.vec_id left join comp on comp.a = e.vec_id"""
+)
+
+
+def _license_sql() -> str:
+    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    words = lambda t: f"list_filter(string_split_regex({t}, '{gap}'), lambda x: x <> '')"
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split(' '))})" for p, label in licenses.PHRASES)
+    templates = ", ".join(f"({i}, '{label}', list_distinct(string_split('{t}', ' ')))" for i, (label, t) in enumerate(licenses.TEMPLATES))
+    return f"""with d as (select doc_id, lower(coalesce(text, '')) as t from documents),
+w as (select doc_id, t, {words('t')} as w from d),
+ph as (select * from (values {phrases}) v(phrase, label, k)),
+tm as (select * from (values {templates}) v(i, label, words)),
+pl as (select doc_id, label, s - 1 as start from w, ph, range(1, 1000000) r(s) where s <= len(w) - k + 1 and contains(t, split_part(phrase, ' ', 1)) and array_to_string(w[s : s + k - 1], ' ') = phrase),
+ln as (select doc_id, {words('line')} as w from (select doc_id, unnest(string_split(t, chr(10))) as line from d)),
+mt as (select doc_id, label, max(len(list_intersect(tm.words, ln.w)) / len(tm.words)) as c from ln, tm where len(list_intersect(tm.words, ln.w)) >= ceil(0.8 * len(tm.words) - 1e-9) group by 1, 2),
+b as (select doc_id, count(*) as n, min(start) as lo, max(start) as hi, string_agg(distinct label, ',' order by label) as labels from pl group by 1),
+a as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from pl union all select doc_id, label from mt) group by 1),
+m as (select doc_id, max(c) as c from mt group by 1)
+select w.doc_id, len(w.w) as n_words, coalesce(b.n, 0) as n_base, b.lo as first_word, b.hi as last_word, coalesce(b.labels, '') as base_labels, coalesce(a.labels, '') as labels,
+  case when b.n > 0 then 1.0 else coalesce(m.c, 0.0) end::double as score
+from w left join b using (doc_id) left join a using (doc_id) left join m using (doc_id)"""
+
+
+#: For operators that SQL can express; the others are held against brute force in tests.
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": _SIMILAR,
+    "op6_embedding_near_dedup": _NEAR,
+    "op9_license_scans": _license_sql(),
+}
