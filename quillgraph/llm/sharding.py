@@ -1,7 +1,9 @@
 """Sharding by the ``bytes`` law: minimax contiguous partition over ordered atomic groups (native).
 
 Rows with equal texts form one group and stay together. Groups are ordered; the smallest capacity for which a greedy
-pass fills at most the given number of shards is found by binary search, and the order is cut there.
+pass fills at most the given number of shards is found by binary search, and the order is cut under it: a plain greedy
+cut would leave all slack to the last shard, so each cut goes to the group end nearest an even share, as far as the
+capacity allows on both sides.
 
 Groups at least as large as an even share are a shard each, and lead the order: no capacity below theirs is feasible
 wherever they stand, and cutting the rest for its own smallest capacity keeps the other shards as even as can be.
@@ -71,7 +73,7 @@ class _Ends:
 
 
 def _smallest_capacity(ends: DataFrame, start: int, total: int, largest: int, shards: int) -> tuple[int, list[int]]:
-    """The smallest capacity for ends in (start, total], and the cuts of the greedy pass under it."""
+    """The smallest capacity for ends in (start, total], and cuts under it."""
     known = _Ends()
 
     def summary(df: DataFrame, width: int, part=None) -> list[tuple[int, int]]:
@@ -90,6 +92,40 @@ def _smallest_capacity(ends: DataFrame, start: int, total: int, largest: int, sh
                 return True, cuts, doubt
         return False, cuts, doubt
 
+    def refine(i: int) -> None:
+        a, b = known.known[i]
+        fine = summary(ends.where(F.col("e").between(a, b)), max(1, -(-(b - a + 1) // KNOTS)))
+        known.put(known.known[:i] + known.known[i + 1 :] + fine)
+
+    def last_end(x: int) -> int:
+        while (got := known.at_most(x))[2] >= 0:
+            refine(got[2])
+        return max(start, got[0])
+
+    def first_end(x: int) -> int:
+        while True:
+            i = bisect_right(known.first, x - 1) - 1  # the last range that begins before x
+            if i < 0 or known.known[i][1] < x:
+                return known.known[i + 1][0] if i + 1 < len(known.known) else total
+            if known.known[i][0] == known.known[i][1]:
+                return known.known[i][0]
+            refine(i)
+
+    def evened(cap: int) -> list[int]:
+        """Cuts under ``cap`` as near to even shares as it allows: no cut before what the rest needs, none beyond ``cap``."""
+        earliest = [total]
+        while len(earliest) < shards and earliest[0] - cap > start:
+            earliest.insert(0, first_end(earliest[0] - cap))
+        earliest = [start] * (shards - len(earliest)) + earliest
+        cuts, at = [], start
+        for k in range(1, shards):
+            even, top = start + (total - start) * k // shards, at + cap
+            below, above = last_end(min(even, top)), first_end(even)
+            at = above if above <= top and above - even < even - below else below
+            at = max(at, earliest[k - 1])
+            cuts.append(at)
+        return [*cuts, total]
+
     ends = ends.where(F.col("e") > start)
     known.put(summary(ends, max(1, -(-(total - start) // KNOTS))))
     low, high = max(largest, -(-(total - start) // shards)) - 1, total - start
@@ -106,7 +142,7 @@ def _smallest_capacity(ends: DataFrame, start: int, total: int, largest: int, sh
         high = b
         ok, cuts, doubt = greedy(high, 0)
         if high - low == 1 and not doubt:
-            return high, cuts
+            return high, evened(high)
         under, over = greedy(low + 1, 0)[1], greedy(high, 1)[1]
         spans = [(known.known[i][0], known.known[i][1]) for i in doubt]
         for k, top in enumerate(over):
