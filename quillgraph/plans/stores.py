@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import store
 from quillgraph.sources.tables import table
+from quillgraph.streaming import incremental
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -145,10 +146,28 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.date_format("w.start", "yyyyMMdd").alias("day"), "event_type", "n")
 
 
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = table(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)  # a stream reads a folder
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def streaming_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger by micro-batches: the rows of the batch form."""
+    out = incremental.drained(incremental.ledger(_event_stream(spark, d), "user_id", "event_type", "ts"), "ledger")
+    return out.select("user_id", "status")
+
+
+def streaming_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Daily counts from the stream, late rows within the watermark included."""
+    out = incremental.drained(incremental.windowed_counts(_event_stream(spark, d), "ts", "event_type"), "windows")
+    return out.select(F.date_format("window.start", "yyyyMMdd").alias("day"), "event_type", "n")
+
+
 QUERIES = {f.__name__: f for f in (
     upsert_merge, touch_unchanged, orphan_report, orphan_delete, progress_ledger, build_ring, cache_hits_misses, embedding_cache,
     relation_accumulate, relation_replace, contains_after_dedup, reachable_ids, incident_relations, edges_with_ends, store_consistency,
-    usage_by_stage, frontier_pending, event_windows,
+    usage_by_stage, frontier_pending, event_windows, streaming_ledger, streaming_windows,
 )}
 
 _EV = "ev as (select *, strftime(ts, '%Y%m%d') as build from events)"
@@ -191,5 +210,7 @@ ORACLE_SQL = {
     "usage_by_stage": f"""with {_EV}, a as (select event_type as stage, count(*) as c, round(sum(value), 2) as t from ev where build <= '20240110' group by 1), b as (select event_type as stage, count(*) as c, round(sum(value), 2) as t from ev where build <= '20240120' group by 1)
   select b.stage, b.c - coalesce(a.c, 0) as calls, round(b.t - coalesce(a.t, 0.0), 2) as tokens from b left join a on a.stage = b.stage""",
     "frontier_pending": "select distinct url from pages where page_id % 3 <> 0 and page_id % 5 <> 0 and url not in (select url from pages where page_id % 3 = 0 or page_id % 5 = 0)",
+    "streaming_ledger": "select user_id, max({'t': ts, 's': event_type}).s as status from events group by 1",
+    "streaming_windows": "select strftime(ts, '%Y%m%d') as day, event_type, count(*) as n from events group by 1, 2",
     "event_windows": "select strftime(ts, '%Y%m%d') as day, event_type, count(*) as n from events group by 1, 2",
 }

@@ -1,15 +1,28 @@
-"""Cutting the lineage of iterative operators."""
+"""Cutting the lineage of iterative operators, and folders for streaming state."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the folder that the session names; local sessions without one get their own."""
-    spark = df.sparkSession
+def base(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; a local session without one gets its own."""
+    kept = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not kept:
+        kept = tempfile.mkdtemp(prefix="quillgraph-")
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
+        spark.sparkContext.setCheckpointDir(kept)
+    return kept
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    return f"{base(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint: a long chain of joins is neither planned nor computed twice."""
+    base(df.sparkSession)
     return df.checkpoint()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators import store
+from quillgraph.sources.state import folder
 
 
 def first_seen(stream: DataFrame, key: str, event_time: str, delay: str = "1 hour") -> DataFrame:
@@ -37,6 +38,20 @@ def upsert_sink(spark, path: str, key: list[str], build_of, schema: str):
     return merge
 
 
+def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Everything that ``stream`` gives until its source is read, as a table of the last batch (complete mode) or of all."""
+    spark = stream.sparkSession
+    place = folder(spark, name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that runs again writes the same place
+        batch.write.mode("overwrite").parquet(f"{place}/out" if mode == "complete" else f"{place}/out/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+
+
 def server_sent_events(rows: DataFrame) -> DataFrame:
     """(seq, payload): rows (seq, event, data struct) as server-sent events."""
     return rows.select("seq", F.concat(F.lit("event: "), "event", F.lit("\ndata: "), F.to_json("data"), F.lit("\n\n")).alias("payload"))
