@@ -5,8 +5,8 @@
    domains apart is learned from the same rows. Each document gets posteriors of all domains.
 2. A document's rate is the number of times it should be drawn, at least 0. Rates solve least squares: the expected
    tokens of each domain, summed over documents as rate * tokens * posterior, should equal the domain's target.
-   Projected gradient descent starts at rate 1; each step adds up the residual over all documents and moves every rate
-   against its own share of it, cut at 0.
+   Projected gradient descent (with momentum) starts at rate 1; each step adds up the residual over all documents and
+   moves every rate against its own share of it, cut at 0.
 
 Posteriors depend on the bins alone, so documents of equal bins have equal rates at every step. Steps therefore run over
 the table of bin combinations with their token sums: its size is bounded by the number of combinations, and each step is
@@ -93,8 +93,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # the bound on labelled rows
     sample = materialize(rows.join(F.broadcast(picked), "doc_id").select("domain", "text"), "mix-sample")
     lexicon = _lexicon(sample)
-    low = F.lower("text")
-    listed = F.regexp_count(low, F.lit("\\b(" + "|".join(lexicon) + ")\\b")) if lexicon else F.lit(0)
+    either = "|".join(f"[{w[0].upper()}{w[0]}]{w[1:]}" for w in lexicon)
+    listed = F.regexp_count("text", F.lit(f"\\b(?:{either})\\b")) if lexicon else F.lit(0)
     cell = _bins(F.col("text"), listed)
     counted = sample.groupBy("domain", cell.alias("cell")).count().collect()  # at most domains times cells
     sizes = [len(e) + 1 for e in EDGES.values()]
@@ -128,30 +128,33 @@ def solve(mass: DataFrame, target: list[float], steps: int = STEPS, tolerance: f
     # residuals are weighed by the inverse Gram matrix: domains count alike, and a step of 1 is the longest that is stable
     weigh = np.linalg.pinv(g, rcond=1e-9)
     size = max(1.0, float(np.abs(target).max()))
-    rate, history, now = F.lit(1.0), [], mass.withColumn("base", F.lit(1.0))
-
-    def current() -> Column:
-        r = F.col("base")
-        for move in history:
-            step = F.lit(0.0)
-            for d in range(k):
-                step = step + p[d] * float(move[d])
-            r = F.greatest(F.lit(0.0), r - step)
-        return r
-
-    before = None
+    moves: list[Column] = []
+
+    def state() -> Column:
+        """Rate and look-ahead point after all moves so far, cell by cell: a fold, so nothing is written between steps."""
+        start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+        if not moves:
+            return start
+
+        def step(acc: Column, m: Column) -> Column:
+            share = F.aggregate(F.zip_with("p", m["g"], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+            r = F.greatest(F.lit(0.0), acc["y"] - share)
+            return F.struct(r.alias("r"), (r + m["b"] * (r - acc["r"])).alias("y"))
+
+        return F.aggregate(F.array(*moves), start, step)
+
+    at, before = 1.0, None
     for _ in range(steps):
-        rate = current()
-        sums = now.agg(*[F.sum(rate * F.col("tokens") * p[d]).alias(f"s{d}") for d in range(k)]).first()
+        ahead = mass.withColumn("_y", state()["y"])
+        sums = ahead.agg(*[F.sum(F.col("_y") * F.col("tokens") * p[d]).alias(f"s{d}") for d in range(k)]).first()
         residual = np.array([(sums[f"s{d}"] or 0.0) - target[d] for d in range(k)])
         if np.abs(residual).max() <= tolerance * size or (before is not None and np.abs(residual - before).max() <= 1e-7 * size):
             break
-        before = residual
-        history.append(weigh @ residual)
-        if len(history) == 8:  # a longer chain of expressions costs more than writing the rates
-            now = materialize(now.withColumn("base", current()), "mix-rates")
-            history = []
-    return now.select("cell", current().alias("rate"))
+        before, nxt = residual, (1.0 + math.sqrt(1.0 + 4.0 * at * at)) / 2.0
+        grad = F.array(*[F.lit(float(x)) for x in weigh @ residual])
+        moves.append(F.struct(grad.alias("g"), F.lit((at - 1.0) / nxt).alias("b")))
+        at = nxt
+    return mass.select("cell", state()["r"].alias("rate"))
 
 
 def mix(
