@@ -33,6 +33,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # shuffle files of a finished table go when the driver collects its garbage; a short job may never come to it
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,11 +56,16 @@ def unit_hash(*cols, seed: str = "u") -> F.Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) for every node of the edges that is not the smallest of its component."""
+def _forest(u: np.ndarray, v: np.ndarray, owned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for every node of the edges u > v that is not the smallest of its component.
+
+    With ``owned``, a node of another task is left out where its edge to the root came in as it is: its own task got that
+    edge as well and says what becomes of it, so each node is told once and what is new is told besides.
+    """
     names, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
+    left, right = inverse[: len(u)].astype(np.int64), inverse[len(u) :].astype(np.int64)
     parent = list(range(len(names)))
-    for a, b in zip(inverse[: len(u)].tolist(), inverse[len(u) :].tolist(), strict=True):
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
         while parent[a] != a:
             parent[a] = parent[parent[a]]
             a = parent[a]
@@ -73,6 +80,10 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parent[i] = parent[p]
     root = np.array(parent, np.int64)
     at = np.flatnonzero(root != np.arange(len(root)))
+    if owned is not None:
+        n = len(names)
+        known = np.isin(at * n + root[at], left * n + right)
+        at = at[np.isin(names[at], owned) | ~known]
     return names[at], names[root[at]]
 
 
@@ -86,16 +97,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     parts = partitions(edges.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs, held = [], [], 0
+        us, vs, owned, held = [], [], None, 0
         for batch in batches:
             us.append(batch.column(0).to_numpy())
             vs.append(batch.column(1).to_numpy())
+            if batch.num_columns > 2:
+                mine = np.unique(batch.column(2).to_numpy())
+                owned = mine if owned is None else np.union1d(owned, mine)
             held += batch.num_rows
             if held > 2_000_000:  # what is joined already needs no more room than its nodes
                 u, v = _forest(np.concatenate(us), np.concatenate(vs))
                 us, vs, held = [u], [v], len(u)
         if us:
-            u, v = _forest(np.concatenate(us), np.concatenate(vs))
+            u, v = _forest(np.concatenate(us), np.concatenate(vs), owned)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     cur = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")
@@ -104,7 +118,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     cur = cur.coalesce(max(8, parts // 16)).mapInArrow(run, "u long, v long")
     while True:
         ends = cur.withColumn("at", F.explode(F.array("u", "v")))
-        cur = materialize(ends.repartition(parts, "at").select("u", "v").mapInArrow(run, "u long, v long"), "cc")
+        cur = materialize(ends.repartition(parts, "at").select("u", "v", "at").mapInArrow(run, "u long, v long"), "cc")
         told = cur.distinct().select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("c")), F.struct(F.col("v").alias("n"), F.lit(0).alias("c")))).alias("x"))
         nodes = told.groupBy("x.n").agg(F.sum("x.c").alias("ups"), F.min("x.c").alias("low"))
         if nodes.where("ups > 1 or (ups = 1 and low = 0)").isEmpty():
