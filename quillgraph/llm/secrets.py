@@ -4,13 +4,16 @@ Base spans come from three fixed patterns. The method then looks at every other
 not inside a base span. The encoding is inferred from the characters used; for each token three tests ask whether it
 looks like drawn characters or like written words:
 
-* chi-squared uniformity over the encoding's alphabet, against the much more uneven letters of words;
-* runs of character classes (lower, upper, digit, other), which words and identifiers change seldom;
-* serial correlation of neighbouring codes, as the share of neighbours of which just one is a vowel, which is high in
-  words and low in drawn characters.
-
-Each test gives the probability that a *word-like* token looks this random. The three are combined by Fisher's method,
-weighted by length (a long token carries more evidence, so it gets more of the error budget), and the weighted
+* chi-squared over the encoding's ``k`` symbols: drawn characters give ``k - 1`` on average, written ones as much more as
+  their uneven use of these symbols makes;
+* runs of character classes (lower, upper, digit, other; low and high digits in decimal), which written tokens change
+  seldom;
+* serial correlation of neighbours: the share of which just one is a vowel, and in decimal and hex the share whose codes
+  differ by one at most; both are high in written tokens and low in drawn ones.
+
+What drawn and written tokens give is taken from the encoding (:func:`expected`); a test in which drawn characters of an
+encoding do not stand out from written ones (runs, where there is one class) has no say. Each test gives the probability
+that a *written* token looks this random. They are combined by Fisher's method, weighted by length (a long token carries more evidence, so it gets more of the error budget), and the weighted
 Benjamini-Hochberg step-up over all tokens of the corpus bounds the expected share of wrong finds at ``fdr``. The
 step-up needs each p-value's rank only, so p-values are counted in fixed logarithmic bins (at most ``BINS`` rows).
 
@@ -36,8 +39,20 @@ HEX = "[0-9a-f]{24,}"  # runs below 24 characters fail in any case
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 ASSIGN_MIN, ACCESS_MIN = 6, 20
 BINS, BIN_WIDTH = 4096, 0.05
-#: Word-like tokens: chance of a class change between neighbours; Simpson index of letters in words; share of vowel changes.
-WORD_CHANGE, WORD_SIMPSON, WORD_VOWEL = 0.12, 0.075, 0.62
+#: Written tokens: chance of a class change between neighbours; Simpson index of letters in words; share of vowel changes
+#: or of near codes; variance of a symbol's share, for that Simpson index.
+WORD_CHANGE, WORD_SIMPSON, WORD_VOWEL, WORD_VARIANCE = 0.12, 0.075, 0.62, 0.0009
+LOWER, UPPER, DIGITS, VOWELS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "aeiouy"
+#: fixed values: encodings, the first that fits counts: pattern, and symbols by class
+ENCODINGS = {
+    "decimal": ("^[0-9]+$", ("01234", "56789")),
+    "hex": ("^([0-9a-f]+|[0-9A-F]+)$", (DIGITS, "abcdef")),
+    "base32": ("^[A-Z2-7]+=*$", (UPPER, "234567")),
+    "letters": ("^([a-z]+|[A-Z]+)$", (LOWER,)),
+    "base36": ("^([a-z0-9]+|[A-Z0-9]+)$", (LOWER, DIGITS)),
+    "base64": ("", (LOWER, UPPER, DIGITS, "+/")),
+}
+NUMBERS = ("decimal", "hex")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -106,46 +121,73 @@ def _class(ch: Column) -> Column:
     return F.when(ch.between("a", "z"), 0).when(ch.between("A", "Z"), 1).when(ch.between("0", "9"), 2).otherwise(3)
 
 
+def expected(encoding: str) -> tuple[int, float, bool, bool]:
+    """Of an encoding: its number of symbols, the Simpson index of written tokens, and whether runs and serial tests tell.
+
+    Written tokens are as uneven over any alphabet as words are over 26 letters; words stay words among more symbols.
+    """
+    classes = ENCODINGS[encoding][1]
+    symbols = "".join(classes)
+    k = len(symbols)
+    change = 1.0 - sum((len(c) / k) ** 2 for c in classes)
+    if encoding in NUMBERS:
+        serial = sum(abs(i - j) <= 1 for i in range(k) for j in range(k)) / k**2
+    else:
+        vowels = sum(ch.lower() in VOWELS for ch in symbols) / k
+        serial = 2.0 * vowels * (1.0 - vowels)
+    return k, max(WORD_SIMPSON, 26 * WORD_SIMPSON / k), change > WORD_CHANGE, serial < WORD_VOWEL
+
+
 def battery(tokens: DataFrame, token: str = "t") -> DataFrame:
-    """Adds encoding, chi2, and p (the combined probability that a word-like token looks this random)."""
+    """Adds encoding, chi2, and p (the combined probability that a written token looks this random)."""
     t = F.col(token)
-    kind = lambda name, k: F.struct(F.lit(name).alias("name"), F.lit(float(k)).alias("k"))
-    alphabet = (
-        F.when(t.rlike("^[0-9]+$"), kind("decimal", 10))
-        .when(t.rlike("^([0-9a-f]+|[0-9A-F]+)$"), kind("hex", 16))
-        .when(t.rlike("^[A-Z2-7]+=*$"), kind("base32", 32))
-        .when(t.rlike("^([a-z]+|[A-Z]+)$"), kind("letters", 26))
-        .when(t.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), kind("base36", 36))
-        .otherwise(kind("base64", 64))
-    )
+
+    def kind(name: str) -> Column:
+        k, simpson, runs, serial = expected(name)
+        return F.struct(
+            F.lit(name).alias("name"), F.lit(float(k)).alias("k"), F.lit(simpson).alias("simpson"),
+            F.lit(runs).alias("runs"), F.lit(serial).alias("serial"), F.lit(name in NUMBERS).alias("number"),
+        )
+
+    *tried, last = ENCODINGS
+    alphabet = kind(last)
+    for name in reversed(tried):
+        alphabet = F.when(t.rlike(ENCODINGS[name][0]), kind(name)).otherwise(alphabet)
     df = tokens.withColumns({"_c": F.split(t, ""), "_enc": alphabet})
-    n = F.length(t).cast("double")
-    k = F.col("_enc")["k"]
-    simpson = (F.col("_s") - F.col("_n")) / (F.col("_n") * (F.col("_n") - 1.0))
-    df = df.withColumns({"_n": n, "_s": _counts(t, F.col("_c"))})
-    # words: Simpson index near WORD_SIMPSON, with the spread of a mean over pairs; random: 1 / k
-    spread = F.sqrt(2.0 * F.lit(WORD_SIMPSON) * (1.0 - WORD_SIMPSON) / (F.col("_n") * (F.col("_n") - 1.0)) + 4.0 * 0.0009 / F.col("_n"))
-    p_uniform = _normal_upper((F.lit(WORD_SIMPSON) - simpson) / spread)
+    df = df.withColumns({"_n": F.length(t).cast("double"), "_s": _counts(t, F.col("_c"))})
+    n, k, written = F.col("_n"), F.col("_enc")["k"], F.col("_enc")["simpson"]
+    chi2 = k * F.col("_s") / n - n
+    # drawn characters: k - 1 degrees of freedom; written ones: non-central, with the spread of a mean over pairs
+    mean = (k - 1.0) + (n - 1.0) * (k * written - 1.0)
+    variance = WORD_VARIANCE * F.pow(written / WORD_SIMPSON, F.lit(2.0))
+    spread = k * (n - 1.0) * F.sqrt(2.0 * written * (1.0 - written) / (n * (n - 1.0)) + 4.0 * variance / n)
+    p_uniform = _normal_upper((mean - chi2) / spread)
     pairs = F.arrays_zip(F.slice(F.col("_c"), F.lit(1), F.size("_c") - 1).alias("a"), F.slice(F.col("_c"), F.lit(2), F.size("_c") - 1).alias("b"))
-    vowel = lambda ch: F.lower(ch).isin("a", "e", "i", "o", "u", "y")
+    name, number = F.col("_enc")["name"], F.col("_enc")["number"]
+    vowel = lambda ch: F.lower(ch).isin(*VOWELS)
+    code = lambda ch: F.instr(F.lit(DIGITS + "abcdef"), F.lower(ch))
+    sort = lambda ch: F.when(name == "decimal", (ch >= "5").cast("int")).otherwise(_class(ch))
+    linked = lambda a, b: F.when(number, F.abs(code(a) - code(b)) <= 1).otherwise(vowel(a) != vowel(b))
     seen = F.aggregate(
-        pairs, F.struct(F.lit(0.0).alias("runs"), F.lit(0.0).alias("vowels")),
+        pairs, F.struct(F.lit(0.0).alias("runs"), F.lit(0.0).alias("linked")),
         lambda acc, x: F.struct(
-            (acc["runs"] + (_class(x["a"]) != _class(x["b"])).cast("double")).alias("runs"),
-            (acc["vowels"] + (vowel(x["a"]) != vowel(x["b"])).cast("double")).alias("vowels"),
+            (acc["runs"] + (sort(x["a"]) != sort(x["b"])).cast("double")).alias("runs"),
+            (acc["linked"] + linked(x["a"], x["b"]).cast("double")).alias("linked"),
         ),
     )
     df = df.withColumn("_seen", seen)
-    m = F.col("_n") - 1.0
+    m = n - 1.0
     p_runs = _normal_upper((F.col("_seen")["runs"] - 0.5 - m * WORD_CHANGE) / F.sqrt(m * WORD_CHANGE * (1 - WORD_CHANGE)))
-    p_serial = _normal_upper((m * WORD_VOWEL - F.col("_seen")["vowels"] - 0.5) / F.sqrt(m * WORD_VOWEL * (1 - WORD_VOWEL)))
-    floor = F.lit(1e-30)
-    x = -F.log(F.greatest(p_uniform, floor)) - F.log(F.greatest(p_runs, floor)) - F.log(F.greatest(p_serial, floor))
-    # Fisher: twice x is chi-squared with 6 degrees of freedom, whose tail is a short sum
-    fisher = F.exp(-x) * (1.0 + x + x * x / 2.0)
-    # a token of few letters is no drawn one, whatever its neighbours say
-    fisher = F.when((p_uniform > 0.5) | (p_serial > 0.5), F.lit(1.0)).otherwise(fisher)
-    out = df.withColumns({"encoding": F.col("_enc")["name"], "chi2": k * F.col("_s") / F.col("_n") - F.col("_n"), "p": fisher})
+    p_serial = _normal_upper((m * WORD_VOWEL - F.col("_seen")["linked"] - 0.5) / F.sqrt(m * WORD_VOWEL * (1 - WORD_VOWEL)))
+    evidence = lambda p, tells: F.when(tells, -F.log(F.greatest(p, F.lit(1e-30)))).otherwise(0.0)
+    runs, serial = F.col("_enc")["runs"], F.col("_enc")["serial"]
+    x = evidence(p_uniform, F.lit(True)) + evidence(p_runs, runs) + evidence(p_serial, serial)
+    # Fisher: twice x is chi-squared with two degrees of freedom for each test, whose tail is a short sum
+    tests = 1 + runs.cast("int") + serial.cast("int")
+    fisher = F.exp(-x) * (1.0 + F.when(tests >= 2, x).otherwise(0.0) + F.when(tests >= 3, x * x / 2.0).otherwise(0.0))
+    # a token less even in its alphabet, or more linked, than written ones is no drawn one, whatever the rest says
+    fisher = F.when((p_uniform > 0.5) | (serial & (p_serial > 0.5)), F.lit(1.0)).otherwise(fisher)
+    out = df.withColumns({"encoding": name, "chi2": chi2, "p": fisher})
     return out.drop("_c", "_enc", "_n", "_s", "_seen")
 
 

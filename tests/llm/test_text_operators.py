@@ -145,6 +145,27 @@ def test_secrets_battery_tells_drawn_tokens_from_words(spark):
         assert masked[i] == ("see [SECRET] here" if i in found else t)
 
 
+@pytest.mark.parametrize(
+    "symbols, sizes, encoding",
+    [("0123456789ABCDEF", (20, 24, 32), "hex"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (32, 40), "base32"), ("0123456789", (20, 21, 23), "decimal")],
+)
+def test_secrets_battery_infers_the_alphabet(spark, symbols, sizes, encoding):
+    """Drawn tokens of small alphabets are found; written ones of the same alphabets are not."""
+    rng = random.Random(21)
+    drawn = ["".join(rng.choice(symbols) for _ in range(sizes[i % len(sizes)])) for i in range(90)]
+    plain = ["internationalization" + "of" * (i % 4) + "communication" for i in range(40)] + ["INTERNATIONALIZATION"] * 5
+    plain += ["01234567890123456789", "98765432109876543210", "20240115093000000000", "11112222333344445555", "0" * 22, "0123456789ABCDEF" * 2, "DEADBEEF" * 3, "AAAABBBBCCCCDDDDEEEEFFFF"]
+    rows = list(enumerate(drawn + plain))
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in rows], "doc_id long, text string")
+    found = {r["doc_id"] for r in secrets.scan(df).collect() if r["found"]}
+    assert len(found & set(range(90))) >= 81
+    assert not found - set(range(90))
+    tested = secrets.battery(spark.createDataFrame(rows[:90], "i long, t string")).collect()
+    assert sum(r["encoding"] == encoding for r in tested) >= 88
+    # chi-squared of drawn tokens: as many degrees of freedom as symbols, less one
+    assert np.mean([r["chi2"] for r in tested if r["encoding"] == encoding]) == pytest.approx(len(symbols) - 1, rel=0.15)
+
+
 def test_redact_masks_base_spans(docs, texts):
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert len(got) == len(texts) and got[0] is None
