@@ -1,13 +1,16 @@
 """License scans: base phrases, and an exact set-similarity join of text blocks with templates (native).
 
-Words are runs of letters, digits and characters beyond ASCII, in lower case. A block is a line of the text. A block
-matches a template when it holds at least ``threshold`` of the template's distinct words. The join is exact:
+Words are runs of letters, digits and characters beyond ASCII, in lower case. A block is a line of the text, or a
+window: as many neighbouring words as the template has, anywhere in the text, so that a statement wrapped over lines is
+met whole. A block matches a template when it holds at least ``threshold`` of the template's distinct words. The join is
+exact:
 
 * template words are ordered by how many documents hold them, rarest first, counted over the whole corpus;
 * prefix filter: a match must hold one of the first ``m - need + 1`` words of the template, so only blocks with such a
   word are looked at;
 * length filter: a match has at least ``need`` distinct words;
-* positional filter: from the first shared word on, both sides must still have ``need`` words of the order;
+* positional filter: from the first shared word on, both sides must still have ``need`` words of the order; a window lies
+  within a template's length of such a word;
 * what is left is verified by intersecting the sets.
 
 The templates are a fixed list, so its side of the join has a fixed size and is broadcast.
@@ -82,7 +85,10 @@ def _templates(threshold: float) -> list[tuple[int, str, list[str], int]]:
 
 
 def matches(docs: DataFrame, order: dict[str, int], threshold: float, row: str = "_row") -> DataFrame:
-    """(row, block, template, label, containment) of every block that meets a template; ``docs`` has ``row`` and ``_low``."""
+    """(row, block, template, label, containment) of every block that meets a template; ``docs`` has ``row`` and ``_low``.
+
+    A window's block is null; of the windows around one word only the best is given.
+    """
     spark = docs.sparkSession
     rank = lambda w: (order.get(w, 0), w)
     places = {w: i for i, w in enumerate(sorted({w for t in _templates(threshold) for w in t[2]}, key=rank))}
@@ -90,26 +96,37 @@ def matches(docs: DataFrame, order: dict[str, int], threshold: float, row: str =
     for i, label, words, need in _templates(threshold):
         ordered = sorted(words, key=places.get)
         for at, w in enumerate(ordered[: len(words) - need + 1]):
-            side.append((i, label, w, at, len(words), need, ordered))
+            side.append((i, label, w, at, len(words), need, len(TEMPLATES[i][1].split(" ")), ordered))
     index = F.broadcast(
-        spark.createDataFrame(side, "template int, label string, word string, at int, m int, need int, ordered array<string>")
+        spark.createDataFrame(side, "template int, label string, word string, at int, m int, need int, reach int, ordered array<string>")
     )
     heads = sorted({s[2] for s in side})
     edge = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
     has_head = f"(?<!{edge})({'|'.join(heads)})(?!{edge})"
     known = F.array(*[F.lit(w) for w in places])  # in global order; words outside it cannot match
+    low = F.col("_low")
+    numbered = F.transform(F.split(low, "\n"), lambda x, i: F.struct(i.alias("block"), x.alias("line")))
+    near = F.transform(F.filter(numbered, lambda x: x["line"].rlike(has_head)), lambda x: F.struct(x["block"].alias("block"), F.array_distinct(_words(x["line"])).alias("set")))
+    placed = F.transform(_words(low), lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+    read = docs.where(low.rlike(has_head)).select(row, near.alias("_lines"), F.filter(placed, lambda x: x["w"].isin(*places)).alias("_seq"))
+    read = materialize(read, "license-near")  # of the texts that hold a head, only what the filters look at
     lines = (
-        docs.where(F.col("_low").rlike(has_head))
-        .select(row, F.posexplode(F.split("_low", "\n")).alias("block", "_line"))
-        .where(F.col("_line").rlike(has_head))
-        .select(row, "block", F.array_distinct(_words(F.col("_line"))).alias("_set"))
+        read.select(row, F.explode("_lines").alias("_x"))
+        .select(row, F.col("_x")["block"].alias("block"), F.col("_x")["set"].alias("_set"))
         .select(row, "block", F.size("_set").alias("_n"), F.array_intersect(known, "_set").alias("_own"))
         .select(row, "block", "_n", "_own", F.posexplode("_own").alias("_pos", "word"))
     )
     met = lines.join(index, "word").where((F.col("_n") >= F.col("need")) & (F.least(F.col("m") - F.col("at"), F.size("_own") - F.col("_pos")) >= F.col("need")))
     first = F.get(F.array_intersect("ordered", "_own"), F.lit(0)) == F.col("word")  # one row for each block and template
     met = met.where(first).withColumn("_same", F.size(F.array_intersect("ordered", "_own")))
-    return met.where("_same >= need").select(row, "block", "template", "label", (F.col("_same") / F.col("m")).alias("containment"))
+    # words of the templates around each head, then the windows that start at one of them
+    around = read.select(row, "_seq", F.explode("_seq").alias("_x")).where(F.col("_x")["w"].isin(*heads)).join(index, F.col("_x")["w"] == F.col("word"))
+    held = lambda of: F.size(F.array_intersect("ordered", F.transform(of, lambda y: y["w"])))
+    around = around.withColumn("_by", F.filter("_seq", lambda y: F.abs(y["i"] - F.col("_x")["i"]) < F.col("reach"))).where(held(F.col("_by")) >= F.col("need"))
+    window = lambda x: F.filter("_by", lambda y: (y["i"] >= x["i"]) & (y["i"] < x["i"] + F.col("reach")))
+    around = around.withColumns({"_same": F.array_max(F.transform("_by", lambda x: held(window(x)))), "block": F.lit(None).cast("int")})
+    both = [x.where("_same >= need").select(row, "block", "template", "label", (F.col("_same") / F.col("m")).alias("containment")) for x in (met, around)]
+    return both[0].unionByName(both[1])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:

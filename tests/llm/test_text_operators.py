@@ -287,6 +287,42 @@ def test_licenses(docs, texts):
         assert 0 <= r["score"] <= 1
 
 
+def test_licenses_wrapped_over_lines(spark):
+    """Statements wrapped over lines are met; the same words far apart are not."""
+    bsd = "Redistribution and use in source and binary forms, with or without"
+    rows = [
+        (f"# Copyright\n# {bsd}\n# modification, are permitted provided that", "bsd"),
+        ("Licensed under Creative Commons\nAttribution-NonCommercial", "cc-by-nc"),
+        ("see the Mozilla Public\n\nLicense Version 2.0", "mpl-2"),
+        ("Permission is hereby\ngranted, free of charge, to any\nperson obtaining a copy\nof this software", "mit"),
+        ("GNU General\n * Public\n * License, version 3", "gpl"),
+        ("the\n" * 3 + "MIT\nLicense", "mit"),
+        ("Creative Commons\n" + passage(random.Random(4), 30) + "\nAttribution-NonCommercial", ""),
+        ("Mozilla\nw1 w2 w3\nPublic License\nw4", ""),
+        ("creative w1 commons w2 attribution w3 w4 w5 noncommercial w6", "cc-by-nc"),  # words apart in one line, as before
+    ]
+    rng = random.Random(8)
+    words = sorted({w for _, t in licenses.TEMPLATES for w in t.split(" ")})
+    for _ in range(120):  # broken statements among words of all templates
+        lab, t = rng.choice(licenses.TEMPLATES)
+        part = [w for w in t.split(" ") if rng.random() < 0.9]
+        part = [rng.choice(words) for _ in range(rng.randint(0, 9))] + part + [rng.choice(WORDS + words) for _ in range(rng.randint(0, 9))]
+        rows.append(("".join(w + rng.choice(" \n ") for w in part), None))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["found"] for r in licenses.scan(df).collect()}
+    for i, (t, lab) in enumerate(rows):
+        want = {}
+        w = re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower())
+        for name, template in licenses.TEMPLATES:
+            m, n = set(template.split(" ")), len(template.split(" "))
+            blocks = [w[k : k + n] for k in range(len(w))] + [re.findall("[a-z0-9]+", x) for x in t.lower().split("\n")]
+            best = max(len(m & set(b)) / len(m) for b in blocks)
+            if best >= 0.8:
+                want[name] = max(best, want.get(name, 0))
+        assert {x["label"]: x["containment"] for x in got[i]} == pytest.approx(want), t
+        assert lab is None or ",".join(sorted(want)) == lab
+
+
 def test_token_counts_stitch_blocks(docs, texts):
     path = vocabulary("byte_bpe_50k.tiktoken")
     enc = token_counts.encoder(path)
