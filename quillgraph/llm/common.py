@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of edges that a task holds before it compresses them.
+HELD = 2_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,6 +90,25 @@ def _forest(u: np.ndarray, v: np.ndarray, owned: np.ndarray | None = None) -> tu
     return names[at], names[root[at]]
 
 
+def _told(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The forest of a task's edges (u, v) or (u, v, at); beyond ``most`` held rows, what is joined already is compressed."""
+    us, vs, owned, held, compressed = [], [], None, 0, False
+    for batch in batches:
+        us.append(batch.column(0).to_numpy())
+        vs.append(batch.column(1).to_numpy())
+        if batch.num_columns > 2:
+            mine = np.unique(batch.column(2).to_numpy())
+            owned = mine if owned is None else np.union1d(owned, mine)
+        held += batch.num_rows
+        if held > most:  # what is joined already needs no more room than its nodes
+            u, v = _forest(np.concatenate(us), np.concatenate(vs))
+            us, vs, held, compressed = [u], [v], len(u), True
+    if us:
+        # after compression an edge to a root may be derived, and so unknown to the node's own task: all is told
+        u, v = _forest(np.concatenate(us), np.concatenate(vs), None if compressed else owned)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with the smallest node reachable, for every node that some edge names.
 
@@ -96,21 +118,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     parts = partitions(edges.sparkSession)
 
+    most = HELD
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs, owned, held = [], [], None, 0
-        for batch in batches:
-            us.append(batch.column(0).to_numpy())
-            vs.append(batch.column(1).to_numpy())
-            if batch.num_columns > 2:
-                mine = np.unique(batch.column(2).to_numpy())
-                owned = mine if owned is None else np.union1d(owned, mine)
-            held += batch.num_rows
-            if held > 2_000_000:  # what is joined already needs no more room than its nodes
-                u, v = _forest(np.concatenate(us), np.concatenate(vs))
-                us, vs, held = [u], [v], len(u)
-        if us:
-            u, v = _forest(np.concatenate(us), np.concatenate(vs), owned)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        return _told(batches, most)
 
     cur = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")
     # each task first joins the edges that it holds already, many to a task: a dense group then sends on a forest of its
