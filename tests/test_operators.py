@@ -236,3 +236,13 @@ def test_server_sent_events(spark):
     text = incremental.server_sent_events(rows).select(F.col("payload").alias("text"))
     got = incremental.parse_events(text).first()
     assert (got["event"], got["data"]) == ("token", '{"t":"a"}')
+
+
+def test_boilerplate_is_looked_for_in_the_whole_text(spark, tmp_path):
+    from quillgraph.plans import texts
+
+    body = "plain words of a page. " * 20  # more than 200 characters
+    rows = [(6, body + "Copyright © 2024"), (7, body + "We use cookies, see our privacy page"), (14, body), (15, "/ menu open close back " + body)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["is_boilerplate"] for r in texts.block_boilerplate_filter(spark, str(tmp_path)).collect()}
+    assert got == {6: True, 7: True, 14: False, 15: False}
