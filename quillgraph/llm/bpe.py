@@ -1,14 +1,18 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the last bytes picks cut points, which so depend on content alone: passages that documents share
-are cut into the same chunks. A chunk's inside, from its first to its last white space, is encoded once in a task and
-then reused. A cut may fall within a word, where the two chunks' encodings do not join; the join is repaired by encoding
-the words around it again, wider by a word on each side until the tokens of the wider and the narrower window agree.
-Within a chunk that is new, words are looked up in the same way: white space always separates tokens here, and the join
-check above proves it for each pair of neighbours it meets.
+are cut into the same chunks. A chunk is encoded once in a task and then reused. A cut may fall anywhere, where the two
+chunks' encodings need not join; the join is repaired by encoding a window around it again, wider until the tokens at its
+edges agree with those of both sides (at last the window holds both chunks). This holds for any vocabulary
+(:meth:`ChunkEncoder.whole`).
 
-Caches are per task and bounded (``CACHE`` entries, then emptied): sharing chunks between tasks would take a shuffle of
-all texts, which is more disk than the encoding may use.
+Where the vocabulary lowers all letters and always parts tokens at white space, which is read off its file and tried on
+the library (:meth:`ChunkEncoder.by_words`), a new chunk is put together from its words, each encoded once in a task, and
+only the word that a cut went through is encoded again, with more neighbours until wider and narrower windows agree. If
+they never do, the text goes the general way.
+
+Caches are per task and bounded (``CACHE`` entries, then emptied and filled anew): sharing chunks between tasks would
+take a shuffle of all texts and of all ids, which is more disk than the encoding may use.
 
 Defined results: a null or empty text has no ids, and the empty string decodes from it; special token strings in a text
 become their ids, as in the library; repeated rows are encoded each; no rows give no rows; other columns are not read.
@@ -17,6 +21,7 @@ become their ids, as in the library; repeated rows are encoded each; no rows giv
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -26,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE = 200_000
+REPAIR, SPAN = 8, 32  # words, and tokens, around a join; the latter doubles until both sides agree
 WINDOW = 8  # bytes of the rolling hash
 MASK = (1 << 10) - 1  # one cut in 1,024 bytes on average
 #: Words of these letters alone are one piece for the tokenizer, whose last token carries the word-end mark.
@@ -53,6 +59,68 @@ class ChunkEncoder:
         self.said: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
         self.joins: set[tuple[bytes, bytes, bytes]] = set()
+        self.pieces: dict[str, tuple[list[int], list[tuple[int, int]]]] = {}
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.by_words = self._by_words(path)
+
+    def _by_words(self, path: str) -> bool:
+        """Whether white space always parts tokens here, case never counts, and marks are always parted from letters: only
+        then may words stand for chunks. Read off the vocabulary file, and tried on the library itself."""
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        steps = said.get("normalizer") or {}
+        lowers = any(n.get("type") == "Lowercase" for n in steps.get("normalizers", [steps]))
+        if not lowers or not self.ends.any():
+            return False
+        ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
+        tries = ("Ab cd", "a-b c", "x1 y2", "it's so", "no. yes,", "é Ü ß", "a\nb", "a\u00a0b")
+        return all(ids(t) == ids(t.lower()) == [i for w in t.split() for i in ids(w)] for t in tries) and ids("ab.") == ids("ab .")
+
+    def whole(self, text: str) -> tuple[bytes, bytes]:
+        """A text by chunks that the library encodes, each once; joins are repaired by encoding again around them.
+
+        A chunk's tokens are kept with their places. At a join the window from ``SPAN`` tokens before to ``SPAN`` after is
+        encoded; where it begins and ends with tokens that both sides have at these places, it replaces what lies between;
+        else it is made twice as wide, and at last holds both chunks whole.
+        """
+        if self.special(text) or len(text) < 2 * SPAN:
+            return self.library(text)
+        data = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        cuts = [0, *cut_points((data & 0xFF).astype(np.uint8)).tolist(), len(text)]
+        ids, at = [], []  # of the text so far: token, and (start, end) in it
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            chunk = text[s:e]
+            if not chunk:
+                continue
+            got = self.pieces.get(chunk)
+            if got is None:
+                enc = self.lib.encode(chunk, add_special_tokens=False)
+                got = enc.ids, enc.offsets
+                if len(self.pieces) >= CACHE // 8:
+                    self.pieces.clear()
+                self.pieces[chunk] = got
+            new_ids, new_at = got[0], [(a + s, b + s) for a, b in got[1]]
+            if not ids:
+                ids, at = list(new_ids), new_at
+                continue
+            span = SPAN
+            while True:
+                i, j = max(0, len(ids) - span), min(len(new_ids), span)
+                begin = at[i][0] if i else 0
+                end = new_at[j - 1][1] if j < len(new_ids) else e
+                enc = self.lib.encode(text[begin:end], add_special_tokens=False)
+                w_at = [(a + begin, b + begin) for a, b in enc.offsets]
+                k = SPAN // 2  # tokens that must agree at each side, unless the window holds the side whole
+                left = not i or (enc.ids[:k] == ids[i : i + k] and w_at[:k] == at[i : i + k])
+                right = j == len(new_ids) or (enc.ids[-k:] == new_ids[j - k : j] and w_at[-k:] == new_at[j - k : j])
+                if left and right:
+                    ids[i:], at[i:] = [*enc.ids, *new_ids[j:]], [*w_at, *new_at[j:]]
+                    break
+                span *= 2
+        return np.array(ids, "<u4").tobytes(), self.lib.decode(ids, skip_special_tokens=False).encode()
+
+    def special(self, text: str) -> bool:
+        return any(t in text for t in self.added)
 
     def library(self, text: str) -> tuple[bytes, bytes]:
         """Ids and decoded text as the library gives them."""
@@ -101,31 +169,48 @@ class ChunkEncoder:
         if got is None:
             words = chunk.split()
             got = b"".join(map(self.ids.__getitem__, words)), b" ".join(filter(None, map(self.said.__getitem__, words)))
-            if len(self.chunks) < CACHE // 8:
-                self.chunks[chunk] = got
+            if len(self.chunks) >= CACHE // 8:
+                self.chunks.clear()
+            self.chunks[chunk] = got
         return got
 
-    def _repaired(self, left: bytes, word: bytes, right: bytes) -> tuple[bytes, bytes]:
-        """The word that a cut went through, encoded again, and between its neighbours until both ways agree."""
-        key = (left[-3:], word, right[:3])
-        if key not in self.joins:
-            wide = self.library(b" ".join([left, word, right]).decode())[0]
-            if wide != self.ids[left] + self.ids[word] + self.ids[right]:
-                raise ValueError("tokens depend on more than the words around a join")
-            self.joins.add(key)
-        return self.ids[word], self.said[word]
-
-    def encode(self, data: bytes, joins: list[tuple[int, int]]) -> tuple[bytes, bytes]:
-        """Ids (little-endian, 32 bits) and decoded text; ``joins`` are the white space before and after each cut word."""
+    def _repaired(self, left: list[bytes], word: bytes, right: list[bytes]) -> tuple[bytes, bytes] | None:
+        """The word that a cut went through, encoded again with its neighbours, one more on each side until the ids of the
+        wider window are those of the narrower one between its outer words'. None if no window of the text agrees."""
+        key = (left[-1][-3:], word, right[0][:3])
+        if key in self.joins:
+            return self.ids[word], self.said[word]
+        inner = self.library(word.decode())
+        narrow = inner[0]
+        for k in range(1, min(len(left), len(right)) + 1):
+            wide = self.library(b" ".join([*left[-k:], word, *right[:k]]).decode())[0]
+            if wide == self.ids[left[-k]] + narrow + self.ids[right[k - 1]]:
+                if k == 1:
+                    self.joins.add(key)
+                    return inner
+                return None  # the word's ids depend on its neighbours': the text is encoded as a whole
+            narrow = wide
+        return None
+
+    def encode(self, data: bytes, joins: list[tuple[int, int]]) -> tuple[bytes, bytes] | None:
+        """Ids (little-endian, 32 bits) and decoded text; ``joins`` are the white space before and after each cut word.
+
+        None if a join can't be repaired within windows of ``REPAIR`` words.
+        """
         ids, said, pos = [], [], 0
         for a, b in joins:
             if a < pos or b <= a:
                 continue  # no white space since the last join: the cut lies in the same word
-            left, word, right = data[pos:a], data[a + 1 : b], data[b + 1 : b + 200].split(None, 1)
-            before = left.rsplit(None, 1)
+            left, word = data[pos:a], data[a + 1 : b]
             parts = [self._inside(left)]
-            if word and before and right and right[0] in self.ids and word in self.ids:
-                parts.append(self._repaired(before[-1], word, right[0]))
+            before, after = left.rsplit(None, REPAIR)[-REPAIR:], data[b + 1 : b + 1 + 64 * REPAIR].split()[:REPAIR]
+            if after and after[-1] not in self.ids:
+                after.pop()  # its end lies beyond what was looked at
+            if word and before and after:
+                done = self._repaired([w for w in before if w in self.ids], word, after)
+                if done is None:
+                    return None
+                parts.append(done)
             elif word:
                 parts.append(self._inside(word))
             for i, s in parts:
@@ -204,12 +289,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 start = end
                 texts = [t.as_py() or "" for t in part.column(1)]
                 done: list = [None] * len(texts)
-                some = [k for k, t in enumerate(texts) if t and "<|" not in t]  # special tokens are matched before anything is lowered
+                # special tokens are matched before anything is lowered
+                some = [k for k, t in enumerate(texts) if t and enc.by_words and not enc.special(t)]
                 ready = prepared([texts[k] for k in some]) if some else []
                 enc.learn(b"\n".join([d for d, _ in ready]))
                 for k, (data, joins) in zip(some, ready, strict=True):
                     done[k] = enc.encode(data, joins)
-                done = [enc.library(texts[k]) if d is None else d for k, d in enumerate(done)]
+                done = [enc.whole(texts[k]) if d is None else d for k, d in enumerate(done)]
                 cols = [
                     part.column(0),
                     pa.array([len(i) // 4 for i, _ in done], pa.int64()),

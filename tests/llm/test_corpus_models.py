@@ -138,7 +138,8 @@ def test_solve_against_nonnegative_least_squares(spark):
     tokens = rng.integers(10, 100, 30).astype(float)
     target = [900.0, 0.0, 300.0]
     mass = spark.createDataFrame([(i, float(t), q.tolist()) for i, (t, q) in enumerate(zip(tokens, p, strict=True))], "cell int, tokens double, p array<double>")
-    rate = np.array([r["rate"] for r in mixing.solve(mass, target, steps=200).orderBy("cell").collect()])
+    by = {tuple(r["p"]): r["rate"] for r in mixing.solve(mass, target, steps=200).collect()}
+    rate = np.array([by[tuple(q)] for q in p.tolist()])
     a = (tokens[:, None] * p).T
     weigh = np.linalg.pinv((tokens[:, None] * p).T @ p)
     loss = lambda r: float((a @ r - target) @ weigh @ (a @ r - target))
@@ -148,14 +149,43 @@ def test_solve_against_nonnegative_least_squares(spark):
     assert rate.min() >= 0 and loss(rate) <= loss(r) + 1e-3 * loss(np.ones(30))  # a first-order method: near the best, not at it
 
 
+def test_mixture_of_the_pipeline_meets_its_shares(spark, sf):
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = mixing.mix(docs, labels, pipeline.MIXTURE, anchor="clean").collect()
+    drawn = {d: sum(r["rate"] * r["tokens"] * r[f"p_{d}"] for r in out) for d in mixing.DOMAINS}
+    for d, w in pipeline.MIXTURE.items():
+        assert drawn[d] / sum(drawn.values()) == pytest.approx(w, rel=0.03, abs=1e-4), d
+
+
+def test_mix_of_equal_posteriors_loses_nothing(spark):
+    """Rates document by document, by the same descent in plain Python, are those of the sums over distinct posteriors."""
+    rng = np.random.default_rng(3)
+    kinds = rng.dirichlet([0.4, 0.4, 0.4], 5).round(3)
+    which, tokens = rng.integers(0, 5, 60), rng.integers(1, 50, 60).astype(float)
+    p, target = kinds[which], [500.0, 40.0, 20.0]
+    rows = spark.createDataFrame([(float(t), q.tolist()) for t, q in zip(tokens, p, strict=True)], "tokens double, p array<double>")
+    got = {tuple(r["p"]): r["rate"] for r in mixing.solve(rows.groupBy("p").agg(F.sum("tokens").alias("tokens")), target, steps=25).collect()}
+    a = (tokens[:, None] * p).T
+    weigh = np.linalg.pinv(a @ p, rcond=1e-9)
+    r = y = np.ones(60)
+    at = 1.0
+    for _ in range(25):
+        new = np.maximum(0, y - p @ (weigh @ (a @ y - target)))
+        nxt = (1 + math.sqrt(1 + 4 * at * at)) / 2
+        r, y, at = new, new + (at - 1) / nxt * (new - r), nxt
+    assert [got[tuple(q)] for q in p.tolist()] == pytest.approx(r.tolist(), rel=1e-3, abs=1e-3)
+
+
 def test_draw(corpus):
     docs, labels, _ = corpus
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, labels, {"clean": 1.0}, anchor="clean", most=1, snap=0.5).collect()}
-    out = mixing.draw(docs, labels, {"clean": 1.0}, anchor="clean", most=1, snap=0.5)
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, labels, {"clean": 1.0}, anchor="clean").collect()}
+    out = mixing.draw(docs, labels, {"clean": 1.0}, anchor="clean")
     assert out.columns == docs.columns
     kept = [r["doc_id"] for r in out.select("doc_id").collect()]
     assert set(kept) == {i for i, c in copies.items() if c} and kept.count(302) == 2 * copies[302]
-    assert all(copies[i] for i in range(300) if kind(i) == "clean") and not any(copies[i] for i in range(300) if kind(i) == "junk")
+    assert np.mean([copies[i] > 0 for i in range(300) if kind(i) == "clean"]) > 0.9
+    assert np.mean([copies[i] > 0 for i in range(300) if kind(i) == "junk"]) < 0.1
     assert mixing.draw(docs.limit(0), labels, {"clean": 1.0}).count() == 0
 
 
@@ -168,7 +198,7 @@ def test_pipeline(spark, sf):
         after = stage(spark, now, sf)
         assert after.columns == docs.columns, name
         after = after.cache()
-        assert 0 < after.count() <= now.count(), name
+        assert 0 < after.count() <= 1.05 * now.count(), name
         assert after.join(docs, "doc_id", "left_anti").count() == 0
         now = after
     clean = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 and toxic = 0")

@@ -246,6 +246,27 @@ def test_bpe_is_the_library(docs, texts):
         assert r["decoded"] == said == r["text_again"] and r["decoded_sha256"] == hashlib.sha256(said.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_bpe_repairs_joins_in_any_vocabulary(name, texts):
+    from quillgraph.llm.queries import vocabulary
+
+    enc = bpe.ChunkEncoder(vocabulary(name))
+    assert enc.by_words == name.startswith("word")
+    odd = ["x" * 5000, "  " * 3000, "日本語" * 900, "a" * 1000 + " " * 1000 + "b" * 1000, "1234567890" * 400, "Ünder THE\u00a0sun. " * 200]
+    for t in [*[t for t in texts if t][:60], *odd]:
+        assert enc.whole(t) == enc.library(t)
+    assert len(enc.pieces) > 1
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    a, b = "one two three four five six seven", "other words that stand for another text here"
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (2, a, "z"), (None, b, "n"), (3, None, "e"), (3, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_mark string")
+    got = sorted((r["doc_id"], r["text"] or "", r["row_mark"]) for r in ngram_join.keep_one(docs).collect())
+    assert got == [(1, a, "x"), (1, b, "y"), (3, "", "e")]
+    assert ngram_join.keep_one(docs).columns == docs.columns
+
+
 def test_bpe_cuts_reuse_and_cache_limits(monkeypatch):
     from tokenizers import Tokenizer
 
