@@ -14,6 +14,10 @@ from quillgraph.llm.common import materialize, table
 from quillgraph.llm.queries import vocabulary
 
 
+#: Target shares of tokens after the mixture stage.
+MIXTURE = {"clean": 0.98, "junk": 0.005, "toxic": 0.015}
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity lies outside their language's quantiles go."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
@@ -30,8 +34,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic and junk documents are weighted out; clean ones keep their tokens."""
-    return mixing.draw(docs, table(spark, sf_dir, "labels"), {"clean": 1.0, "junk": 0.0, "toxic": 0.0}, anchor="clean", most=1, snap=0.5)
+    """Clean documents keep their tokens; junk and toxic ones are drawn down to small shares of the whole."""
+    return mixing.draw(docs, table(spark, sf_dir, "labels"), MIXTURE, anchor="clean")
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
