@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.config import Settings
-from quillgraph.operators import graph, modes, router
+from quillgraph.operators import graph, modes, rank, router, search
 
 
 class Forbidden(RuntimeError):
@@ -28,7 +28,7 @@ class Engine:
             raise Forbidden(name)
         return self.tables[name]
 
-    def query(self, questions: DataFrame, mode: str | None = None) -> DataFrame:
+    def routed(self, questions: DataFrame, mode: str | None = None) -> DataFrame:
         """Routed questions (query_id, text, qvec): a mode that is asked for must exist."""
         if mode is not None and mode not in (*router.MODES, "hybrid"):
             raise ValueError(f"unknown mode {mode!r}")
@@ -37,8 +37,57 @@ class Engine:
             routed = routed.withColumn("mode", F.lit(mode))
         return routed
 
+    def query(self, questions: DataFrame, mode: str | None = None) -> DataFrame:
+        """(query_id, mode, id, score, rank) of every question: routed, run in its mode or, by the gate, in two, and merged.
+
+        Every mode runs once, over the questions that are routed to it. Questions whose mode's tables are not there go
+        to mode A.
+        """
+        p = self.settings.router
+        rows = self.routed(questions, mode).withColumn("_forced", F.lit(mode).cast("string"))
+        both = router.is_hybrid(F.col("_forced"), F.col("mode"), F.col("alt_mode"), F.col("confidence"), p)
+        main = F.when(F.col("mode") == "hybrid", "mode_a").otherwise(F.col("mode"))
+        other = F.when(both, F.coalesce("alt_mode", F.lit("mode_b")))
+        asked = rows.select("query_id", "text", "qvec", F.explode(F.array_compact(F.array_distinct(F.array(main, other)))).alias("mode"))
+        runs = {"mode_a": self.direct} | ({"mode_b": self.navigation} if {"pages", "links"} <= self.tables.keys() else {})
+        runs |= {"mode_c": self.reasoning} if {"edges", "mentions", "entities"} <= self.tables.keys() else {}
+        known = F.when(F.col("mode").isin(*runs), F.col("mode")).otherwise("mode_a")
+        asked = asked.withColumn("mode", known).dropDuplicates(["query_id", "mode"])
+        found = None
+        for name, run in runs.items():
+            part = run(asked.where(F.col("mode") == name).select("query_id", "text", "qvec"))
+            part = part.select("query_id", F.lit(name).alias("mode"), F.col("id").cast("string").alias("id"), F.col("score").cast("double").alias("score"))
+            found = part if found is None else found.unionByName(part)
+        return rank.merge_modes(found)
+
+    def trace(self, questions: DataFrame, mode: str | None = None) -> DataFrame:
+        """(step, label, n): the stages of :meth:`query` in order, and how many rows each gave."""
+        routed, found = self.routed(questions, mode), self.query(questions, mode)
+        n = lambda df, step, label: df.agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), F.lit(label).alias("label"), "n")
+        return n(questions, 1, "asked").unionByName(n(routed.where("mode <> 'mode_a'"), 2, "routed away from mode_a")).unionByName(n(found, 3, "found"))
+
+    def navigation(self, questions: DataFrame) -> DataFrame:
+        """Mode B; pages (url, embedding), links (from_url, to_url), and blocks with url and ordinal, whose vectors are joined."""
+        vectors = self.table("vectors").select(F.col("vec_id").alias("block_id"), "embedding")
+        own = self.table("blocks").select(F.col("doc_id").alias("block_id"), "url", F.col("doc_id").alias("ordinal"))
+        out = modes.navigation(self.table("pages"), self.table("links"), own.join(vectors, "block_id", "left"), questions.select("query_id", "qvec"))
+        return out.withColumnRenamed("block_id", "id")
+
+    def reasoning(self, questions: DataFrame) -> DataFrame:
+        """Mode C: entities (vec_id, embedding, id) near the question are its seeds."""
+        near = search.knn(self.table("entities"), questions.select("query_id", "qvec"), 10, id_col="id")
+        seeds = near.select("query_id", "id", F.col("score").alias("weight"))
+        return modes.reasoning(self.table("edges"), self.table("mentions"), seeds, seeds.limit(0))
+
+    def layered_slice(self, url: str, max_nodes: int = 80) -> DataFrame:
+        """A page's entities and their topics within ``max_nodes``; mentions and topics (entity_id, keyword)."""
+        if not 10 <= max_nodes <= 200:
+            raise ValueError("max_nodes must be 10 to 200")
+        return graph.budgeted_entities(self.table("mentions"), self.table("topics"), url, max_nodes)
+
     def direct(self, questions: DataFrame) -> DataFrame:
-        return modes.direct(self.table("blocks"), self.table("vectors"), questions, self.settings.retrieval)
+        """Mode A; the score is that of the fused ranks."""
+        return modes.direct(self.table("blocks"), self.table("vectors"), questions, self.settings.retrieval).withColumnRenamed("rrf", "score")
 
     def graph_stats(self) -> DataFrame:
         return graph.stats(self.table("nodes"), self.table("edges"))

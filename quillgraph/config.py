@@ -83,7 +83,7 @@ class UrlRules:
     host_suffixes: tuple[str, ...] = ()
     host_path_prefixes: tuple[tuple[str, str], ...] = ()
     path_prefixes: tuple[str, ...] = ("/login",)
-    exact_paths: tuple[str, ...] = ("/notfound.html", "/sitemap", "/accessibility", "/terms-of-use", "/photo-gallery", "/atoz", "/social-media")
+    exact_paths: tuple[str, ...] = ("/notfound.html", "/sitemap", "/accessibility", "/privacy-policy-statement", "/terms-of-use", "/photo-gallery", "/atoz", "/social-media")
     # group 1 is the year
     dated_patterns: tuple[str, ...] = (
         r"^/media/media-releases/(\d{4})/",

@@ -61,7 +61,7 @@ def drop_reason(url: Column, rules: UrlRules) -> Column:
     segment = F.regexp_extract(path, "^/([^/]*)", 1)
     cascade: list[tuple[Column, object]] = [
         (any_of([below(host, s) for s in rules.host_suffixes]), "blocked_host"),
-        (any_of([below(host, s) & path.startswith(p) for s, p in rules.host_path_prefixes]), "blocked_path"),
+        (any_of([below(host, s) & under(path, p) for s, p in rules.host_path_prefixes]), "blocked_path"),
         (segment.isin(*rules.language_prefixes), "lang_mirror"),
         (any_of([path.endswith(e) for e in rules.extensions]), "asset"),
         (path.isin(*rules.exact_paths), "boilerplate"),

@@ -83,6 +83,8 @@ def neighborhood(edges: DataFrame, node: str, hops: int, limit: int) -> DataFram
     path = u.where(F.col("a") == node).select("b", F.array("edge_id").alias("trail"))
     paths, last = path, path
     for _ in range(1, hops):
+        if len(paths.select(F.lit(1)).take(limit)) == limit:  # shorter paths fill the limit: a hub is not gone through
+            break
         step = u.select(F.col("a").alias("b"), F.col("b").alias("next"), F.col("edge_id").alias("e"))
         last = last.join(step, "b").where(~F.array_contains("trail", F.col("e"))).select(F.col("next").alias("b"), F.concat("trail", F.array("e")).alias("trail"))
         paths = paths.unionByName(last)

@@ -112,9 +112,12 @@ def skip_rewrite(confidence: Column, gate: float) -> Column:
 def expand_acronyms(queries: DataFrame, aliases: DataFrame, text: str = "text", query_id: str = "query_id") -> DataFrame:
     """Adds ``expanded``: the query and, for variants in it whose full name is not, `` (V = C; ..)``.
 
-    The alias table (variant, canonical) is a fixed vocabulary; variants up to three characters keep their case.
+    Questions meet the aliases (variant, canonical) by the first word of the variant, whatever the size of either side;
+    variants up to three characters keep their case.
     """
-    hit = queries.crossJoin(F.broadcast(aliases.limit(10_000)))
+    word = "[\\p{L}\\p{N}_]+"
+    asked = queries.withColumn("_w", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)))))
+    hit = asked.join(aliases.withColumn("_w", F.regexp_extract(F.lower("variant"), word, 0)), "_w").drop("_w")
     quoted = F.regexp_replace("variant", "([\\\\.\\[\\]{}()*+?^$|/-])", "\\\\$1")
     pattern = F.concat(F.when(F.length("variant") <= 3, F.lit("")).otherwise(F.lit("(?i)")), F.lit("\\b"), quoted, F.lit("\\b"))
     found = hit.where(F.regexp_like(text, pattern) & ~F.contains(F.lower(text), F.lower("canonical")))

@@ -29,9 +29,13 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg(n).alias("avgdl"))
 
 
-def idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df): how many documents hold each term; tasks add up their own before the shuffle."""
+    return docs.select(F.explode(F.array_distinct(E.ascii_tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf); a negative idf becomes a quarter of the mean over the vocabulary."""
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     floored = F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
@@ -44,11 +48,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, query_id: str = "item_id",
     Only terms that some query has are joined. Documents without any query term are not scored: where a query has fewer
     than k others, the smallest ids among the first k documents fill its list.
     """
-    posted = postings(docs, doc_id, text)
     stats = corpus_stats(docs, text)
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(E.ascii_tokens(F.col(query_text))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weights = idf(posted, stats)
+    weights = idf(vocabulary(docs, text), stats).join(asked.select("term").distinct(), "term", "left_semi")
+    # of the corpus' tokens only those that some question has are counted by document
+    tokens = docs.select(F.col(doc_id).alias("doc_id"), E.ascii_tokens(F.col(text)).alias("tokens"))
+    rows = tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    posted = rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     hit = posted.join(asked, "term").join(weights, "term").crossJoin(F.broadcast(stats))
     tf = F.col("tf")
     gain = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))

@@ -59,7 +59,7 @@ def kg_neighbor_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kg_induced_edges(spark: SparkSession, d: str) -> DataFrame:
-    ids = nodes(spark, d).where("type in ('supplier', 'nation', 'region') or (type = 'part' and cast(substr(id, 2) as int) % 5 = 0)")
+    ids = nodes(spark, d).where("type <> 'customer'")
     anchors = ids.where("type = 'supplier' and cast(substr(id, 2) as int) < 10 or id in ('N1', 'N2', 'N3')")
     return graph.induced(edges(spark, d), ids, anchors, 60)
 
@@ -138,7 +138,10 @@ def mode_c(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mode_d(spark: SparkSession, d: str) -> DataFrame:
-    return modes.subgraph(edges(spark, d).where("relation_type = 'supplies'"), _asked(spark))
+    """A question for each region, whose seeds are the region and its nations."""
+    n = table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("query_id"), _id("N", "n_nationkey").alias("id"), (1.0 - F.col("n_nationkey") / 100.0).alias("weight"))
+    r = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), _id("R", "r_regionkey").alias("id"), F.lit(2.0).alias("weight"))
+    return modes.subgraph(edges(spark, d), n.unionByName(r))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -181,14 +184,14 @@ ORACLE_SQL = {
     "kg_neighbor_edges": f"""with {_SUP}, p1 as (select b as nbr, edge_id as e1, null as e2 from und where a = 'P7'), p2 as (select u.b as nbr, e1, u.edge_id as e2 from p1 join und u on u.a = p1.nbr where u.edge_id <> e1),
   e as (select nbr, e1 as edge_id from p1 union select nbr, e1 from p2 union select nbr, e2 from p2)
   select nbr, e.edge_id, u.relation_type, u.weight from e join (select distinct edge_id, relation_type, weight from und) u on u.edge_id = e.edge_id order by weight desc, nbr, edge_id limit 40""",
-    "kg_induced_edges": f"""with {_NODES}, {_EDGES}, v as (select id, type from nodes where type in ('supplier', 'nation', 'region') or (type = 'part' and cast(substr(id, 2) as integer) % 5 = 0)),
+    "kg_induced_edges": f"""with {_NODES}, {_EDGES}, v as (select id, type from nodes where type <> 'customer'),
   an as (select id from v where (type = 'supplier' and cast(substr(id, 2) as integer) < 10) or id in ('N1', 'N2', 'N3')),
   r as (select least(src, dst) as a, greatest(src, dst) as b, relation_type, weight, (src in (select id from an) and dst in (select id from an)) as anchored from edges where src in (select id from v) and dst in (select id from v) and src <> dst)
   select a, b, relation_type, weight, anchored from r order by anchored desc, weight desc, a, b, relation_type limit 60""",
     "kg_ego_network": f"with {_NODES}, {_ALL}, c as (select id as center from nodes where contains(lower(name), 'nation_7') order by id limit 1) select center, b as nbr, relation_type, weight from c left join und on a = center",
     "kg_edge_sample": f"with {_EDGES} select src, dst, relation_type, src || '|' || dst || '|' || relation_type as edge_id from edges order by edge_id limit 50",
-    "kg_neighborhood": f"""with {_ALL}, p1 as (select b, [edge_id] as trail from und where a = 'S3'), p2 as (select u.b, list_append(trail, u.edge_id) as trail from p1 join und u on u.a = p1.b where u.edge_id <> p1.trail[1]),
-  k as (select * from (select * from p1 union all select * from p2) order by len(trail), array_to_string(trail, '>') limit 80), i as (select distinct unnest(trail) as edge_id from k)
+    "kg_neighborhood": f"""with {_ALL.replace("und as (", "und as materialized (")}, p1 as materialized (select b, [edge_id] as trail from und where a = 'S3'), p2 as (select u.b, list_append(trail, u.edge_id) as trail from p1 join und u on u.a = p1.b where u.edge_id <> p1.trail[1] and (select count(*) from p1) < 80),
+  k as materialized (select * from (select * from p1 union all select * from p2) order by len(trail), array_to_string(trail, '>') limit 80), i as (select distinct unnest(trail) as edge_id from k)
   select src, dst, edge_id from (select src, dst, src || '|' || dst || '|' || relation_type as edge_id from edges) join i using (edge_id)""",
     "kg_shortest_path_len": f"with recursive {_ALL}, walk as (select 'P7' as id, 0 as hops union select u.b, hops + 1 from walk join und u on u.a = walk.id where hops < 4) select id, min(hops) as hops from walk group by id",
     "graph_nodes_view": f"with {_NODES} select id, case when length(name) > 12 then left(name, 12) || '...' else name end as label, type from nodes",
@@ -215,7 +218,7 @@ ORACLE_SQL = {
   bu as (select *, cast(coalesce(sum(tokens) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0) as bigint) as tokens_before from ra),
   pg as (select *, cast(row_number() over (partition by query_id, url order by rank) as integer) as page_row from bu where tokens_before < 4000 and rank <= 10)
   select query_id, id, coverage, case when page_row > 5 then score * 0.5 else score end as score, rank, page_row, tokens_before from pg""",
-    "mode_d": f"""with {_SUP}, sd as (select * from (values (0, 'S1', 0.9), (0, 'S2', 0.8), (1, 'S3', 0.7)) v(query_id, id, weight)), {_neighbors('select distinct id as seed from sd', 8)},
+    "mode_d": f"""with {_ALL}, sd as (select n_regionkey::bigint as query_id, 'N' || n_nationkey as id, 1.0::double - n_nationkey / 100.0::double as weight from nation union all select r_regionkey, 'R' || r_regionkey, 2.0 from region), {_neighbors('select distinct id as seed from sd', 8)},
   nb as (select query_id, nbr as id, max(path_weight) as weight from sd join near on near.seed = sd.id group by 1, 2),
   cand as (select query_id, id, weight::double as weight, 'seed' as kind from sd union all select query_id, id, weight, 'neighbor' from nb where not exists (select 1 from sd where sd.query_id = nb.query_id and sd.id = nb.id)), {_QUOTA.format(s=10, g=8, n=25)},
   r as (select x.query_id, least(src, dst) as a, greatest(src, dst) as b, relation_type, e.weight from sub e join picked x on x.id = src join picked y on y.id = dst and y.query_id = x.query_id where src <> dst)

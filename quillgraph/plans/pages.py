@@ -52,6 +52,7 @@ def variants(pages: DataFrame) -> DataFrame:
         F.concat(root, F.lit("/x/2020"), (n % 10).cast("string")),
         F.concat(root, F.lit("/study/pg/research-postgraduate/"), year(2019, 9), F.lit("/fees")),
         F.concat(root, F.lit("/TC/study")), F.concat(root, F.lit("/people/academic-staff/x")), F.concat(root, F.lit("/feedback")),
+        F.lit("https://blog.tionsh.example.net/english"), F.lit("https://blog.tionsh.example.net/en/a"), F.concat(root, F.lit("/privacy-policy-statement")),
     ]
     return pages.select("page_id", F.posexplode(F.array(*made)).alias("n", "url"))
 
@@ -67,8 +68,8 @@ variants as (
     {_ROOT} || '/recent-focus/' || cast(2018 + page_id % 10 as varchar) || '0105_x',
     {_ROOT} || '/x/2020' || cast(page_id % 10 as varchar),
     {_ROOT} || '/study/pg/research-postgraduate/' || cast(2019 + page_id % 9 as varchar) || '/fees',
-    {_ROOT} || '/TC/study', {_ROOT} || '/people/academic-staff/x', {_ROOT} || '/feedback'] as made
-    from pages) t, range(1, 13) r(g))"""
+    {_ROOT} || '/TC/study', {_ROOT} || '/people/academic-staff/x', {_ROOT} || '/feedback', 'https://blog.tionsh.example.net/english', 'https://blog.tionsh.example.net/en/a', {_ROOT} || '/privacy-policy-statement'] as made
+    from pages) t, range(1, 16) r(g))"""
 
 
 def _sql_list(values) -> str:
@@ -78,7 +79,7 @@ def _sql_list(values) -> str:
 def _reason_sql() -> str:
     r = RULES
     below = " or ".join(f"(host = '{s}' or ends_with(host, '.{s}'))" for s in r.host_suffixes)
-    hp = " or ".join(f"((host = '{s}' or ends_with(host, '.{s}')) and starts_with(path, '{p}'))" for s, p in r.host_path_prefixes)
+    hp = " or ".join(f"((host = '{s}' or ends_with(host, '.{s}')) and regexp_matches(path, '^{p}(/.*)?$'))" for s, p in r.host_path_prefixes)
     asset = " or ".join(f"ends_with(path, '{e}')" for e in r.extensions)
     under = " or ".join(f"(path = '{p}' or starts_with(path, '{p}/'))" for p in r.path_prefixes)
     years = ", ".join(f"nullif(regexp_extract(path, '{p}', 1), '')" for p in r.dated_patterns)

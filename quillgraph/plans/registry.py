@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import graphs, pages, retrieval, stores, texts
+from quillgraph.plans import graphs, lookups, pages, retrieval, stores, texts
 
-_PARTS = (pages, texts, retrieval, graphs, stores)
+_PARTS = (pages, texts, retrieval, graphs, stores, lookups)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}

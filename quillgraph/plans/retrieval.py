@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.api import Engine
 from quillgraph.functions import expr as E
 from quillgraph.operators import modes, providers, rank, search
 from quillgraph.sources.tables import table
 
-# a stated, fixed query set: the first five benchmark items and vectors
-ASKED = 5
+# the stated query sets: all benchmark items, and every vector whose id is divisible by this, against all rows
+EVERY = 100
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -18,25 +19,24 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").where(F.col("item_id") < ASKED).select(F.col("item_id").alias("query_id"), "text")
-    vecs = table(spark, d, "embeddings").where(F.col("vec_id") < ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     return items.join(vecs, "query_id")
 
 
-def _asked(spark: SparkSession, d: str, n: int = ASKED) -> DataFrame:
-    e = table(spark, d, "embeddings").where(F.col("vec_id") < n)
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").where(F.col("vec_id") % EVERY == 0)
     return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
 
 
 def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    posted = search.postings(docs)
-    terms = search.idf(posted, search.corpus_stats(docs))
+    terms = search.idf(search.vocabulary(docs), search.corpus_stats(docs))
     return search.corpus_stats(docs).select("n_docs", F.round("avgdl", 6).alias("avgdl")).crossJoin(terms.agg(F.count("*").alias("n_terms"), F.max("df").alias("max_df"), F.round(F.avg("idf"), 6).alias("avg_idf")))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").where(F.col("item_id") < ASKED)
+    items = table(spark, d, "benchmark")
     return search.bm25(table(spark, d, "documents"), items, 20).select("query_id", "doc_id", "score", "rank")
 
 
@@ -49,19 +49,19 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:
-    return search.knn(table(spark, d, "embeddings"), _asked(spark, d, 40).drop("qlabel"), 3).select("query_id", "id", "score", "rank")
+    return search.knn(table(spark, d, "embeddings"), _asked(spark, d).drop("qlabel"), 3).select("query_id", "id", "score", "rank")
 
 
 def vector_fetch(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    want = table(spark, d, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("vec_id"))
+    want = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"))
     hit = e.join(want, "vec_id", "left_semi")
     return hit.select("vec_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")), 5).alias("norm2"))
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
     dense = search.knn(table(spark, d, "embeddings"), _asked(spark, d).drop("qlabel"), 50)
-    items = table(spark, d, "benchmark").where(F.col("item_id") < ASKED)
+    items = table(spark, d, "benchmark")
     sparse = search.bm25(table(spark, d, "documents"), items, 20).select("query_id", F.col("doc_id").alias("id"), "score")
     return search.union_pool(dense, sparse)
 
@@ -134,7 +134,7 @@ def pack_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relevance_hit_at_k(spark: SparkSession, d: str) -> DataFrame:
-    asked = _asked(spark, d, 40)
+    asked = _asked(spark, d)
     hits = search.knn(table(spark, d, "embeddings"), asked, 5, where="vec_id <> query_id")
     rows = hits.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id").join(asked.select("query_id", "qlabel"), "query_id")
     per = rows.groupBy("query_id").agg(F.max((F.col("label") == F.col("qlabel")).cast("int")).alias("hit"), F.sum((F.col("label") == F.col("qlabel")).cast("int")).alias("relevant"))
@@ -169,16 +169,38 @@ def prompt_and_answer(spark: SparkSession, d: str) -> DataFrame:
 
 def mode_b(spark: SparkSession, d: str) -> DataFrame:
     docs, vecs = table(spark, d, "documents"), table(spark, d, "embeddings")
-    pages = vecs.where("vec_id % 10 = 0").select(F.concat(F.lit("u"), F.col("vec_id").cast("string")).alias("url"), "embedding")
-    ids = vecs.where("vec_id % 10 = 0").select("vec_id")
+    pages = vecs.select(F.concat(F.lit("u"), F.col("vec_id").cast("string")).alias("url"), "embedding")
+    ids = vecs.select("vec_id")
     links = ids.select(F.concat(F.lit("u"), F.col("vec_id").cast("string")).alias("from_url"), F.concat(F.lit("u"), ((F.col("vec_id") * 3) % 500).cast("string")).alias("to_url"))
     home = F.concat(F.lit("u"), (F.col("doc_id") - F.col("doc_id") % 10).cast("string"))
     blocks = docs.join(vecs.where("vec_id % 7 <> 0").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").select(F.col("doc_id").alias("block_id"), home.alias("url"), F.col("doc_id").alias("ordinal"), "embedding")
     return modes.navigation(pages, links, blocks, _asked(spark, d).drop("qlabel"))
 
 
+def _engine(spark: SparkSession, d: str) -> Engine:
+    vecs = table(spark, d, "embeddings")
+    url = lambda n: F.concat(F.lit("u"), n.cast("string"))
+    blocks = table(spark, d, "documents").select("doc_id", "text", E.word_count(F.col("text")).alias("tokens"), url(F.col("doc_id")).alias("url"))
+    links = vecs.select(url(F.col("vec_id")).alias("from_url"), url((F.col("vec_id") * 3) % 500).alias("to_url"))
+    return Engine({"blocks": blocks, "vectors": vecs, "pages": vecs.select(url(F.col("vec_id")).alias("url"), "embedding"), "links": links})
+
+
+def query_api(spark: SparkSession, d: str) -> DataFrame:
+    """All benchmark questions, routed by rules and run."""
+    return _engine(spark, d).query(_questions(spark, d))
+
+
+def hybrid_query(spark: SparkSession, d: str) -> DataFrame:
+    """All benchmark questions in two modes each, merged."""
+    return _engine(spark, d).query(_questions(spark, d), mode="hybrid")
+
+
+def query_trace(spark: SparkSession, d: str) -> DataFrame:
+    return _engine(spark, d).trace(_questions(spark, d), mode="hybrid")
+
+
 QUERIES = {f.__name__: f for f in (
-    bm25_corpus_stats, bm25_topk, knn_topk, knn_filtered, knn_batch, vector_fetch, dense_sparse_union, rrf_fusion, alpha_fusion,
+    query_api, hybrid_query, query_trace, bm25_corpus_stats, bm25_topk, knn_topk, knn_filtered, knn_batch, vector_fetch, dense_sparse_union, rrf_fusion, alpha_fusion,
     minmax_modes, hybrid_merge, block_heuristic_score, budgeted_selection, same_page_discount, mmr_select, pack_batches,
     relevance_hit_at_k, overlap_nway, group_by_page, mode_a, prompt_and_answer, mode_b,
 )}
@@ -193,26 +215,26 @@ po as (select doc_id, term, count(*) as tf, any_value(l) as l from (select doc_i
 df as (select term, count(*) as df from po group by term),
 raw as (select term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) as r from df, st),
 idf as (select term, df, case when r < 0 then 0.25 * (select avg(r) from raw) else r end as idf from raw),
-qt as (select item_id as query_id, term, count(*) as qtf from (select item_id, unnest({_TOK.format(t='text')}) as term from benchmark where item_id < 5) group by 1, 2),
+qt as (select item_id as query_id, term, count(*) as qtf from (select item_id, unnest({_TOK.format(t='text')}) as term from benchmark) group by 1, 2),
 sc as (select query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / avgdl))), 6) as score from po join qt using (term) join idf using (term), st group by 1, 2),
-al as (select item_id as query_id, d.doc_id, coalesce(score, 0.0) as score from (select item_id from benchmark where item_id < 5) b cross join documents d left join sc on sc.query_id = b.item_id and sc.doc_id = d.doc_id),
+al as (select item_id as query_id, d.doc_id, coalesce(score, 0.0) as score from (select item_id from benchmark) b cross join documents d left join sc on sc.query_id = b.item_id and sc.doc_id = d.doc_id),
 bm as (select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank from al qualify rank <= 20)"""
 
 
-def _knn(name: str, n: int, k: int, where: str = "true") -> str:
-    return f"""{name}_s as (select a.vec_id as query_id, b.vec_id as id, round({_COS}, 6) as score from embeddings a, embeddings b where a.vec_id < {n} and {where}),
+def _knn(name: str, k: int, where: str = "true", asked: str = "a.vec_id % 100 = 0") -> str:
+    return f"""{name}_s as (select a.vec_id as query_id, b.vec_id as id, round({_COS}, 6) as score from embeddings a, embeddings b where {asked} and {where}),
 {name} as (select query_id, id, score, cast(row_number() over (partition by query_id order by score desc, id) as integer) as rank from {name}_s qualify rank <= {k})"""
 
 
 _OT = "list_distinct(list_filter(regexp_extract_all(lower({t}), '[a-z0-9\\x{{4e00}}-\\x{{9fff}}]+'), lambda x: length(x) >= 2))"
-_PAIRS = f"""{_knn('kn', 5, 50)},
+_PAIRS = f"""{_knn('kn', 50, asked='a.vec_id in (select item_id from benchmark)')},
 pairs as (select k.query_id, k.id, k.score as first, d.source as url, d.text,
   round(case when len({_OT.format(t='q.text')}) > 0 then len(list_intersect({_OT.format(t='q.text')}, {_OT.format(t='substr(d.text, 1, 1500)')})) / len({_OT.format(t='q.text')}) else 0.0 end, 6) as rerank
   from kn k join documents d on d.doc_id = k.id join benchmark q on q.item_id = k.query_id)"""
 _MODES = f"""{_PAIRS},
 modes as (select query_id, 'mode_a' as mode, id, first as score from pairs union all select query_id, 'mode_b', id, rerank from pairs where id % 2 = 0
   union all select query_id, 'mode_c', id, cast(id % 7 as double) from pairs where id % 3 = 0)"""
-_MODE_A = f"""{_BM25}, {_knn('kn', 5, 50)},
+_MODE_A = f"""{_BM25}, {_knn('kn', 50, asked='a.vec_id in (select item_id from benchmark)')},
 pool as (select coalesce(k.query_id, b.query_id) as query_id, coalesce(k.id, b.doc_id) as id, k.rank as dense_rank, b.rank as bm25_rank from kn k full join bm b on b.query_id = k.query_id and b.doc_id = k.id),
 fu as (select *, round(coalesce(1.0 / (60 + dense_rank), 0.0) + coalesce(1.0 / (60 + bm25_rank), 0.0), 6) as rrf from pool),
 ra as (select *, cast(row_number() over (partition by query_id order by rrf desc, id) as integer) as rank from fu qualify rank <= 50),
@@ -223,11 +245,11 @@ ma as (select query_id, id, rank, rrf, dense_rank, bm25_rank, cast(tokens_before
 ORACLE_SQL = {
     "bm25_corpus_stats": f"with {_BM25} select n_docs, round(avgdl, 6) as avgdl, (select count(*) from idf) as n_terms, (select max(df) from idf) as max_df, (select round(avg(idf), 6) from idf) as avg_idf from st",
     "bm25_topk": f"with {_BM25} select query_id, doc_id, score, rank from bm",
-    "knn_topk": f"with {_knn('kn', 5, 10)} select * from kn",
-    "knn_filtered": f"with {_knn('kn', 5, 10, 'a.label = b.label and a.vec_id <> b.vec_id')} select * from kn",
-    "knn_batch": f"with {_knn('kn', 40, 3)} select * from kn",
-    "vector_fetch": "select vec_id, len(embedding) as dim, round(list_dot_product(embedding::double[], embedding::double[]), 5) as norm2 from embeddings where vec_id in (select doc_id from documents where doc_id % 10 = 0)",
-    "dense_sparse_union": f"""with {_BM25}, {_knn('kn', 5, 50)} select query_id, id, score, cast(null as double) as bm25_score, 'dense' as source from kn
+    "knn_topk": f"with {_knn('kn', 10)} select * from kn",
+    "knn_filtered": f"with {_knn('kn', 10, 'a.label = b.label and a.vec_id <> b.vec_id')} select * from kn",
+    "knn_batch": f"with {_knn('kn', 3)} select * from kn",
+    "vector_fetch": "select vec_id, len(embedding) as dim, round(list_dot_product(embedding::double[], embedding::double[]), 5) as norm2 from embeddings where vec_id in (select doc_id from documents)",
+    "dense_sparse_union": f"""with {_BM25}, {_knn('kn', 50)} select query_id, id, score, cast(null as double) as bm25_score, 'dense' as source from kn
   union all select query_id, doc_id, 0.0, score, 'bm25' from bm where not exists (select 1 from kn where kn.query_id = bm.query_id and kn.id = bm.doc_id)""",
     "rrf_fusion": f"""with {_PAIRS}, r as (select query_id, id, cast(row_number() over (partition by query_id order by rerank desc, id) as integer) as rank_a, cast(row_number() over (partition by query_id order by first desc, id) as integer) as rank_b from pairs)
   select *, round(1.0 / (60 + rank_a) + 1.0 / (60 + rank_b), 6) as rrf from r""",
@@ -247,7 +269,7 @@ ORACLE_SQL = {
   r as (select *, cast(row_number() over (partition by query_id order by score desc, id) as integer) as rank from b qualify rank <= 50),
   p as (select *, cast(row_number() over (partition by query_id, url order by rank) as integer) as page_row from r)
   select query_id, id, rank, page_row, case when page_row > 5 then score * 0.5 else score end as score from p""",
-    "relevance_hit_at_k": f"""with {_knn('kn', 40, 5, 'a.vec_id <> b.vec_id')}, r as (select k.query_id, max(case when x.label = y.label then 1 else 0 end) as hit, sum(case when x.label = y.label then 1 else 0 end) as relevant
+    "relevance_hit_at_k": f"""with {_knn('kn', 5, 'a.vec_id <> b.vec_id')}, r as (select k.query_id, max(case when x.label = y.label then 1 else 0 end) as hit, sum(case when x.label = y.label then 1 else 0 end) as relevant
   from kn k join embeddings x on x.vec_id = k.query_id join embeddings y on y.vec_id = k.id group by 1)
   select count(*) as n_queries, round(avg(hit), 6) as hit_at_5, round(avg(relevant / 5), 6) as precision_at_5 from r""",
     "overlap_nway": f"with {_MODES}, p as (select query_id, id, count(distinct mode) as n from modes group by 1, 2) select query_id, round(count(*) filter (n = 3) / count(*), 6) as overlap from p group by 1",
@@ -258,10 +280,10 @@ ORACLE_SQL = {
     "prompt_and_answer": f"""with {_MODE_A}, c as (select m.query_id, m.rank, substr(d.text, 1, 120) as content, q.text as query from ma m join documents d on d.doc_id = m.id join benchmark q on q.item_id = m.query_id)
   select query_id, 'Answer from the numbered passages only.' || chr(10) || chr(10) || 'Question: ' || any_value(query) || chr(10) || chr(10) || string_agg('[' || rank || '] ' || content, chr(10) order by rank) as prompt,
   string_agg(regexp_extract(content, '^[^.!?]*[.!?]?') || ' [' || rank || ']', ' ' order by rank) as answer from c group by query_id""",
-    "mode_b": f"""with p as (select 'u' || vec_id as url, embedding from embeddings where vec_id % 10 = 0),
-  ps as (select a.vec_id as query_id, b.url, round({_COS}, 6) as score from embeddings a, p b where a.vec_id < 5),
+    "mode_b": f"""with p as (select 'u' || vec_id as url, embedding from embeddings),
+  ps as (select a.vec_id as query_id, b.url, round({_COS}, 6) as score from embeddings a, p b where a.vec_id % 100 = 0),
   pf as (select query_id, url from (select *, row_number() over (partition by query_id order by score desc, url) as rk from ps) where rk <= 5),
-  l as (select 'u' || vec_id as from_url, 'u' || (vec_id * 3) % 500 as to_url from embeddings where vec_id % 10 = 0),
+  l as (select 'u' || vec_id as from_url, 'u' || (vec_id * 3) % 500 as to_url from embeddings),
   w as (select * from pf union select query_id, to_url from pf join l on from_url = url),
   bl as (select doc_id as block_id, 'u' || (doc_id - doc_id % 10) as url, doc_id as ordinal, e.embedding from documents d left join (select * from embeddings where vec_id % 7 <> 0) e on e.vec_id = d.doc_id),
   sc as (select w.query_id, w.url, b.block_id, b.ordinal, case when b.embedding is null then 0.5 else round({_COS}, 6) end as score from w join bl b on b.url = w.url join embeddings a on a.vec_id = w.query_id),

@@ -80,7 +80,7 @@ def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relation_accumulate(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "lineitem").where("l_orderkey < 3000")
+    t = table(spark, d, "lineitem")
     rows = t.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("B"), (F.col("l_partkey") % 25).cast("string")).alias("dst"), F.lit("supplies").alias("relation_type"),
                     F.col("l_quantity").alias("weight"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("source_id"), F.repeat("l_returnflag", F.col("l_linenumber")).alias("description"))
     out = store.relations_accumulated(rows)
@@ -94,7 +94,7 @@ def relation_replace(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contains_after_dedup(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "lineitem").where("l_orderkey < 2000")
+    t = table(spark, d, "lineitem")
     old = t.select(F.col("l_orderkey").alias("url"), F.col("l_partkey").alias("block_id"), F.lit(1).alias("depth")).dropDuplicates(["url", "block_id"])
     extra = t.where("l_linenumber > 1").select((F.col("l_orderkey") + 1).alias("url"), F.col("l_partkey").alias("block_id"), F.when(F.col("l_partkey") % 2 == 0, F.lit(3)).alias("depth"))
     return store.contains_after_dedup(old, extra)
@@ -104,13 +104,13 @@ def reachable_ids(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "lineitem")
     contains = t.select(F.col("l_orderkey").alias("url"), F.col("l_partkey").alias("block_id"))
     mentions = t.select(F.col("l_suppkey").alias("entity_id"), F.col("l_partkey").alias("block_id"))
-    pages = table(spark, d, "orders").where("o_orderkey < 50").select(F.col("o_orderkey").alias("url"))
+    pages = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("url"))
     return store.reachable(pages, contains, mentions)
 
 
 def incident_relations(spark: SparkSession, d: str) -> DataFrame:
     rel = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("relation_type"))
-    return store.incident(rel, table(spark, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("id")))
+    return store.incident(rel, table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("id")))
 
 
 def edges_with_ends(spark: SparkSession, d: str) -> DataFrame:
@@ -194,17 +194,17 @@ ORACLE_SQL = {
     "cache_hits_misses": f"""with {_EV}, c as (select distinct user_id, event_type from ev where build <= '20240103'), r as (select e.event_type, c.user_id is not null as hit from ev e left join c on c.user_id = e.user_id and c.event_type = e.event_type where build = '20240116')
   select event_type, count(*) filter (hit) as hits, count(*) filter (not hit) as misses from r group by 1""",
     "embedding_cache": "select sha256(text) as key, case when bool_or(doc_id % 2 = 0) then 'cached' else 'computed' end as value from documents group by 1",
-    "relation_accumulate": """with r as (select 'S' || l_suppkey as src, 'B' || (l_partkey % 25) as dst, 'supplies' as relation_type, l_quantity as weight, l_orderkey || '-' || l_linenumber as source_id, repeat(l_returnflag, l_linenumber) as description from lineitem where l_orderkey < 3000)
+    "relation_accumulate": """with r as (select 'S' || l_suppkey as src, 'B' || (l_partkey % 25) as dst, 'supplies' as relation_type, l_quantity as weight, l_orderkey || '-' || l_linenumber as source_id, repeat(l_returnflag, l_linenumber) as description from lineitem)
   select src, dst, relation_type, round(sum(weight), 2) as weight, string_agg(source_id, ',' order by source_id) as source_ids, max({'l': length(description), 'd': description}).d as description from r group by 1, 2, 3""",
     "relation_replace": """with o as (select l_suppkey as src, l_partkey % 20 as dst, 'supplies' as relation_type, round(sum(l_quantity), 2) as weight from lineitem where l_orderkey % 2 = 0 group by 1, 2),
   n as (select l_suppkey as src, l_partkey % 20 as dst, 'supplies' as relation_type, round(sum(l_quantity), 2) as weight from lineitem where l_orderkey % 5 = 0 group by 1, 2)
   select * from n union all select * from o where not exists (select 1 from n where n.src = o.src and n.dst = o.dst)""",
-    "contains_after_dedup": """with t as (select * from lineitem where l_orderkey < 2000), o as (select distinct l_orderkey as url, l_partkey as block_id from t),
+    "contains_after_dedup": """with t as (select * from lineitem), o as (select distinct l_orderkey as url, l_partkey as block_id from t),
   x as (select distinct l_orderkey + 1 as url, l_partkey as block_id, case when l_partkey % 2 = 0 then 3 else 0 end as depth from t where l_linenumber > 1)
   select url, block_id, 1 as depth, false as via_dedup from o union all select url, block_id, depth, true from x where not exists (select 1 from o where o.url = x.url and o.block_id = x.block_id)""",
-    "reachable_ids": """with b as (select distinct l_partkey as id from lineitem where l_orderkey in (select o_orderkey from orders where o_orderkey < 50))
+    "reachable_ids": """with b as (select distinct l_partkey as id from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F'))
   select 'block' as kind, id from b union all select distinct 'entity', l_suppkey from lineitem where l_partkey in (select id from b)""",
-    "incident_relations": "select distinct l_suppkey as src, l_partkey as dst, l_returnflag as relation_type from lineitem where l_suppkey in (select p_partkey from part where p_partkey < 20) or l_partkey in (select p_partkey from part where p_partkey < 20)",
+    "incident_relations": "select distinct l_suppkey as src, l_partkey as dst, l_returnflag as relation_type from lineitem where l_suppkey in (select p_partkey from part where p_size < 10) or l_partkey in (select p_partkey from part where p_size < 10)",
     "edges_with_ends": "select distinct l_suppkey, l_partkey from lineitem where l_suppkey in (select s_suppkey from supplier where s_acctbal > 5000) and l_partkey in (select p_partkey from part where p_size < 10)",
     "store_consistency": """select (select count(distinct doc_id) from documents where doc_id not in (select vec_id * 3 from embeddings)) as only_left, (select count(distinct vec_id) from embeddings where vec_id * 3 not in (select doc_id from documents)) as only_right""",
     "usage_by_stage": f"""with {_EV}, a as (select event_type as stage, count(*) as c, round(sum(value), 2) as t from ev where build <= '20240110' group by 1), b as (select event_type as stage, count(*) as c, round(sum(value), 2) as t from ev where build <= '20240120' group by 1)

@@ -18,13 +18,13 @@ def doc_blocks(spark: SparkSession, d: str) -> DataFrame:
     url = F.concat(F.when(n % 3 == 0, "http://").otherwise("https://"), F.lit("h"), (n % 40).cast("string"), F.lit(".example.org/"), (n % 80).cast("string"))
     return table(spark, d, "documents").select(
         url.alias("url"), F.concat(F.lit("html[0]>body[0]>p["), n.cast("string"), F.lit("]")).alias("html_tag_path"),
-        F.concat(F.lit("b"), n.cast("string")).alias("block_id"), F.substring_index("text", "\n", 1).alias("content"), n.alias("child_index"),
+        F.concat(F.lit("b"), n.cast("string")).alias("block_id"), F.col("text").alias("content"), n.alias("child_index"),
     )
 
 
 _BLOCKS = """
 blocks as (select case when doc_id % 3 = 0 then 'http://' else 'https://' end || 'h' || cast(doc_id % 40 as varchar) || '.example.org/' || cast(doc_id % 80 as varchar) as url,
-  'html[0]>body[0]>p[' || cast(doc_id as varchar) || ']' as html_tag_path, 'b' || cast(doc_id as varchar) as block_id, split_part(text, chr(10), 1) as content, doc_id as child_index from documents)"""
+  'html[0]>body[0]>p[' || cast(doc_id as varchar) || ']' as html_tag_path, 'b' || cast(doc_id as varchar) as block_id, text as content, doc_id as child_index from documents)"""
 
 
 def word_count_cjk(spark: SparkSession, d: str) -> DataFrame:

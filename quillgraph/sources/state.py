@@ -12,7 +12,9 @@ def base(spark: SparkSession) -> str:
     """The checkpoint folder that the session names; a local session without one gets its own."""
     kept = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not kept:
-        kept = tempfile.mkdtemp(prefix="quillgraph-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        kept = tempfile.mkdtemp(prefix="quillgraph-")  # one machine: tests and trials
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(kept)
     return kept

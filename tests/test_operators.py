@@ -119,7 +119,7 @@ def test_pack(spark):
 def test_bm25_negative_idf(spark):
     docs = spark.createDataFrame([(1, "same words"), (2, "same thing")], "doc_id long, text string")
     stats = search.corpus_stats(docs)
-    idf = {r["term"]: r["idf"] for r in search.idf(search.postings(docs), stats).collect()}
+    idf = {r["term"]: r["idf"] for r in search.idf(search.vocabulary(docs), stats).collect()}
     import math
 
     low, mid = math.log(0.5) - math.log(2.5), 0.0
@@ -246,3 +246,33 @@ def test_boilerplate_is_looked_for_in_the_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["is_boilerplate"] for r in texts.block_boilerplate_filter(spark, str(tmp_path)).collect()}
     assert got == {6: True, 7: True, 14: False, 15: False}
+
+
+def test_query_api_runs_the_modes(spark, sf):
+    """Mode A's ids come back; a hybrid question gets the best of modes A and B, each scaled on its own."""
+    from quillgraph.operators import modes, rank
+    from quillgraph.plans import retrieval as r
+
+    q = r._questions(spark, sf)
+    e = r._engine(spark, sf)
+    direct = {(x["query_id"], str(x["id"])) for x in modes.direct(r._blocks(spark, sf), e.tables["vectors"], q).collect()}
+    got = e.query(q, mode="mode_a").collect()
+    assert {(x["query_id"], x["id"]) for x in got} == direct and {x["from_modes"] for x in got} == {"mode_a"}
+    both = e.query(q, mode="hybrid")
+    a = e.direct(q).select("query_id", F.lit("mode_a").alias("mode"), F.col("id").cast("string").alias("id"), "score")
+    b = e.navigation(q).select("query_id", F.lit("mode_b").alias("mode"), F.col("id").cast("string").alias("id"), "score")
+    want = rank.merge_modes(a.unionByName(b))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, want.collect()))
+    assert any("," in x["from_modes"] or x["from_modes"] == "mode_b" for x in both.collect())
+    trace = {x["label"]: x["n"] for x in e.trace(q, mode="hybrid").collect()}
+    assert trace["asked"] == q.count() and trace["found"] == both.count()
+
+
+def test_acronyms_of_a_large_alias_table(spark):
+    """No alias is left out, however many there are."""
+    from quillgraph.operators import router
+
+    aliases = spark.range(20_000).select(F.concat(F.lit("ZQ"), F.col("id").cast("string")).alias("variant"), F.concat(F.lit("Long name "), F.col("id").cast("string")).alias("canonical"))
+    q = spark.createDataFrame([(1, "where is zq19999 and ZQ3?"), (2, "nothing here")], "query_id long, text string")
+    got = {x["query_id"]: x["expanded"] for x in router.expand_acronyms(q, aliases).collect()}
+    assert got == {1: "where is zq19999 and ZQ3? (ZQ19999 = Long name 19999; ZQ3 = Long name 3)", 2: "nothing here"}

@@ -37,6 +37,7 @@ def test_query_gives_the_rows_of_its_sql(spark, con, sf, name):
     assert sorted(names) == cols
     theirs = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in got.fetchall()), key=str)
     assert ours == theirs
+    assert ours or name == "mirror_block_remap", "a query without rows shows nothing"  # no mirrored text at this scale
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
