@@ -12,7 +12,7 @@
 A step moves a document's rate by a function of its posteriors and the residual alone, and all rates start equal. So, by
 induction, documents of equal posteriors have equal rates at every step: the sums over documents are sums over distinct
 posteriors weighed by their tokens, with nothing lost. Posteriors of three decimals bound these at half a million rows
-whatever the corpus; they stay spread over the tasks, and each step is one aggregation of them.
+whatever the corpus; they lie in ``SPREAD`` partitions, and each step is one aggregation of them.
 
 Defined results: a null or empty text has 0 tokens and the posteriors of a text without features; repeated rows are
 counted and drawn each, with the same copies; rows of null id are drawn once; no labelled rows give equal posteriors; no
@@ -32,7 +32,8 @@ from quillgraph.llm.common import free_name, materialize, unit_hash
 
 DOMAINS = ("clean", "junk", "toxic")
 DOMAIN_OF = "case when quality = 0 then 'junk' when toxic = 1 then 'toxic' when quality = 1 then 'clean' end"
-SAMPLE, STEPS = 8192, 96
+SAMPLE, STEPS = 8192, 64
+SPREAD = 8  # tasks that hold the distinct posteriors
 LEAST, ODDS, BINS = 5, 2.0, 5  # documents of a listed word, its log odds, bins of a share
 #: the printable ASCII marks: the classes of characters whose shares are features, besides capitals
 MARKS = "!#$%&*+;<=>?@^_`{|}~\\/\"'()[]:-"
@@ -190,7 +191,8 @@ def mix(
     proportion; rates within ``snap`` of a whole number are that number.
     """
     rows = classify(docs, labels, id_col, text_col)
-    mass = materialize(rows.groupBy("p").agg(F.sum("tokens").cast("double").alias("tokens")), "mix-mass")
+    # half a million rows at most, whatever the corpus: a few tasks a step are enough
+    mass = materialize(rows.groupBy("p").agg(F.sum("tokens").cast("double").alias("tokens")).coalesce(SPREAD), "mix-mass")
     sums = mass.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(d))).alias(x) for d, x in enumerate(DOMAINS)]).first()
     have = [sums[x] or 0.0 for x in DOMAINS]
     share = np.array([float(weights.get(d, 0.0)) for d in DOMAINS])
