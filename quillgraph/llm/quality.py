@@ -20,7 +20,8 @@ A document is rejected when its perplexity lies outside the ``low`` and ``high``
 language and band of length (short texts vary more). A model knows its own training texts too well, so quantiles are taken from the trusted documents of one fold
 in ``FOLDS`` (by a hash of the id) and the counts from the others. Quantiles come from histograms of log-perplexity in bins of ``BIN``, so they are the same however the rows are
 dealt; ``high`` is a bin's upper edge and ``low`` a lower one. Where a band has fewer than ``LEAST`` such documents, the
-quantiles are those of its language, and where a language has fewer than ``FEW``, those of all.
+quantiles are those of its language, and where a language has fewer than ``FEW``, those of all. Fewer than ``FEW`` in all
+tell no quantile, and nothing is rejected.
 
 Defined results: a null or empty text has perplexity null and is accepted; a null language is a language of its own,
 apart from the empty string; repeated rows are scored each, and rows of one id by their own texts; rows of null id are
@@ -342,7 +343,7 @@ def thresholds(scored: DataFrame, low: float, high: float) -> DataFrame:
         F.exp((F.min(F.when(F.col("seen") >= high * F.col("total"), F.col("b"))) + 1) * BIN).alias("hi"),
         F.max("total").alias("n"),
     )
-    return cut.where(f"level = 2 or n >= case when level = 0 then {LEAST} else {FEW} end").drop("n")
+    return cut.where(f"n >= case when level = 0 then {LEAST} else {FEW} end").drop("n")
 
 
 def _judged(rows: DataFrame, labels: DataFrame, trusted: str, low: float, high: float) -> DataFrame:

@@ -155,7 +155,7 @@ def test_mixture_of_the_pipeline_meets_its_shares(spark, sf):
     out = mixing.mix(docs, labels, pipeline.MIXTURE, anchor="clean").collect()
     drawn = {d: sum(r["rate"] * r["tokens"] * r[f"p_{d}"] for r in out) for d in mixing.DOMAINS}
     for d, w in pipeline.MIXTURE.items():
-        assert drawn[d] / sum(drawn.values()) == pytest.approx(w, rel=0.03, abs=1e-4), d
+        assert drawn[d] / sum(drawn.values()) == pytest.approx(w, rel=0.03, abs=5e-4), d  # half a per mille of 200 documents is less than one
 
 
 def test_mix_of_equal_posteriors_loses_nothing(spark):
