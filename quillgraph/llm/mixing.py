@@ -1,8 +1,9 @@
 """Mixing sources to target weights by soft membership (native).
 
 1. A naive Bayes classifier is fitted on at most ``SAMPLE`` labelled rows (the smallest hashes of their ids). All its
-   features are learned from these rows: how many words a text has that set a domain apart from the clean one (every
-   word that passes the odds test counts, so their number is bounded by the sample), and the shares of each mark, of
+   features are learned from these rows, near copies told once: how many words a text has that set a domain apart from
+   the clean one (every word that passes a test of its odds, at a level for as many words as are tested, counts; so
+   their number is bounded by the sample), and the shares of each mark, of
    capitals and of repeated words; all are cut into bins at quantiles of the sample. Each document gets posteriors of all domains, to three decimals.
 2. A document's rate is the number of times it should be drawn, at least 0. Rates solve least squares: the expected
    tokens of each domain, summed over documents as rate * tokens * posterior, should equal the domain's target.
@@ -103,17 +104,42 @@ class Classifier:
         return df.withColumn("p", F.concat(F.array(first), "_p")).drop("_b", "_s", "_e", "_p")
 
 
+def _sketch() -> Column:
+    """The smallest hash of a text's runs of five words (of all its words, if fewer): near copies mostly share it."""
+    w = F.col("words")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 5)))
+    return F.array_min(runs)
+
+
+def _apart(domain: str, n: dict[str, int], tested: int) -> Column:
+    """Whether a word sets ``domain`` apart from the clean one: by its odds, and by more than chance among ``tested`` words.
+
+    If clean documents and those of the domain held the word alike, at least this many of its documents would be the
+    domain's with a probability below exp(-gain) (Chernoff); less than one of all tested words gets so far by chance.
+    """
+    t, c = F.col(domain), F.col("clean")
+    odds = F.log((t + 0.5) / (n[domain] + 1.0)) - F.log((c + 0.5) / (n["clean"] + 1.0))
+    part = min(max(n[domain] / max(n[domain] + n["clean"], 1), 1e-9), 1.0 - 1e-9)
+    gain = t * (F.ln(t) - F.ln(t + c) - math.log(part)) + F.when(c > 0, c * (F.ln(c) - F.ln(t + c) - math.log(1.0 - part))).otherwise(0.0)
+    return (t >= LEAST) & (odds > ODDS) & F.coalesce(gain > math.log(max(tested, 1)), F.lit(False))
+
+
 def fit(sample: DataFrame) -> Classifier:
     """The classifier of rows (domain, text), whose number the caller bounds."""
     read = materialize(sample.select("domain", *[c.alias(n) for n, c in _read(F.col("text")).items()]), "mix-read")
-    n = {d: 0 for d in DOMAINS} | {r[0]: r[1] for r in read.groupBy("domain").count().collect()}
-    total = sum(n.values())
+    count = lambda df: {d: 0 for d in DOMAINS} | {r[0]: r[1] for r in df.groupBy("domain").count().collect()}
+    all_of = count(read)
+    total = sum(all_of.values())
     if not total:
         return Classifier([0.0] * len(DOMAINS), [], [])
-    prior = [math.log((n[d] + 1.0) / (total + len(DOMAINS))) for d in DOMAINS]
+    prior = [math.log((all_of[d] + 1.0) / (total + len(DOMAINS))) for d in DOMAINS]
+    # copies of a text are no independent witnesses: one row of those that share their smallest shingle tells
+    read = read.groupBy("domain", _sketch().alias("_k")).agg(F.min(F.struct("words", "rest", "chars")).alias("_r")).select("domain", "_r.*")
+    read = materialize(read.coalesce(SPREAD), "mix-told")
+    n = count(read)
     held = read.select("domain", F.explode(F.array_distinct("words")).alias("w")).where("w <> ''").groupBy("w").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
-    odds = lambda d: F.log((F.col(d) + 0.5) / (n[d] + 1.0)) - F.log((F.col("clean") + 0.5) / (n["clean"] + 1.0))
-    apart = {d: (F.col(d) >= LEAST) & (odds(d) > ODDS) for d in DOMAINS[1:]}
+    held = materialize(held.coalesce(SPREAD), "mix-words")
+    apart = {d: _apart(d, n, held.count()) for d in DOMAINS[1:]}
     listed = held.select("w", *[c.alias(d) for d, c in apart.items()]).where(reduce(Column.__or__, [F.col(d) for d in apart])).collect()  # bounded by the sample
     words = [sorted(r["w"] for r in listed if r[d]) for d in apart]
     # edges between bins: quantiles of the sample's values above 0; no value above 0, one bin
