@@ -133,7 +133,7 @@ def test_mix_meets_targets(corpus):
 
 
 def test_words_by_chance_and_of_copies_are_not_learned(spark):
-    filler = lambda i: " ".join(f"w{(i * 37 + k * 11) % 300}" for k in range(40))
+    filler = lambda i: " ".join(f"w{(i * i * 7 + k * k * 13 + i * k) % 300}" for k in range(40))
     rows = [("clean", filler(i)) for i in range(60)] + [("toxic", f"{filler(i + 7)} zorbly {filler(i + 9)}") for i in range(12)]
     rows += [("toxic", "one text told again and again with plainword in it")] * 12
     model = mixing.fit(spark.createDataFrame(rows, "domain string, text string"))
