@@ -8,10 +8,11 @@ The index is a kd-tree over projections, whose splits are fitted on at most ``SA
 its leaf, and leaves get the exact bounds of all their rows. A query first searches its own leaf. Then it visits leaves
 as long as the stopping test does not hold: with d the distance of its k-th neighbour so far and p the projected distance
 of a leaf (or of a point in it), it stops where the chi-squared law says that a point nearer than d would lie within p
-with probability of at least ``SURE``. What is visited is verified with true inner products, nearest projections first.
+with probability of at least ``SURE``. Within a leaf, neighbours come by projected distance in increments (``FIRST``, then
+twice as many each time); each increment is verified with true inner products, and the test is asked again after it.
 
-Queries go to the leaves they visit, so a leaf meets its own queries only; a task keeps the best of each query it has
-seen and gives those alone. Leaves beyond ``LEAF`` rows (when the number of leaves is at its bound) are dealt to blocks.
+Queries go to the leaves they visit, so a leaf meets its own queries only; a task keeps the best of at most about
+``HELD`` queries and gives those alone. Leaves beyond ``LEAF`` rows (when the number of leaves is at its bound) are dealt to blocks.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors
 of another length than most; candidates of a query are all rows with another id; equal scores go by smaller id; fewer
@@ -32,6 +33,7 @@ from quillgraph.llm.common import materialize, partitions
 from quillgraph.llm.vectors import matrix, most_common_size, pair_dots, runs, sound
 
 DIMS, LEAF, LEAVES, SAMPLE, SURE = 8, 2048, 4096, 65536, 0.97
+FIRST, HELD = 64, 65536  # neighbours of a leaf's first increment; queries whose best a task holds
 
 
 def chi_square_cdf(x: float, k: int) -> float:
@@ -94,6 +96,36 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 def _search(met: DataFrame, k: int, top: float, directions: np.ndarray, quantile: float, parts: int) -> DataFrame:
     """(query_id, vec_id, score): each query's best of a task, from rows (spot, query_id null for points, id, v, p, bound)."""
 
+    def verified(q, norm, px, pid, gap, name, held, bound):
+        """The best ``k`` of ``held`` and this leaf: neighbours by projected distance, in increments that double, until the
+        stopping test holds. None if nothing is nearer."""
+        some_ids, some = held if held is not None else (np.zeros(0, np.int64), np.zeros(0))
+
+        def state() -> tuple[float, float]:
+            """The k-th score so far, and the projected distance (squared) beyond which the test holds."""
+            worst = max(bound, some[-1] if len(some) == k else -math.inf)
+            return worst, math.inf if worst == -math.inf else quantile * max(0.0, 2.0 * top * top - 2.0 * top / norm * worst) + 1e-9
+
+        (worst, limit), at, step, changed = state(), 0, FIRST, False
+        order = np.flatnonzero((gap <= limit) & (pid != name))
+        order = order[np.argsort(gap[order], kind="stable")]
+        while at < len(order) and gap[order[at]] <= limit:
+            part = order[at : at + step]
+            part = part[px[part] @ q >= worst - 1e-9]  # with room for rounding
+            if len(part):
+                all_ids = np.concatenate([some_ids, pid[part]])
+                scores = np.concatenate([some, pair_dots(np.broadcast_to(q, (len(part), len(q))), px[part])])
+                chosen = _best(all_ids, scores, k)
+                some_ids, some, changed = all_ids[chosen], scores[chosen], True
+                worst, limit = state()
+            at, step = at + step, 2 * step
+        return (some_ids, some) if changed else None
+
+    def given(best: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        n = [len(v[0]) for v in best.values()]
+        cols = [np.repeat(np.array(list(best), np.int64), n), np.concatenate([v[0] for v in best.values()]), np.concatenate([v[1] for v in best.values()])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for group in runs(batches, "spot"):
@@ -112,29 +144,16 @@ def _search(met: DataFrame, k: int, top: float, directions: np.ndarray, quantile
                 norm = np.sqrt(np.sum(q * q, axis=1))
                 qp = (np.concatenate([q, np.zeros((len(q), 1))], axis=1) * (top / norm)[:, None]) @ directions
                 gap = np.sum(qp * qp, axis=1)[:, None] + np.sum(pp * pp, axis=1)[None, :] - 2.0 * (qp @ pp.T)
-                dots = q @ px.T
                 for i, row in enumerate(some.tolist()):
-                    name, held = int(ids[row]), best.get(int(ids[row]))
-                    worst = max(bound[row], held[1][-1] if held is not None and len(held[1]) == k else -math.inf)
-                    # squared distance of the k-th neighbour so far; beyond this projected distance the test holds
-                    limit = math.inf if worst == -math.inf else quantile * max(0.0, 2.0 * top * top - 2.0 * top / norm[i] * worst)
-                    ok = (gap[i] <= limit + 1e-9) & (dots[i] >= worst - 1e-9) & (pid != name)
-                    at = np.flatnonzero(ok)
-                    if len(at) > 4 * k:  # only what can be among the best, with room for rounding
-                        cut = np.partition(dots[i][at], len(at) - k)[len(at) - k]
-                        at = at[dots[i][at] >= cut - 1e-9]
-                    if not len(at):
-                        continue
-                    score = pair_dots(np.broadcast_to(q[i], (len(at), q.shape[1])), px[at])
-                    all_ids, all_scores = pid[at], score
-                    if held is not None:
-                        all_ids, all_scores = np.concatenate([held[0], all_ids]), np.concatenate([held[1], all_scores])
-                    chosen = _best(all_ids, all_scores, k)
-                    best[name] = (all_ids[chosen], all_scores[chosen])
+                    name = int(ids[row])
+                    got = verified(q[i], norm[i], px, pid, gap[i], name, best.get(name), bound[row])
+                    if got is not None:
+                        best[name] = got
+            if len(best) >= HELD:  # a query's best of several batches are put together later
+                yield given(best)
+                best = {}
         if best:
-            n = [len(v[0]) for v in best.values()]
-            cols = [np.repeat(np.array(list(best), np.int64), n), np.concatenate([v[0] for v in best.values()]), np.concatenate([v[1] for v in best.values()])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
+            yield given(best)
 
     dealt = met.repartition(parts, "spot").sortWithinPartitions("spot").select("spot", "is_query", "id", "v", "bound")
     return dealt.mapInArrow(run, "query_id long, vec_id long, score double")

@@ -99,3 +99,51 @@ def test_empty(spark):
     none = frame(spark, [])
     assert cover_tree.near_duplicates(none).count() == 0
     assert projections.nearest(none).count() == 0
+
+
+def test_levels_halve_and_cover():
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.standard_normal((30, 6)), 20, axis=0) + rng.standard_normal((600, 6)) * 0.001
+    x = np.concatenate([x, np.repeat(x[:1], 50, axis=0)])  # and copies
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = cover_tree.CoverTree(x)
+    assert len(tree.levels) > 3
+    for above, level in zip([None, *tree.levels], tree.levels, strict=False):
+        far = np.linalg.norm(x - x[level["center"][level["of"]]], axis=1)
+        assert (far <= level["radius"][level["of"]] + 1e-7).all()
+        assert sorted(level["order"].tolist()) == list(range(len(x)))
+        if above is not None:
+            assert (level["parent"][level["of"]] == above["of"]).all() and set(above["center"].tolist()) <= set(level["center"].tolist())
+    wide = np.diff(tree.levels[-1]["start"]) > cover_tree.FEW
+    assert (tree.levels[-1]["radius"][wide] <= 1e-5).all()
+
+
+def test_weights_count_copies():
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((80, 5))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    w = rng.integers(1, 9, 80)
+    counts, _ = cover_tree.meet(cover_tree.CoverTree(x), None, 0.8, w)
+    close = (x @ x.T >= 0.8) & ~np.eye(80, dtype=bool)
+    assert counts.tolist() == (close @ w).tolist()
+
+
+def test_repeated_and_null_ids(spark):
+    v, far = [1.0, 0.0], [0.0, 1.0]
+    rows = [(3, v, 0, ""), (3, v, 0, ""), (3, far, 0, ""), (8, far, 0, ""), (9, [-0.0, 1.0], 0, ""), (None, v, 0, ""), (1, v, 1, "")]
+    got = cover_tree.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), str(r["kept"])) for r in got) == sorted(
+        [("3", 1, "3", "True")] * 2 + [("3", 2, "3", "True"), ("8", 2, "3", "False"), ("9", 2, "3", "False"), ("None", 0, "None", "None"), ("1", 0, "1", "True")]
+    )
+    found = projections.nearest(frame(spark, rows), "vec_id = 8", 3).collect()
+    assert {r["vec_id"] for r in found} >= {3, 9} and all(r["query_id"] == 8 for r in found)
+
+
+def test_equal_scores_across_leaves_go_by_id(spark, monkeypatch):
+    monkeypatch.setattr(projections, "LEAF", 8)
+    rng = np.random.default_rng(13)
+    rows = [(i, ([1.0, 0.0, 0.0] if i % 4 == 0 else rng.standard_normal(3).astype(np.float32).tolist()), 0, "") for i in range(80)]
+    got = projections.nearest(frame(spark, rows), "vec_id = 40", 5, sure=0.999999).orderBy("rank").collect()
+    x = {i: r[1] for i, r in enumerate(rows)}
+    want = sorted(((-x[i][0], i) for i in x if i != 40))[:5]
+    assert [r["vec_id"] for r in got] == [i for _, i in want]
