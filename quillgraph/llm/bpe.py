@@ -8,8 +8,9 @@ edges agree with those of both sides (at last the window holds both chunks). Thi
 
 Where the vocabulary lowers all letters and always parts tokens at white space, which is read off its file and tried on
 the library (:meth:`ChunkEncoder.by_words`), a new chunk is put together from its words, each encoded once in a task, and
-only the word that a cut went through is encoded again, with more neighbours until wider and narrower windows agree. If
-they never do, the text goes the general way.
+only the word that a cut went through is encoded again, alone and between its neighbours. Where the two disagree, the
+text goes the general way, whose windows widen. Words are parted at the bytes ``BLANKS``; a text with other white space
+of one byte (``OTHER``) goes the general way from the start.
 
 Caches are per task and bounded (``CACHE`` entries, then emptied and filled anew): sharing chunks between tasks would
 take a shuffle of all texts and of all ids, which is more disk than the encoding may use.
@@ -31,7 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE = 200_000
-REPAIR, SPAN = 8, 32  # words, and tokens, around a join; the latter doubles until both sides agree
+SPAN = 32  # tokens around a join, doubled until both sides agree
+NEAR = 1024  # bytes looked at for the word before and after a cut one
+BLANKS, OTHER = b" \t\n\r", "\x0b\x0c"
 WINDOW = 8  # bytes of the rolling hash
 MASK = (1 << 10) - 1  # one cut in 1,024 bytes on average
 #: Words of these letters alone are one piece for the tokenizer, whose last token carries the word-end mark.
@@ -73,7 +76,7 @@ class ChunkEncoder:
         if not lowers or not self.ends.any():
             return False
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
-        tries = ("Ab cd", "a-b c", "x1 y2", "it's so", "no. yes,", "é Ü ß", "a\nb", "a\u00a0b")
+        tries = ("Ab cd", "a-b c", "x1 y2", "it's so", "no. yes,", "é Ü ß", "a\nb", "a\tb", "a\r\nb", "a\u00a0b")
         return all(ids(t) == ids(t.lower()) == [i for w in t.split() for i in ids(w)] for t in tries) and ids("ab.") == ids("ab .")
 
     def whole(self, text: str) -> tuple[bytes, bytes]:
@@ -122,6 +125,10 @@ class ChunkEncoder:
     def special(self, text: str) -> bool:
         return any(t in text for t in self.added)
 
+    def plain(self, text: str) -> bool:
+        """Whether words may stand for chunks in ``text``: no special tokens, and no blanks that words are not parted at."""
+        return self.by_words and not self.special(text) and not any(c in text for c in OTHER)
+
     def library(self, text: str) -> tuple[bytes, bytes]:
         """Ids and decoded text as the library gives them."""
         ids = self.lib.encode(text, add_special_tokens=False).ids
@@ -174,44 +181,35 @@ class ChunkEncoder:
             self.chunks[chunk] = got
         return got
 
-    def _repaired(self, left: list[bytes], word: bytes, right: list[bytes]) -> tuple[bytes, bytes] | None:
-        """The word that a cut went through, encoded again with its neighbours, one more on each side until the ids of the
-        wider window are those of the narrower one between its outer words'. None if no window of the text agrees."""
-        key = (left[-1][-3:], word, right[0][:3])
+    def _repaired(self, left: bytes, word: bytes, right: bytes) -> tuple[bytes, bytes] | None:
+        """The word that a cut went through, encoded again alone and between its neighbours. None if the two disagree."""
+        key = (left[-3:], word, right[:3])
         if key in self.joins:
             return self.ids[word], self.said[word]
-        inner = self.library(word.decode())
-        narrow = inner[0]
-        for k in range(1, min(len(left), len(right)) + 1):
-            wide = self.library(b" ".join([*left[-k:], word, *right[:k]]).decode())[0]
-            if wide == self.ids[left[-k]] + narrow + self.ids[right[k - 1]]:
-                if k == 1:
-                    self.joins.add(key)
-                    return inner
-                return None  # the word's ids depend on its neighbours': the text is encoded as a whole
-            narrow = wide
-        return None
+        alone = self.library(word.decode())
+        if self.library(b" ".join([left, word, right]).decode())[0] != self.ids[left] + alone[0] + self.ids[right]:
+            return None
+        self.joins.add(key)
+        return alone
 
     def encode(self, data: bytes, joins: list[tuple[int, int]]) -> tuple[bytes, bytes] | None:
-        """Ids (little-endian, 32 bits) and decoded text; ``joins`` are the white space before and after each cut word.
+        """Ids (little-endian, 32 bits) and decoded text; ``joins`` are the blanks before and after each cut word.
 
-        None if a join can't be repaired within windows of ``REPAIR`` words.
+        None if a join can't be repaired so. All words of ``data`` have been learned.
         """
         ids, said, pos = [], [], 0
         for a, b in joins:
             if a < pos or b <= a:
-                continue  # no white space since the last join: the cut lies in the same word
+                continue  # no blank since the last join: the cut lies in the same word
             left, word = data[pos:a], data[a + 1 : b]
             parts = [self._inside(left)]
-            before, after = left.rsplit(None, REPAIR)[-REPAIR:], data[b + 1 : b + 1 + 64 * REPAIR].split()[:REPAIR]
-            if after and after[-1] not in self.ids:
-                after.pop()  # its end lies beyond what was looked at
-            if word and before and after:
-                done = self._repaired([w for w in before if w in self.ids], word, after)
+            before, after = data[max(pos, a - NEAR) : a].split()[-1:], data[b + 1 : b + 1 + NEAR].split()[:1]
+            if word and before and after and before[0] in self.ids and after[0] in self.ids:
+                done = self._repaired(before[0], word, after[0])
                 if done is None:
                     return None
                 parts.append(done)
-            elif word:
+            elif word:  # at an end of the text, or beside a word longer than what was looked at
                 parts.append(self._inside(word))
             for i, s in parts:
                 ids.append(i)
@@ -246,13 +244,15 @@ def prepared(texts: list[str]) -> list[tuple[bytes, list[tuple[int, int]]]]:
     lower[65:91] += 32
     data = lower[data]
     letter = (data >= 97) & (data <= 122)
-    space = (data == 32) | (data == 10)
+    is_blank = np.zeros(256, bool)
+    is_blank[list(BLANKS)] = True
+    space = is_blank[data]
     mark = (data == 46) | (data == 44)
     at = np.flatnonzero(letter[:-2] & mark[1:-1] & space[2:]) + 1
     ends = np.cumsum(lengths)
     ends += np.searchsorted(at, ends)
     data = np.insert(data, at, 32)
-    blank = np.flatnonzero((data == 32) | (data == 10))
+    blank = np.flatnonzero(is_blank[data])
     cuts = cut_points(data)
     k = np.searchsorted(blank, cuts)  # the last byte is a line end
     before = np.where(k > 0, blank[np.maximum(k - 1, 0)], -1)
@@ -290,7 +290,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 texts = [t.as_py() or "" for t in part.column(1)]
                 done: list = [None] * len(texts)
                 # special tokens are matched before anything is lowered
-                some = [k for k, t in enumerate(texts) if t and enc.by_words and not enc.special(t)]
+                some = [k for k, t in enumerate(texts) if t and enc.plain(t)]
                 ready = prepared([texts[k] for k in some]) if some else []
                 enc.learn(b"\n".join([d for d, _ in ready]))
                 for k, (data, joins) in zip(some, ready, strict=True):
