@@ -20,7 +20,7 @@ from quillgraph.llm.common import materialize
 from quillgraph.llm.words import byte_classes, held, words_of
 
 #: Bytes of text that a block holds.
-BLOCK = 8 << 20
+BLOCK = 20 << 20
 LEAST, WORDS, TOP = 10, 3, 2000
 #: Fixed by the contract: blanks between words, and breaks between pieces.
 KINDS = byte_classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
@@ -64,11 +64,11 @@ def _paired(lines: pa.Table, names: pa.Table, keep: bool) -> pa.Table:
         return None
     line = np.frombuffer(lines.column("codes")[0].as_py(), np.int32)
     name = names.column("id").to_numpy()
-    to = np.full(int(line.max()) + 2, -1, np.int64)  # the last place is that of -1
+    to = np.full(int(line.max()) + 2, -1, np.int32)  # the last place is that of -1
     to[names.column("code").to_numpy()] = np.arange(len(name))
     seq = to[line]
     ok = (seq[1:] >= 0) & (seq[:-1] >= 0)
-    pairs, inverse, n = np.unique(seq[:-1][ok] * len(name) + seq[1:][ok], return_inverse=True, return_counts=True)
+    pairs, inverse, n = np.unique(seq[:-1][ok] * np.int64(len(name)) + seq[1:][ok], return_inverse=True, return_counts=True)
     if not len(pairs):
         return None
     line = None
@@ -137,7 +137,7 @@ def _pairing(keep: bool):
     return run
 
 
-def collocations(docs: DataFrame, least: int = LEAST, words: int = WORDS, top: int = TOP, share: int = 50) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, words: int = WORDS, top: int = TOP, share: int = 50, block: int = BLOCK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases by how far they stick together.
 
     The score is floor(1000000 a a / (l r)) at the cut where it is lowest (ties: the earliest cut). A phrase goes where
@@ -148,7 +148,7 @@ def collocations(docs: DataFrame, least: int = LEAST, words: int = WORDS, top: i
     whole; equal scores and counts rank by the bytes of the phrase; an empty table gives no rows; other columns are not
     read.
     """
-    phrases, totals = named_phrases(docs, least, words)
+    phrases, totals = named_phrases(docs, least, words, block)
     longer = phrases.where("size > 2").select(F.explode(F.array("first", "last")).alias("id"), F.col("size") - 1, "f").toDF("id", "size", "longer")
     longer = longer.groupBy("size", "id").agg(F.max("longer").alias("longer"))
     kept = phrases.where("size > 1").join(longer, ["size", "id"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("f")))

@@ -26,15 +26,17 @@ def words_of(texts: pa.Array, kinds: np.ndarray) -> tuple[pa.LargeStringArray, n
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
     is_word = kinds[data] == WORD
-    begins = is_word.copy()  # a word begins where no word letter of the same text stands before
-    begins[1:] &= ~is_word[:-1]
-    heads = ends[:-1][np.diff(ends) > 0]
-    begins[heads] = is_word[heads]
+    filled = np.diff(ends) > 0
+    begins, stops = is_word.copy(), is_word.copy()
+    begins[1:] &= ~is_word[:-1]  # a word begins and stops where no word letter of the same text stands beside it
+    stops[:-1] &= ~is_word[1:]
+    heads, tails = ends[:-1][filled], ends[1:][filled] - 1
+    begins[heads], stops[tails] = is_word[heads], is_word[tails]
     starts = np.flatnonzero(begins)
+    at = np.append(0, np.cumsum(np.flatnonzero(stops) + 1 - starts))
     letters = data[is_word]
     capitals = (letters >= 65) & (letters <= 90)
     letters[capitals] += 32
-    at = np.append(np.searchsorted(np.flatnonzero(is_word), starts), len(letters)) if len(starts) else np.zeros(1, np.int64)
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(letters))
     row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, ends)))
     opens = np.ones(len(starts), bool)
