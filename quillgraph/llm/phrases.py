@@ -1,8 +1,9 @@
 """Phrase collocation mining by hierarchical pair naming.
 
 Level 1 names the frequent words of a language. Level k reads, block by block, the sequence of frequent (k-1)-gram names,
-counts adjacent pairs of them, sums the counts over all blocks, and names the pairs that are frequent; names are joined
-back to the blocks, where they make the next sequence. A name's two parents are its first and last k-1 words, so the
+counts adjacent pairs of them, sums the counts over all blocks, and names the pairs that are frequent after the first
+block that has them; the names go back to the blocks, where they make the next sequence. A block's counts are shuffled
+once: sum and name are windows over a pair's blocks, which spill where they are many. A name's two parents are its first and last k-1 words, so the
 counts of all cuts, and the longer phrases that hold a phrase, are joins along parents: no text is read again.
 """
 
@@ -31,7 +32,7 @@ _PAIRS = "block long, lang string, code int, a long, b long, n long, codes binar
 
 def _coded(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Blocks of (lang, text): a row for each distinct word with its code and count, and one row with all codes in order."""
-    task, block = TaskContext.get().partitionId() << 32, 0
+    task, block = TaskContext.get().partitionId() << 12, 0  # 4,096 blocks of a task are 80 GB of its text
     for lang, rows in held(batches, "lang", "text", most):
         words, _, opens = words_of(rows.column("text").combine_chunks(), KINDS)
         if not len(words):
@@ -41,6 +42,8 @@ def _coded(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         at = np.arange(len(codes)) + np.cumsum(opens)  # a gap before each piece
         line = np.full(at[-1] + 1, -1, np.int32)
         line[at] = codes
+        if block >> 12:
+            raise OverflowError("more than 4,096 blocks in one task: read the corpus in smaller splits")
         yield _rows(task + block, lang, {"word": known.cast(pa.string())}, np.bincount(codes, minlength=len(known)), line)
         block += 1
 
@@ -79,6 +82,20 @@ def _paired(lines: pa.Table, names: pa.Table, keep: bool) -> pa.Table:
     return _rows(lines.column("of")[0].as_py(), lines.column("lang")[0].as_py(), key, n, line)
 
 
+def _mark() -> F.Column:
+    """A number for a code of a block: blocks are below 2^32 and codes below 2^31."""
+    return F.col("block") * F.lit(1 << 31) + F.col("code")
+
+
+def _named(coded: DataFrame, key: list[str], least: int) -> DataFrame:
+    """(block, code, lang, key, f, id, own): codes of all blocks whose key is frequent, with its count over all blocks and
+    its name, the mark of the first block and code that has it; ``own`` in that one row."""
+    over = Window.partitionBy(*key)
+    rows = coded.where("code is not null").select("block", "code", "lang", *[k for k in key if k != "lang"], "n", _mark().alias("mark"))
+    rows = rows.withColumns({"f": F.sum("n").over(over), "id": F.min("mark").over(over)}).where(F.col("f") >= least)
+    return materialize(rows.select("block", "code", "lang", *[k for k in key if k != "lang"], "f", "id", (F.col("mark") == F.col("id")).alias("own")), "phrases-named")
+
+
 def named_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(phrases of 1 to ``words`` words that occur ``least`` times, words by language), counted over whole texts.
 
@@ -89,38 +106,35 @@ def named_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, block
     coded = materialize(texts.mapInArrow(lambda batches: _coded(batches, block), _WORDS), "phrases-1")
     totals = materialize(coded.where("code is not null").groupBy("lang").agg(F.sum("n").alias("n")), "phrases-n")
     none = F.array().cast("array<long>")
-    level = coded.where("code is not null").groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    level = materialize(
-        level.select(
-            F.monotonically_increasing_id().alias("id"), "lang", F.lit(1).alias("size"), F.col("word").alias("phrase"), "f",
-            F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), none.alias("heads"), none.alias("tails"),
-        ),
-        "phrases-names",
+    named = _named(coded, ["lang", "word"], least)
+    level = named.where("own").select(
+        "id", "lang", F.lit(1).alias("size"), F.col("word").alias("phrase"), "f",
+        F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), none.alias("heads"), none.alias("tails"),
     )
-    levels, key = [level], ["lang", "word"]
-    names = level.select("id", "lang", F.col("phrase").alias("word"))
+    levels = [level]
     for size in range(2, words + 1):
-        more = size < words
-        mapped = coded.where("code is not null").join(names, key).select("block", "code", "id")
         lines = coded.where("code is null").select(F.col("block").alias("of"), "lang", "codes")
-        pairs = lines.groupBy("of").cogroup(mapped.groupBy("block"))
-        coded = materialize(pairs.applyInArrow(_pairing(more), _PAIRS), f"phrases-{size}")
-        key = ["a", "b"]
-        found = coded.where("code is not null").groupBy("lang", "a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        pairs = lines.groupBy("of").cogroup(named.select("block", "code", "id").groupBy("block"))
+        coded = materialize(pairs.applyInArrow(_pairing(size < words), _PAIRS), f"phrases-{size}")
+        if size < words:
+            named = _named(coded, ["a", "b"], least)
+            found = named.where("own").select("id", "lang", "a", "b", "f")
+        else:  # nothing reads the blocks again: counts are enough
+            found = coded.where("code is not null").groupBy("a", "b").agg(F.min(_mark()).alias("id"), F.min("lang").alias("lang"), F.sum("n").alias("f"))
+            found = found.where(F.col("f") >= least)
         left = level.select(F.col("id").alias("a"), F.col("phrase").alias("p"), F.col("f").alias("fa"), F.col("heads"))
         right = level.select(F.col("id").alias("b"), F.substring_index("phrase", " ", -1).alias("w"), F.col("f").alias("fb"), F.col("tails"))
         level = materialize(
             found.join(left, "a")
             .join(right, "b")
             .select(
-                F.monotonically_increasing_id().alias("id"), "lang", F.lit(size).alias("size"), F.concat_ws(" ", "p", "w").alias("phrase"), "f",
+                "id", "lang", F.lit(size).alias("size"), F.concat_ws(" ", "p", "w").alias("phrase"), "f",
                 F.col("a").alias("first"), F.col("b").alias("last"),
                 F.concat("heads", F.array("fa")).alias("heads"), F.concat(F.array("fb"), "tails").alias("tails"),
             ),
             "phrases-names",
         )
         levels.append(level)
-        names = level.select("id", F.col("first").alias("a"), F.col("last").alias("b"))
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)
