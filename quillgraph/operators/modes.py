@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from quillgraph.config import RetrievalParams, ScoringParams
 from quillgraph.functions import expr as E
-from quillgraph.operators import graph, rank, search
+from quillgraph.operators import bm25, graph, rank, search
 
 R, S = RetrievalParams(), ScoringParams()
 
 
-def direct(blocks: DataFrame, vectors: DataFrame, questions: DataFrame, p: RetrievalParams = R, budget: int = S.token_budget) -> DataFrame:
+def direct(blocks: DataFrame, vectors: DataFrame, questions: DataFrame, p: RetrievalParams = R, budget: int = S.token_budget, index: bm25.Index | None = None) -> DataFrame:
     """Mode A: dense and sparse hits, fused by rank, cut by the token budget.
 
     ``questions`` has (query_id, text, qvec); ``blocks`` (doc_id, text, tokens); ``vectors`` (vec_id, embedding).
     Result: (query_id, id, rank, rrf, dense_rank, bm25_rank, tokens_before).
     """
     dense = search.knn(vectors, questions.select("query_id", "qvec"), p.first_stage_top_k).select("query_id", "id", F.col("rank").alias("dense_rank"))
-    sparse = search.bm25(blocks, questions, p.bm25_top_k, query_id="query_id").select("query_id", F.col("doc_id").alias("id"), F.col("rank").alias("bm25_rank"))
+    sparse = search.bm25(blocks, questions, p.bm25_top_k, query_id="query_id", index=index).select("query_id", F.col("doc_id").alias("id"), F.col("rank").alias("bm25_rank"))
     pool = dense.join(sparse, ["query_id", "id"], "full_outer")
     part = lambda c: F.coalesce(1.0 / (p.rrf_k + F.col(c)), F.lit(0.0))
     fused = pool.withColumn("rrf", F.round(part("dense_rank") + part("bm25_rank"), 6))

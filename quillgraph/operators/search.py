@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import expr as E
+from quillgraph.operators import blocks
+from quillgraph.operators import bm25 as sparse
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
-MAX_BROADCAST_QUERIES = 1024
+EPSILON = sparse.EPSILON
 
 
 def top_per(rows: DataFrame, group: str, order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -17,7 +18,7 @@ def top_per(rows: DataFrame, group: str, order: list, k: int, rank: str = "rank"
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, len, term, tf): the sparse index. The write side of a persistent one is ``.write.bucketBy(n, "term")``."""
+    """(doc_id, len, term, tf) of a corpus."""
     tokens = docs.select(F.col(doc_id).alias("doc_id"), E.ascii_tokens(F.col(text)).alias("tokens"))
     rows = tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
     return rows.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
@@ -42,46 +43,29 @@ def idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", floored.alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, query_id: str = "item_id", doc_id: str = "doc_id", text: str = "text", query_text: str = "text") -> DataFrame:
+def bm25(
+    docs: DataFrame, queries: DataFrame, k: int, query_id: str = "item_id", doc_id: str = "doc_id", text: str = "text", query_text: str = "text", index: sparse.Index | None = None
+) -> DataFrame:
     """(query_id, doc_id, score, rank): Okapi scores, query words with their multiplicity; documents of score 0 fill up to k.
 
-    Only terms that some query has are joined. Documents without any query term are not scored: where a query has fewer
-    than k others, the smallest ids among the first k documents fill its list.
+    ``index`` is the stored one of ``docs``; without it one is written for this batch alone.
     """
-    stats = corpus_stats(docs, text)
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(E.ascii_tokens(F.col(query_text))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weights = idf(vocabulary(docs, text), stats).join(asked.select("term").distinct(), "term", "left_semi")
-    # of the corpus' tokens only those that some question has are counted by document
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), E.ascii_tokens(F.col(text)).alias("tokens"))
-    rows = tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    posted = rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    hit = posted.join(asked, "term").join(weights, "term").crossJoin(F.broadcast(stats))
-    tf = F.col("tf")
-    gain = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * gain), 6).alias("score"))
-    first = docs.select(F.col(doc_id).alias("doc_id")).orderBy("doc_id").limit(k)
-    zero = queries.select(F.col(query_id).alias("query_id")).crossJoin(F.broadcast(first)).join(scored, ["query_id", "doc_id"], "left_anti")
-    pool = scored.unionByName(zero.withColumn("score", F.lit(0.0)))
-    return top_per(pool, "query_id", [F.desc("score"), "doc_id"], k)
+    return sparse.search(index or sparse.temporary(docs, doc_id, text), queries, k, query_id, query_text)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, where: str | None = None, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): exact cosine search of (query_id, qvec), filtered by a condition on either side.
 
-    Up to ``MAX_BROADCAST_QUERIES`` queries go to the vectors by broadcast; more go to blocks of vectors by a shuffle.
+    Vectors and queries meet as dense blocks (:mod:`quillgraph.operators.blocks`), whatever their numbers; a meeting
+    leaves ``k`` rows a query. A condition on both sides' columns needs the rows themselves: there queries go to the
+    vectors over a grid of tasks.
     """
-    few = len(queries.limit(MAX_BROADCAST_QUERIES + 1).select("query_id").take(MAX_BROADCAST_QUERIES + 1)) <= MAX_BROADCAST_QUERIES
-    if few:
-        met = vectors.crossJoin(F.broadcast(queries))
+    if where is None:
+        scored = blocks.nearest(vectors, queries, k, id_col, vec)
     else:
-        blocks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left = vectors.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
-        right = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-        met = left.join(right, "_block").drop("_block")
-    if where:
-        met = met.where(where)
-    scored = met.select("query_id", F.col(id_col).alias("id"), F.round(E.cosine(F.col("qvec"), F.col(vec)), 6).alias("score"))
+        left, right = vectors.withColumn("_all", F.lit(0)), queries.withColumn("_all", F.lit(0))
+        met = blocks.tiled(left, right, "_all", id_col, "query_id").where(where)
+        scored = met.select("query_id", F.col(id_col).alias("id"), F.round(E.cosine(F.col("qvec"), F.col(vec)), 6).alias("score"))
     return top_per(scored, "query_id", [F.desc("score"), "id"], k)
 
 

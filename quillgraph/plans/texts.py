@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import expr as E
-from quillgraph.operators import dedup, kg, providers, router
+from quillgraph.operators import dedup, kg, lookup, providers, resolution, router
 from quillgraph.sources.tables import table
 
 MAIN_HOST = "thther.example.org"
@@ -147,10 +147,23 @@ def fuzzy_top5(spark: SparkSession, d: str) -> DataFrame:
     return kg.fuzzy_top(table(spark, d, "part").select(F.col("p_type").alias("kind"), F.col("p_name").alias("name")).distinct())
 
 
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    """The first words of each document as a mention of it, under a type by language, with a vector of its tokens."""
+    words = F.filter(F.split(F.substring("text", 1, 400), "\\s+"), lambda w: w != "")
+    kind = F.when(F.col("lang") == "en", "PERSON").when(F.col("lang") == "de", "DEPARTMENT").otherwise("COURSE")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), F.array_join(F.slice(words, 1, 9), " ").alias("name"), kind.alias("kind"))
+    nations = table(spark, d, "nation").select(F.col("n_name").alias("variant"), F.concat(F.lit("Nation "), F.initcap("n_name")).alias("canonical"), F.col("n_nationkey").alias("ordinal"))
+    named = kg.with_aliases(providers.HashingEmbedder(64).embed(rows, "name"), nations)
+    return named.select("ordinal", "name", "kind", "canonical", F.col("embedding").alias("vec"))
+
+
 def entity_resolve(spark: SparkSession, d: str) -> DataFrame:
-    none = F.lit(None)
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), none.cast("string").alias("canonical"), none.cast("array<double>").alias("vec"))
-    return kg.resolve(rows)
+    return resolution.resolve(_mentions(spark, d)).withColumn("score", F.round("score", 6))
+
+
+def entity_merge_log(spark: SparkSession, d: str) -> DataFrame:
+    """What the resolver did, by kind of merge."""
+    return lookup.merge_report(entity_resolve(spark, d))
 
 
 def relation_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +182,7 @@ def query_decompose(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     word_count_cjk, ascii_token_counts, identity_hashes, block_boilerplate_filter, block_content_remap, mirror_block_remap, remap_compose,
     token_jaccard_pairs, router_heuristic, acronym_expand, history_window, suggestion_sanitize, entity_norm_exact_merge, alias_lookup,
-    type_and_strength, fuzzy_top5, entity_resolve, relation_texts, topic_keywords, query_decompose,
+    type_and_strength, fuzzy_top5, entity_resolve, entity_merge_log, relation_texts, topic_keywords, query_decompose,
 )}
 
 

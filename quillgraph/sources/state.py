@@ -28,3 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint: a long chain of joins is neither planned nor computed twice."""
     base(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in that folder: for loops, whose plans would else carry the size estimates of every round before."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -192,13 +192,6 @@ def test_crawl_and_links(spark):
     assert out == {("a", 0), ("b", 1), ("c", 2)}
 
 
-def test_resolve(spark):
-    rows = [(1, "Ada Lovelace", "PERSON", None, [1.0, 0.0]), (2, "Dr. Ada Lovelace", "PERSON", None, [1.0, 0.0]), (3, "Ada Lovelac", "PERSON", None, [1.0, 0.0]), (4, "Grace Hopper", "PERSON", None, [0.0, 1.0])]
-    out = {r["ordinal"]: r for r in kg.resolve(spark.createDataFrame(rows, "ordinal int, name string, kind string, canonical string, vec array<double>")).collect()}
-    assert out[1]["entity_id"] == out[2]["entity_id"] == out[3]["entity_id"] != out[4]["entity_id"]
-    assert [out[i]["action"] for i in (1, 2, 3, 4)] == ["new_entity", "exact", "auto_merge", "new_entity"]
-
-
 def test_embedder_and_answer(spark):
     rows = providers.HashingEmbedder(8).embed(spark.createDataFrame([(1, "a b a"), (2, "")], "id int, text string"), "text").collect()
     assert sum(x * x for x in rows[0]["embedding"]) == pytest.approx(1.0) and sum(rows[1]["embedding"]) == 0
