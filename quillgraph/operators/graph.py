@@ -19,25 +19,42 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("a"), F.col("dst").alias("b"), *cols).unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"), *cols))
 
 
+def _best(rows: DataFrame, group: list[str], order: list, m: int) -> DataFrame:
+    """The first ``m`` rows of each group; tasks leave ``m`` of a group before the shuffle, however large a hub is."""
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("k") <= m)
+
+
 def neighbors(edges: DataFrame, seeds: DataFrame, hops: int, m: int) -> DataFrame:
     """(seed, nbr, relation_type, path_weight): neighbours within ``hops`` of (seed).
 
     Paths repeat no edge; a path weighs the sum of its edges; the m heaviest *paths* of a seed are kept, and of these the
     best for each neighbour. The type is that of the first edge. Work starts at the seeds, so hubs elsewhere cost nothing.
+
+    For two hops no list of paths is made: a first step counts only if it is one of the m + 1 best from its seed to its
+    node, and a second step only if it is one of the m + 1 best of its node. One more than m, as a path may not go back by
+    the edge it came by; any other path has m that are better.
     """
     u = undirected(edges).withColumn("weight", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)))
     path = seeds.select("seed", F.col("seed").alias("at")).join(u.withColumnRenamed("a", "at"), "at")
-    path = path.select("seed", F.col("b").alias("nbr"), "relation_type", F.col("weight").alias("path_weight"), F.array("edge_id").alias("trail"))
-    paths, last = path, path
-    for _ in range(1, hops):
-        step = u.select(F.col("a").alias("nbr"), F.col("b").alias("next"), F.col("edge_id").alias("e"), F.col("weight").alias("w"))
-        last = last.join(step, "nbr").where(~F.array_contains("trail", F.col("e")))
-        last = last.select("seed", F.col("next").alias("nbr"), "relation_type", (F.col("path_weight") + F.col("w")).alias("path_weight"), F.concat("trail", F.array("e")).alias("trail"))
-        paths = paths.unionByName(last)
-    order = [F.desc("path_weight"), "nbr", F.size("trail"), F.array_join("trail", ">")]
-    top = paths.withColumn("k", F.row_number().over(Window.partitionBy("seed").orderBy(*order))).where(F.col("k") <= m)
-    best = top.groupBy("seed", "nbr").agg(F.min_by("relation_type", "k").alias("relation_type"), F.min_by("path_weight", "k").alias("path_weight"))
-    return best
+    order = [F.desc("path_weight"), "nbr", "steps", "trail"]
+    columns = ["seed", "nbr", "relation_type", "path_weight", "steps", "trail"]
+    first = path.select("seed", F.col("b").alias("nbr"), "relation_type", F.col("weight").alias("path_weight"), F.lit(1).alias("steps"), F.col("edge_id").alias("trail"))
+    paths = _best(first, ["seed"], order, m).select(*columns)
+    if hops == 2:
+        begun = _best(first, ["seed", "nbr"], [F.desc("path_weight"), F.concat("trail", F.lit(">"))], m + 1).drop("k")
+        steps = u.join(begun.select(F.col("nbr").alias("a")).distinct(), "a", "left_semi")
+        steps = _best(steps, ["a"], [F.desc("weight"), "b", "edge_id"], m + 1).select(F.col("a").alias("nbr"), "b", F.col("edge_id").alias("e"), F.col("weight").alias("w"))
+        second = begun.join(steps, "nbr").where("trail <> e")
+        paths = paths.unionByName(second.select("seed", F.col("b").alias("nbr"), "relation_type", (F.col("path_weight") + F.col("w")).alias("path_weight"), F.lit(2).alias("steps"), F.concat_ws(">", "trail", "e").alias("trail")))
+    elif hops > 2:
+        last = first.withColumn("met", F.array("trail"))
+        for n in range(2, hops + 1):
+            step = u.select(F.col("a").alias("nbr"), F.col("b").alias("next"), F.col("edge_id").alias("e"), F.col("weight").alias("w"))
+            last = last.join(step, "nbr").where(~F.array_contains("met", F.col("e")))
+            last = last.select("seed", F.col("next").alias("nbr"), "relation_type", (F.col("path_weight") + F.col("w")).alias("path_weight"), F.lit(n).alias("steps"), F.concat_ws(">", "trail", "e").alias("trail"), F.concat("met", F.array("e")).alias("met"))
+            paths = paths.unionByName(_best(last, ["seed"], order, m).select(*columns))
+    top = _best(paths, ["seed"], order, m)
+    return top.groupBy("seed", "nbr").agg(F.min_by("relation_type", "k").alias("relation_type"), F.min_by("path_weight", "k").alias("path_weight"))
 
 
 def neighbor_edges(edges: DataFrame, seed: str, hops: int, limit: int) -> DataFrame:

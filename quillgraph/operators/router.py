@@ -66,11 +66,13 @@ def _any(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def route(queries: DataFrame, text: str = "text", p: RouterParams = R) -> DataFrame:
-    """Adds mode, confidence, alt_mode and rule. A list question goes to reasoning unless it names a person."""
+    """Adds mode, confidence, alt_mode and rule. A list question goes to reasoning; one that names a person as well is
+    mixed, and no single-mode rule decides it, not even where a navigation pattern fits."""
     q = F.lower(F.trim(F.col(text)))
+    mixed = _any(q, REASONING) & _any(q, PERSON)
     rules = [
-        (_any(q, REASONING) & ~_any(q, PERSON), ("mode_c", 1.0, None, "heuristic")),
-        (_any(q, NAVIGATION), ("mode_b", 1.0, None, "heuristic")),
+        (_any(q, REASONING) & ~mixed, ("mode_c", 1.0, None, "heuristic")),
+        (_any(q, NAVIGATION) & ~mixed, ("mode_b", 1.0, None, "heuristic")),
         (_any(q, COMPARISON), ("mode_b", 0.55, "mode_a", "comparison")),
         (_any(q, SHARED_RESEARCHER), ("mode_b", 0.55, "mode_c", "shared")),
     ]

@@ -50,8 +50,9 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kg_neighbors_k2(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d).where("relation_type = 'supplies'")
-    return graph.neighbors(e, _seeds(spark), 2, 10)
+    """Neighbours over all types of edges, of every supplier whose key 20 divides and of all nations, which are hubs."""
+    s = table(spark, d, "supplier").where("s_suppkey % 20 = 0").select(_id("S", "s_suppkey").alias("seed"))
+    return graph.neighbors(edges(spark, d), s.unionByName(table(spark, d, "nation").select(_id("N", "n_nationkey").alias("seed"))), 2, 10)
 
 
 def kg_neighbor_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +133,7 @@ def _asked(spark: SparkSession) -> DataFrame:
 
 
 def mode_c(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d).where("relation_type = 'supplies'")
+    e = edges(spark, d)
     more = spark.createDataFrame([(0, "P5", 0.5), (1, "P6", 0.4)], "query_id long, id string, weight double")
     return modes.reasoning(e, _mentions(spark, d), _asked(spark), more)
 
@@ -180,7 +181,7 @@ picked as (select c.query_id, id, kind, weight, cast(k as integer) as k from (se
 
 ORACLE_SQL = {
     "graph_stats": f"with {_NODES}, {_EDGES} select 'node' as kind, type as name, count(*) as n from nodes group by 2 union all select 'edge', relation_type, count(*) from edges group by 2",
-    "kg_neighbors_k2": f"with {_SUP}, {_neighbors('''select unnest(['S1', 'S2', 'P7']) as seed''', 10)} select * from near",
+    "kg_neighbors_k2": f"with {_ALL}, {_neighbors('''select 'S' || s_suppkey as seed from supplier where s_suppkey % 20 = 0 union all select 'N' || n_nationkey from nation''', 10)} select * from near",
     "kg_neighbor_edges": f"""with {_SUP}, p1 as (select b as nbr, edge_id as e1, null as e2 from und where a = 'P7'), p2 as (select u.b as nbr, e1, u.edge_id as e2 from p1 join und u on u.a = p1.nbr where u.edge_id <> e1),
   e as (select nbr, e1 as edge_id from p1 union select nbr, e1 from p2 union select nbr, e2 from p2)
   select nbr, e.edge_id, u.relation_type, u.weight from e join (select distinct edge_id, relation_type, weight from und) u on u.edge_id = e.edge_id order by weight desc, nbr, edge_id limit 40""",
@@ -207,7 +208,7 @@ ORACLE_SQL = {
   select entity_id, hits, topics, cost, cast(spent as bigint) as spent from s where spent <= 80""",
     "entity_quota_prune": f"""with cand as (select p_partkey % 4 as query_id, 'P' || p_partkey as id, case p_partkey % 3 when 0 then 'seed' when 1 then 'global' else 'neighbor' end as kind, p_retailprice as weight from part
   where p_partkey % 3 <> 0 or substr('P' || p_partkey, 2, 1) = '1'), {_QUOTA.format(s=10, g=10, n=30)} select query_id, id, kind, k from picked""",
-    "mode_c": f"""with {_SUP}, {_MENTIONS}, sd as (select * from (values (0, 'S1', 0.9), (0, 'S2', 0.8), (1, 'S3', 0.7)) v(query_id, id, weight)), gl as (select * from (values (0, 'P5', 0.5), (1, 'P6', 0.4)) v(query_id, id, weight)),
+    "mode_c": f"""with {_ALL}, {_MENTIONS}, sd as (select * from (values (0, 'S1', 0.9), (0, 'S2', 0.8), (1, 'S3', 0.7)) v(query_id, id, weight)), gl as (select * from (values (0, 'P5', 0.5), (1, 'P6', 0.4)) v(query_id, id, weight)),
   {_neighbors('select distinct id as seed from sd', 10)},
   nb as (select query_id, nbr as id, max(path_weight) as weight from sd join near on near.seed = sd.id group by 1, 2),
   cand as (select query_id, id, weight::double as weight, 'seed' as kind from sd union all select query_id, id, weight::double, 'global' from gl

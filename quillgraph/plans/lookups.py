@@ -20,7 +20,10 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_of_block(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.page_of_block(_contains(spark, d), _blocks(spark, d))
+    """Parts as blocks on orders as pages; the own url of an even part is its last order, that of an odd one no page."""
+    own = F.when(F.col("block_id") % 2 == 0, F.max("url")).otherwise(-1).alias("url")
+    asked = _contains(spark, d).join(_blocks(spark, d), "block_id", "left_semi").groupBy("block_id").agg(own)
+    return lookup.page_of_block(_contains(spark, d), asked)
 
 
 def block_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -41,8 +44,8 @@ def node_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    old, new = e.where("id % 3 <> 0"), e.where("id % 2 = 0").withColumn("label", F.col("label") + 100)
-    return lookup.upsert_points(old, new, 64).select("id", "label", F.size("embedding").alias("dim"))
+    old, new = e.where("id % 3 <> 0"), e.where("id % 2 = 0").withColumn("at", F.explode(F.array(F.lit(2), F.lit(1))))
+    return lookup.upsert_points(old, new.withColumn("label", F.col("label") + F.col("at") * 100), 64, order="at").select("id", "label", F.size("embedding").alias("dim"))
 
 
 def point_delete(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +66,7 @@ def rerank_order(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select(
         F.col("source").alias("query_id"), n.alias("id"), F.when(n % 5 == 0, F.lit(" ")).otherwise(F.col("text")).alias("content"),
         (1000.0 - n % 97).alias("first_score"), ((n % 13) / 13.0).alias("rerank"),
+        F.when(n % 8 > 0, 10_000 - n % 1000).alias("first_rank"),
     )
     out = lookup.reranked(rows, F.length("query_id") == 4)
     return out.select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
@@ -70,8 +74,8 @@ def rerank_order(spark: SparkSession, d: str) -> DataFrame:
 
 def sort_missing_last(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("p_partkey")
-    rows = table(spark, d, "part").select(F.col("p_brand").alias("query_id"), n.alias("id"), F.when(n % 3 > 0, n % 7).alias("a"), F.when(n % 4 > 0, F.col("p_size")).alias("b"))
-    return lookup.missing_last(rows, "query_id", ["a", "b"], "id").select("query_id", "id", "rank")
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("query_id"), n.alias("id"), F.when(n % 3 > 0, n % 7).alias("a"), F.when(n % 4 > 0, F.col("p_size")).alias("b"), (-n).alias("first_rank"))
+    return lookup.missing_last(rows, "query_id", ["a", "b"], "id", "first_rank").select("query_id", "id", "rank")
 
 
 def token_estimates(spark: SparkSession, d: str) -> DataFrame:
@@ -125,20 +129,20 @@ _P = RouterParams(disable_hybrid=False)
 _ASKED = "(select p_partkey from part where p_size < 25)"
 
 ORACLE_SQL = {
-    "page_of_block": f"select l_partkey as block_id, min(l_orderkey) as url from lineitem where l_partkey in {_ASKED} group by 1",
+    "page_of_block": f"select l_partkey as block_id, case when l_partkey % 2 = 0 then max(l_orderkey) else min(l_orderkey) end as url from lineitem where l_partkey in {_ASKED} group by 1",
     "block_entities": f"select distinct l_partkey as block_id, l_suppkey as entity_id from lineitem where l_partkey in {_ASKED}",
     "block_parents": "select distinct o_custkey as block_id, c_nationkey as parent_id from orders left join (select * from customer where c_acctbal > 0) on c_custkey = o_custkey",
     "node_lookup": """with n as (select 'R' || r_regionkey as id, 'region' as type, r_name as name, r_regionkey as k from region union all select 'N' || n_nationkey, 'nation', n_name, n_nationkey from nation
   union all select 'C' || c_custkey, 'customer', c_name, c_custkey from customer union all select 'S' || s_suppkey, 'supplier', s_name, s_suppkey from supplier union all select 'P' || p_partkey, 'part', p_name, p_partkey from part)
   select id, type, name from n where k in (select doc_id from documents)""",
-    "vector_upsert": "select vec_id as id, case when vec_id % 2 = 0 then label + 100 else label end as label, len(embedding) as dim from embeddings where vec_id % 2 = 0 or vec_id % 3 <> 0",
+    "vector_upsert": "select vec_id as id, case when vec_id % 2 = 0 then label + 200 else label end as label, len(embedding) as dim from embeddings where vec_id % 2 = 0 or vec_id % 3 <> 0",
     "point_delete": "select vec_id as id, label from embeddings where vec_id not in (select vec_id from embeddings where label = 3)",
     "cache_store": "select event_type || '|' || user_id as key, max({'t': ts, 'i': event_id, 'v': value}).v as response from events group by 1",
-    "rerank_order": """with r as (select source as query_id, doc_id as id, length(source) = 4 as failed, (doc_id % 5 = 0 or trim(coalesce(text, '')) = '') as empty, cast(1000.0 - doc_id % 97 as double) as f, (doc_id % 13) / 13.0 as s from documents),
+    "rerank_order": """with r as (select source as query_id, doc_id as id, length(source) = 4 as failed, (doc_id % 5 = 0 or trim(coalesce(text, '')) = '') as empty, cast(1000.0 - doc_id % 97 as double) as f, (doc_id % 13) / 13.0 as s, case when doc_id % 8 > 0 then 10000 - doc_id % 1000 end as fr from documents),
   t as (select *, case when failed then null when empty then 0.0 else s end as rs from r)
-  select query_id, id, round(rs, 6) as rerank_score, cast(row_number() over (partition by query_id order by case when failed then 0 else cast(empty as integer) end, case when failed then f else rs end desc, id) as integer) as rank from t""",
+  select query_id, id, round(rs, 6) as rerank_score, cast(row_number() over (partition by query_id order by case when failed then 0 else cast(empty as integer) end, case when failed then f else rs end desc, fr nulls last, id) as integer) as rank from t""",
     "sort_missing_last": """with r as (select p_brand as query_id, p_partkey as id, case when p_partkey % 3 > 0 then p_partkey % 7 end as a, case when p_partkey % 4 > 0 then p_size end as b from part)
-  select query_id, id, cast(row_number() over (partition by query_id order by a desc nulls last, b desc nulls last, id) as integer) as rank from r""",
+  select query_id, id, cast(row_number() over (partition by query_id order by a desc nulls last, b desc nulls last, -id) as integer) as rank from r""",
     "token_estimates": r"select doc_id, case when coalesce(text, '') = '' then 0 else cast(floor(greatest(len(regexp_extract_all(text, '\S+')), 1) * 1.3) as integer) end as tokens from documents",
     "properties_merge": "select p_partkey, array_to_string(list_sort(['brand=' || p_brand, 'kind=' || upper(p_type), 'size' || (p_size % 2) || '=' || p_size]), ';') as properties from part",
     "merge_report": """with c as (select case when s >= 0.92 then 'auto_merge' when s >= 0.9 then 'review' else 'new_entity' end as action from (select 0.85::double + (p_partkey % 15) / 100.0::double as s from part))

@@ -87,20 +87,22 @@ def router_heuristic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("item_id") % 10
+    n = F.col("item_id") % 11
     lead = ["which professors do NLP?", "library hours", "MSc A vs MSc B", "admission and tuition fee", "who does research with Prof. Li", "哪些老师", "two researchers share topics",
-            "What is the fee and the deadline respectively", "how does A compare with B", "joint publication of X"]
+            "What is the fee and the deadline respectively", "how does A compare with B", "joint publication of X",
+            "Which professors work with Prof. Li and what are their offices respectively"]
     head = F.lit("")
     for i, t in enumerate(lead):
         head = F.when(n == i, t).otherwise(head)
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(head, F.lit(" "), F.substring("text", 1, 40)).alias("text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(head, F.lit(" "), "text").alias("text"))
 
 
 def _lead_sql() -> str:
     lead = ["which professors do NLP?", "library hours", "MSc A vs MSc B", "admission and tuition fee", "who does research with Prof. Li", "哪些老师", "two researchers share topics",
-            "What is the fee and the deadline respectively", "how does A compare with B", "joint publication of X"]
+            "What is the fee and the deadline respectively", "how does A compare with B", "joint publication of X",
+            "Which professors work with Prof. Li and what are their offices respectively"]
     cases = " ".join(f"when {i} then '{t}'" for i, t in enumerate(lead))
-    return f"questions as (select item_id as query_id, case item_id % 10 {cases} end || ' ' || substr(text, 1, 40) as text from benchmark)"
+    return f"questions as (select item_id as query_id, case item_id % 11 {cases} end || ' ' || text as text from benchmark)"
 
 
 def acronym_expand(spark: SparkSession, d: str) -> DataFrame:
@@ -221,8 +223,9 @@ ORACLE_SQL = {
   p as (select doc_id, t, lead(doc_id) over w as other, lead(t) over w as o from t window w as (partition by source order by doc_id)),
   q as (select doc_id, other, len(list_intersect(t, o)) as i, len(t) + len(o) as s from p where other is not null)
   select doc_id, other, case when s - i > 0 then round(i / (s - i), 6) else 0.0 end as jaccard from q""",
-    "router_heuristic": f"""with {_lead_sql()}, q as (select query_id, lower(trim(text)) as q from questions),
-  m as (select query_id, {_patterns('q', router.REASONING)} and not {_patterns('q', router.PERSON)} as c, {_patterns('q', router.NAVIGATION)} as b, {_patterns('q', router.COMPARISON)} as x, {_patterns('q', router.SHARED_RESEARCHER)} as s from q)
+    "router_heuristic": f"""with {_lead_sql()}, q0 as (select query_id, lower(trim(text)) as q from questions),
+  m0 as (select query_id, {_patterns('q', router.REASONING)} as l, {_patterns('q', router.PERSON)} as p, {_patterns('q', router.NAVIGATION)} as n, {_patterns('q', router.COMPARISON)} as x, {_patterns('q', router.SHARED_RESEARCHER)} as s from q0),
+  m as (select *, l and not p as c, n and not (l and p) as b from m0)
   select query_id, case when c then 'mode_c' when b or x or s then 'mode_b' else 'mode_a' end as mode,
   case when c or b then 1.0 when x or s then 0.55 else 0.5 end::double as confidence, case when c or b then 'heuristic' when x then 'comparison' when s then 'shared' else 'default' end as rule from m""",
     "acronym_expand": r"""with a as (select 'N' || cast(n_nationkey as varchar) as variant, 'Nation ' || r_name as canonical from nation join region on n_regionkey = r_regionkey),

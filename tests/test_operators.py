@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.api import Engine, Forbidden
 from quillgraph.config import UrlRules
 from quillgraph.functions import expr as E
-from quillgraph.operators import dedup, graph, html, kg, providers, rank, router, search, store, web
+from quillgraph.operators import dedup, graph, html, kg, lookup, providers, rank, router, search, store, web
 from quillgraph.streaming import incremental
 
 RULES = UrlRules(host_suffixes=("lib.example.edu",))
@@ -132,6 +132,51 @@ def test_neighbors_by_paths(spark):
     assert out == {("c", 7.0), ("a", 3.0)}
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from("abcde"), st.sampled_from("abcde"), st.sampled_from(["t", "u"]), st.integers(0, 4)), min_size=1, max_size=18, unique_by=lambda e: e[:3]), st.integers(1, 4))
+def test_two_hops_are_those_of_all_paths(spark, edges, m):
+    rows = [e for e in edges if e[0] != e[1]]
+    both = [(a, b, f"{a}|{b}|{t}", t, w) for a, b, t, w in rows] + [(b, a, f"{a}|{b}|{t}", t, w) for a, b, t, w in rows]
+    want = set()
+    for seed in "ab":
+        one = [(-w, b, 1, e, t) for a, b, e, t, w in both if a == seed]
+        two = [(p - w, b, 2, f"{e1}>{e}", t1) for p, x, _, e1, t1 in one for a, b, e, _, w in both if a == x and e != e1]
+        best = {}
+        for w, b, _, _, t in sorted(one + two)[:m]:
+            best.setdefault(b, (seed, b, t, float(-w)))
+        want |= set(best.values())
+    df = spark.createDataFrame(rows, "src string, dst string, relation_type string, weight int") if rows else spark.createDataFrame([], "src string, dst string, relation_type string, weight int")
+    got = graph.neighbors(df, spark.createDataFrame([("a",), ("b",)], "seed string"), 2, m).collect()
+    assert {(r["seed"], r["nbr"], r["relation_type"], r["path_weight"]) for r in got} == want
+
+
+@pytest.mark.parametrize("question,mode", [
+    ("Which professors work with Prof. Li and what are their offices respectively", "mode_a"),  # mixed: no single-mode rule
+    ("which professors do research on NLP", "mode_c"), ("office and phone respectively", "mode_b"), ("library hours", "mode_a"),
+    ("Who does research with Dr. Chan vs Dr. Lee", "mode_b"), ("哪些老师", "mode_c"),
+])
+def test_router_by_hand(spark, question, mode):
+    assert router.route(spark.createDataFrame([(question,)], "text string")).first()["mode"] == mode
+
+
+def test_page_of_a_block_is_its_own_where_it_can_be(spark):
+    held = spark.createDataFrame([("u1", "b"), ("u2", "b"), ("u3", "b"), ("u2", "c"), ("u3", "d")], "url string, block_id string")
+    asked = spark.createDataFrame([("b", "u2"), ("c", "u9"), ("e", "u1")], "block_id string, url string")
+    assert {(r["block_id"], r["url"]) for r in lookup.page_of_block(held, asked).collect()} == {("b", "u2"), ("c", "u2")}
+
+
+def test_rerank_ties_go_by_first_rank_and_points_are_one_an_id(spark):
+    rows = spark.createDataFrame([(1, 1, "x", 0.5, 2, 0.7), (1, 2, "x", 0.9, 1, 0.7), (1, 3, "", 0.9, 0, 0.9)], "query_id int, id int, content string, first_score double, first_rank int, rerank double")
+    assert [r["id"] for r in lookup.reranked(rows).orderBy("rank").collect()] == [2, 1, 3]
+    old = spark.createDataFrame([(1, [0.0], 0), (2, [0.0], 0)], "id int, embedding array<double>, at int")
+    new = spark.createDataFrame([(2, [1.0], 1), (2, [2.0], 2), (3, [3.0], 1)], "id int, embedding array<double>, at int")
+    assert {(r["id"], r["embedding"][0]) for r in lookup.upsert_points(old, new, 1, order="at").collect()} == {(1, 0.0), (2, 2.0), (3, 3.0)}
+    with pytest.raises(Exception, match="several new points"):
+        lookup.upsert_points(old, new, 1).collect()
+    with pytest.raises(TypeError):
+        lookup.upsert_points(old, new.withColumn("id", new["id"].cast("string")), 1)
+
+
 def test_shortest_path(spark):
     edges = spark.createDataFrame([("a", "b", "t", 1), ("c", "b", "t", 1), ("c", "d", "t", 1), ("x", "y", "t", 1)], "src string, dst string, relation_type string, weight int")
     assert [r["id"] for r in graph.shortest_path(edges, "a", "d", 4).orderBy("step").collect()] == ["a", "b", "c", "d"]
