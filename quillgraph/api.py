@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillgraph.config import Settings
-from quillgraph.operators import graph, modes, rank, router, search
+from quillgraph.operators import bm25, graph, modes, rank, router, search
+from quillgraph.sources.state import written
+
+#: The tables that each mode reads, and the modes of a hybrid that is asked for.
+NEEDS = {
+    "mode_a": {"blocks", "vectors"},
+    "mode_b": {"blocks", "vectors", "pages", "links"},
+    "mode_c": {"edges", "mentions", "entities"},
+    "mode_d": {"edges", "mentions", "entities"},
+}
+HYBRID = ("mode_a", "mode_b", "mode_c")
 
 
 class Forbidden(RuntimeError):
@@ -17,11 +28,13 @@ class Forbidden(RuntimeError):
 
 @dataclass
 class Engine:
-    """``tables`` has blocks, vectors, nodes, edges, pages, links, mentions as far as the verbs in use need them."""
+    """``tables`` has blocks, vectors, nodes, edges, pages, links, mentions, entities as far as the verbs in use need them;
+    ``index`` is the stored sparse index of the blocks, if there is one."""
 
     tables: dict[str, DataFrame]
     settings: Settings = Settings()
     forbidden: frozenset[str] = frozenset()
+    index: bm25.Index | None = None
 
     def table(self, name: str) -> DataFrame:
         if name in self.forbidden:
@@ -38,33 +51,61 @@ class Engine:
         return routed
 
     def query(self, questions: DataFrame, mode: str | None = None) -> DataFrame:
-        """(query_id, mode, id, score, rank) of every question: routed, run in its mode or, by the gate, in two, and merged.
+        """(query_id, id, score, from_modes, rank) of every question: routed, run in its modes, scaled by mode and merged.
 
-        Every mode runs once, over the questions that are routed to it. Questions whose mode's tables are not there go
-        to mode A.
+        ``mode="hybrid"`` asks for all of A, B and C; the router's own hybrid for its mode and the alternative. Each mode
+        runs once, over the questions it is asked for. A mode that is asked for by name must have its tables; a question
+        that the router sends to one without them runs in mode A, which ``from_modes`` says.
         """
-        p = self.settings.router
-        rows = self.routed(questions, mode).withColumn("_forced", F.lit(mode).cast("string"))
-        both = router.is_hybrid(F.col("_forced"), F.col("mode"), F.col("alt_mode"), F.col("confidence"), p)
-        main = F.when(F.col("mode") == "hybrid", "mode_a").otherwise(F.col("mode"))
-        other = F.when(both, F.coalesce("alt_mode", F.lit("mode_b")))
-        asked = rows.select("query_id", "text", "qvec", F.explode(F.array_compact(F.array_distinct(F.array(main, other)))).alias("mode"))
-        runs = {"mode_a": self.direct} | ({"mode_b": self.navigation} if {"pages", "links"} <= self.tables.keys() else {})
-        runs |= {"mode_c": self.reasoning} if {"edges", "mentions", "entities"} <= self.tables.keys() else {}
-        known = F.when(F.col("mode").isin(*runs), F.col("mode")).otherwise("mode_a")
-        asked = asked.withColumn("mode", known).dropDuplicates(["query_id", "mode"])
-        found = None
-        for name, run in runs.items():
-            part = run(asked.where(F.col("mode") == name).select("query_id", "text", "qvec"))
+        return self._steps(questions, mode)["merge"]
+
+    def asked(self, questions: DataFrame, mode: str | None = None) -> DataFrame:
+        """(query_id, text, qvec, mode): each question once for each mode that it is run in."""
+        if mode is not None:
+            if mode not in (*router.MODES, "hybrid"):
+                raise ValueError(f"unknown mode {mode!r}")
+            wanted = HYBRID if mode == "hybrid" else (mode,)
+            lacking = {m: sorted(NEEDS[m] - self.tables.keys()) for m in wanted if not NEEDS[m] <= self.tables.keys()}
+            if lacking:
+                raise KeyError(f"tables missing for {lacking}")
+            modes_of = F.array(*[F.lit(m) for m in wanted])
+            return self.routed(questions, mode).select("query_id", "text", "qvec", F.explode(modes_of).alias("mode"))
+        rows = self.routed(questions)
+        both = router.is_hybrid(F.lit(None).cast("string"), F.col("mode"), F.col("alt_mode"), F.col("confidence"), self.settings.router)
+        listed = F.array_compact(F.array(F.col("mode"), F.when(both, F.col("alt_mode"))))
+        rows = rows.select("query_id", "text", "qvec", F.explode(listed).alias("mode"))
+        ready = [m for m in NEEDS if NEEDS[m] <= self.tables.keys()]
+        return rows.withColumn("mode", F.when(F.col("mode").isin(*ready), F.col("mode")).otherwise("mode_a")).dropDuplicates(["query_id", "mode"])
+
+    def _steps(self, questions: DataFrame, mode: str | None, watch=lambda name, df: df) -> dict[str, DataFrame]:
+        """The stages of :meth:`query` by name, in order; ``watch`` may look at each."""
+        asked = watch("routing", self.asked(questions, mode))
+        wanted = [m for m in NEEDS if NEEDS[m] <= self.tables.keys()] if mode is None else HYBRID if mode == "hybrid" else (mode,)
+        runs = {"mode_a": self.direct, "mode_b": self.navigation, "mode_c": self.reasoning, "mode_d": self.subgraph_blocks}
+        steps, found = {"routing": asked}, None
+        for name in wanted:
+            if name == "mode_d" and mode is None:
+                continue  # the router never sends a question there
+            part = runs[name](asked.where(F.col("mode") == name).select("query_id", "text", "qvec"))
             part = part.select("query_id", F.lit(name).alias("mode"), F.col("id").cast("string").alias("id"), F.col("score").cast("double").alias("score"))
-            found = part if found is None else found.unionByName(part)
-        return rank.merge_modes(found)
+            steps[name] = watch(name, part)
+            found = steps[name] if found is None else found.unionByName(steps[name])
+        steps["merge"] = watch("merge", rank.merge_modes(found))
+        return steps
 
     def trace(self, questions: DataFrame, mode: str | None = None) -> DataFrame:
-        """(step, label, n): the stages of :meth:`query` in order, and how many rows each gave."""
-        routed, found = self.routed(questions, mode), self.query(questions, mode)
-        n = lambda df, step, label: df.agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), F.lit(label).alias("label"), "n")
-        return n(questions, 1, "asked").unionByName(n(routed.where("mode <> 'mode_a'"), 2, "routed away from mode_a")).unionByName(n(found, 3, "found"))
+        """(step, label, n): the stages of :meth:`query` in order with how many rows each gave: routing, the search of each
+        mode, the merge. The query runs once; each stage's rows are counted as they pass."""
+        seen: list[tuple[str, Observation]] = []
+
+        def watch(name: str, df: DataFrame) -> DataFrame:
+            seen.append((name, Observation(f"{name}-{uuid.uuid4().hex}")))
+            # a cut table, so that a stage that two later ones read is neither run nor counted twice
+            return written(df.observe(seen[-1][1], F.count(F.lit(1)).alias("n")), "trace")
+
+        self._steps(questions, mode, watch)
+        rows = [(i, name, seen_by.get["n"]) for i, (name, seen_by) in enumerate(seen, 1)]
+        return questions.sparkSession.createDataFrame(rows, "step int, label string, n long")
 
     def navigation(self, questions: DataFrame) -> DataFrame:
         """Mode B; pages (url, embedding), links (from_url, to_url), and blocks with url and ordinal, whose vectors are joined."""
@@ -73,12 +114,24 @@ class Engine:
         out = modes.navigation(self.table("pages"), self.table("links"), own.join(vectors, "block_id", "left"), questions.select("query_id", "qvec"))
         return out.withColumnRenamed("block_id", "id")
 
+    def _seeds(self, questions: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, id, weight): the entities (id, embedding) nearest to each question."""
+        near = search.knn(self.table("entities"), questions.select("query_id", "qvec"), k, id_col="id")
+        return near.select("query_id", "id", F.col("score").alias("weight"))
+
     def reasoning(self, questions: DataFrame) -> DataFrame:
-        """Mode C: entities (vec_id, embedding, id) near the question are its seeds."""
-        near = search.knn(self.table("entities"), questions.select("query_id", "qvec"), 10, id_col="id")
-        seeds = near.select("query_id", "id", F.col("score").alias("weight"))
+        """Mode C: blocks of the entities near the question and of their neighbours."""
+        seeds = self._seeds(questions)
         return modes.reasoning(self.table("edges"), self.table("mentions"), seeds, seeds.limit(0))
 
+    def subgraph(self, questions: DataFrame) -> DataFrame:
+        """Mode D's edges: (query_id, a, b, relation_type, weight, rank) among the entities near the question and around."""
+        return modes.subgraph(self.table("edges"), self._seeds(questions))
+
+    def subgraph_blocks(self, questions: DataFrame) -> DataFrame:
+        """Mode D's blocks, within what its edges leave of the token budget."""
+        return modes.subgraph_blocks(self.table("edges"), self.table("mentions"), self._seeds(questions))
+
     def layered_slice(self, url: str, max_nodes: int = 80) -> DataFrame:
         """A page's entities and their topics within ``max_nodes``; mentions and topics (entity_id, keyword)."""
         if not 10 <= max_nodes <= 200:
@@ -87,7 +140,7 @@ class Engine:
 
     def direct(self, questions: DataFrame) -> DataFrame:
         """Mode A; the score is that of the fused ranks."""
-        return modes.direct(self.table("blocks"), self.table("vectors"), questions, self.settings.retrieval).withColumnRenamed("rrf", "score")
+        return modes.direct(self.table("blocks"), self.table("vectors"), questions, self.settings.retrieval, index=self.index).withColumnRenamed("rrf", "score")
 
     def graph_stats(self) -> DataFrame:
         return graph.stats(self.table("nodes"), self.table("edges"))

@@ -55,16 +55,21 @@ def entities_for(edges: DataFrame, seeds: DataFrame, globals_: DataFrame, hops:
     return rank.quotas(own.unionByName(rest).unionByName(new.select(own.columns)), limit)
 
 
+def _covering(chosen: DataFrame, mentions: DataFrame, s: ScoringParams) -> DataFrame:
+    """(query_id, id, coverage, url, tokens, score, rank): blocks that mention chosen entities, by coverage and brevity."""
+    hit = chosen.join(mentions.withColumnRenamed("entity_id", "id"), "id")
+    covered = hit.groupBy("query_id", "block_id").agg(F.count_distinct("id").alias("coverage"), F.min("url").alias("url"), F.max("tokens").alias("tokens"), F.max("cosine").alias("cosine"))
+    scored = covered.withColumn("score", F.round(E.block_score(F.col("cosine"), F.col("coverage"), F.col("tokens"), s), 6)).withColumnRenamed("block_id", "id")
+    return search.top_per(scored, "query_id", [F.desc("score"), "id"], R.first_stage_top_k)
+
+
 def reasoning(edges: DataFrame, mentions: DataFrame, seeds: DataFrame, globals_: DataFrame, s: ScoringParams = S, k: int = R.final_top_k, hops: int = 2, m: int = 10) -> DataFrame:
     """Mode C: entities, their blocks by coverage and brevity, within the token budget.
 
     ``mentions`` (entity_id, block_id, url, tokens, cosine). Result: (query_id, id, coverage, score, rank, page_row, tokens_before).
     """
     chosen = entities_for(edges, seeds, globals_, hops, m, s.entity_limit)
-    hit = chosen.join(mentions.withColumnRenamed("entity_id", "id"), "id")
-    covered = hit.groupBy("query_id", "block_id").agg(F.count_distinct("id").alias("coverage"), F.min("url").alias("url"), F.max("tokens").alias("tokens"), F.max("cosine").alias("cosine"))
-    scored = covered.withColumn("score", F.round(E.block_score(F.col("cosine"), F.col("coverage"), F.col("tokens"), s), 6)).withColumnRenamed("block_id", "id")
-    ranked = search.top_per(scored, "query_id", [F.desc("score"), "id"], R.first_stage_top_k)
+    ranked = _covering(chosen, mentions, s)
     kept = rank.budgeted(ranked, k, s.token_budget)
     return rank.same_page_discount(kept).select("query_id", "id", "coverage", "score", "rank", "page_row", "tokens_before")
 
@@ -78,3 +83,13 @@ def subgraph(edges: DataFrame, seeds: DataFrame, s: ScoringParams = S, hops: int
     inside = e.join(nodes.withColumnRenamed("id", "src"), "src").join(nodes.withColumnRenamed("id", "dst"), ["dst", "query_id"])
     rows = inside.where("src <> dst").select("query_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "relation_type", "weight")
     return search.top_per(rows, "query_id", [F.desc("weight"), "a", "b", "relation_type"], s.subgraph_edges)
+
+
+def subgraph_blocks(edges: DataFrame, mentions: DataFrame, seeds: DataFrame, s: ScoringParams = S, k: int = R.final_top_k, hops: int = 2, m: int = 8, edge_tokens: int = 20) -> DataFrame:
+    """Mode D's blocks (query_id, id, coverage, score, rank, tokens_before): those of the subgraph's entities, within what
+    its edges, at ``edge_tokens`` each, leave of the token budget."""
+    chosen = entities_for(edges, seeds, seeds.limit(0), hops, m, s.subgraph_entities)
+    told = subgraph(edges, seeds, s, hops, m).groupBy("query_id").agg((F.count("*") * edge_tokens).alias("spent"))
+    ranked = _covering(chosen, mentions, s)
+    kept = rank.budgeted(ranked, k, s.token_budget).join(told, "query_id", "left")
+    return kept.where(F.col("tokens_before") + F.coalesce("spent", F.lit(0)) < s.token_budget).select("query_id", "id", "coverage", "score", "rank", "tokens_before")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.config import RetrievalParams, ScoringParams
+from quillgraph.sources.state import written
 
 R, S = RetrievalParams(), ScoringParams()
 
@@ -105,23 +105,86 @@ def mmr(rows: DataFrame, k: int, lam: float, url_weight: float = R.mmr_url_weigh
     return rows.groupBy("query_id").applyInPandas(select, "query_id long, id long, mmr_rank int")
 
 
+#: Items that a task packs at once.
+CHUNK = 4096
+
+
+def _starts(tokens: list[int], max_tokens: int, max_items: int) -> list[int]:
+    """For each item, where the batch after the one that begins with it begins, as far as the items go."""
+    out, end, used = [], 0, 0
+    for i, own in enumerate(tokens):
+        if end <= i:  # a batch holds one item at least, whatever its size
+            end, used = i + 1, own
+        while end < len(tokens) and end - i < max_items and used + tokens[end] <= max_tokens:
+            used += tokens[end]
+            end += 1
+        out.append(end)
+        used -= own
+    return out
+
+
+def _leads(max_tokens: int, max_items: int):
+    """(_g, _chunk, entry, leave, n): for a batch that begins at place ``entry`` of a chunk, the place in the next chunk
+    where the first batch there begins, and how many begin here. Rows of the next chunk's head look ahead."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        own = int(pdf["_own"].sum())
+        after = _starts(pdf["tokens"].astype(int).tolist(), max_tokens, max_items)
+        leave, n = [0] * own, [0] * own
+        for i in range(own - 1, -1, -1):
+            to = after[i]
+            leave[i], n[i] = (to - own, 1) if to >= own else (leave[to], n[to] + 1)
+        k = min(own, max_items)
+        return pd.DataFrame({"_g": [pdf["_g"].iloc[0]] * k, "_chunk": [int(pdf["_at"].iloc[0])] * k, "entry": list(range(k)), "leave": leave[:k], "n": n[:k]})
+
+    return run
+
+
 def pack(rows: DataFrame, group: str = "grp", max_tokens: int = 8000, max_items: int = 64) -> DataFrame:
-    """Batches in order: a new one when estimated tokens or items would run over (a running sum with resets)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, batch, used, items = None, 0, 0, 0
-        for pdf in batches:
-            out = []
-            for g, n in zip(pdf[group], pdf["tokens"], strict=True):
-                if g != now:
-                    now, batch, used, items = g, 0, 0, 0
-                if items and (used + n > max_tokens or items >= max_items):
-                    batch, used, items = batch + 1, 0, 0
-                used, items = used + n, items + 1
-                out.append(batch)
-            yield pdf.assign(batch=out)
-
-    from pyspark.sql import types as T
+    """Batches in order: a new one when estimated tokens or items would run over (a running sum with resets).
+
+    A group of any size is packed in chunks of ``CHUNK`` items, each by a task of its own: a chunk first tells, for every
+    place where its first batch may begin, where the next chunk's does; these maps compose, by doubling, to where it does
+    begin; then each chunk counts its batches from there. An item above ``max_tokens`` is a batch of its own; a null group
+    is a group; null tokens count 0; ordinals are unique in a group.
+    """
+    spark = rows.sparkSession
+    key = F.coalesce(F.concat(F.lit("g"), F.col(group).cast("string")), F.lit("n")).alias("_g")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.select(key, *rows.columns).repartitionByRange(parts, "_g", "ordinal").withColumn("_pid", F.spark_partition_id())
+    ranged = written(ranged, "pack")
+    before = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_g", "_pid").agg(F.count("*").alias("c")).select("_g", "_pid", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_from"))
+    local = F.row_number().over(Window.partitionBy("_g", "_pid").orderBy("ordinal")) - 1
+    placed = written(ranged.withColumn("_n", local).join(offsets, ["_g", "_pid"]).withColumn("_pos", F.col("_from") + F.col("_n")).withColumn("_chunk", F.floor(F.col("_pos") / CHUNK)), "pack")
+    size = F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens")
+    ahead = (F.col("_pos") % CHUNK < max_items) & (F.col("_chunk") > 0)
+    at = F.explode(F.array_compact(F.array(F.col("_chunk"), F.when(ahead, F.col("_chunk") - 1)))).alias("_at")
+    seen = placed.select("_g", "_chunk", "_pos", size, at).withColumn("_own", F.col("_at") == F.col("_chunk"))
+    leads = written(seen.groupBy("_g", "_at").applyInPandas(_leads(max_tokens, max_items), "_g string, _chunk long, entry int, leave int, n long"), "pack")
+    known = placed.where("_pos = 0").select("_g", F.lit(0).cast("long").alias("_chunk"), F.lit(0).alias("entry"), F.lit(0).cast("long").alias("batches"))
+    jumps, reach = leads.withColumn("to", F.col("_chunk") + 1), 1
+    chunks = (placed.agg(F.max("_chunk")).first()[0] or 0) + 1
+    while reach < chunks:
+        step = known.join(jumps, ["_g", "_chunk", "entry"]).select("_g", F.col("to").alias("_chunk"), F.col("leave").alias("entry"), (F.col("batches") + F.col("n")).alias("batches"))
+        known = written(known.unionByName(step), "pack")
+        then = jumps.select("_g", F.col("_chunk").alias("to"), F.col("entry").alias("leave"), F.col("to").alias("beyond"), F.col("leave").alias("left"), F.col("n").alias("more"))
+        jumps = written(jumps.join(then, ["_g", "to", "leave"]).select("_g", "_chunk", "entry", F.col("left").alias("leave"), (F.col("n") + F.col("more")).alias("n"), F.col("beyond").alias("to")), "pack")
+        reach *= 2
+
+    columns = rows.columns
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        entry, batch = int(pdf["entry"].iloc[0]), int(pdf["batches"].iloc[0])
+        after = _starts(pdf["tokens"].fillna(0).astype(int).tolist(), max_tokens, max_items)
+        out, begins = [], entry
+        for i in range(len(pdf)):
+            if i == begins:
+                batch, begins = batch + 1, after[i]
+            out.append(batch - 1)
+        return pdf.assign(batch=out)[[*columns, "batch"]]
 
     schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
-    return rows.repartition(F.col(group)).sortWithinPartitions(group, "ordinal").mapInPandas(run, schema)
+    return placed.join(known, ["_g", "_chunk"]).groupBy("_g", "_chunk").applyInPandas(count, schema)

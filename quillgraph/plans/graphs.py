@@ -179,6 +179,14 @@ used as (select query_id, count(*) as used from (select *, row_number() over (pa
 picked as (select c.query_id, id, kind, weight, cast(k as integer) as k from (select *, row_number() over (partition by query_id, kind order by weight desc, id) as k from cand) c left join used u on u.query_id = c.query_id
   where (kind = 'seed' and k <= {s}) or (kind = 'global' and k <= {g}) or (kind = 'neighbor' and k <= {n} - coalesce(used, 0)))"""
 
+# for queries elsewhere that choose entities in the same way
+ALL_SQL, neighbors_sql = _ALL, _neighbors
+
+
+def quota_sql(seeds: int, globals_: int, limit: int) -> str:
+    return _QUOTA.format(s=seeds, g=globals_, n=limit)
+
+
 ORACLE_SQL = {
     "graph_stats": f"with {_NODES}, {_EDGES} select 'node' as kind, type as name, count(*) as n from nodes group by 2 union all select 'edge', relation_type, count(*) from edges group by 2",
     "kg_neighbors_k2": f"with {_ALL}, {_neighbors('''select 'S' || s_suppkey as seed from supplier where s_suppkey % 20 = 0 union all select 'N' || n_nationkey from nation''', 10)} select * from near",

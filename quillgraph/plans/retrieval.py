@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.api import Engine
 from quillgraph.functions import expr as E
 from quillgraph.operators import bm25, modes, providers, rank, search
+from quillgraph.plans import graphs
 from quillgraph.sources.tables import table
 
 # the stated query sets: all benchmark items, and every vector whose id is divisible by this, against all rows
@@ -191,11 +192,20 @@ def mode_b(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _engine(spark: SparkSession, d: str) -> Engine:
-    vecs = table(spark, d, "embeddings")
+    """Documents as blocks and pages, each linked to three times its number; parts as entities, with the vector of their
+    number, mentioned by the documents of the numbers of their orders; the star schema as the graph."""
+    vecs, docs = table(spark, d, "embeddings"), table(spark, d, "documents")
     url = lambda n: F.concat(F.lit("u"), n.cast("string"))
-    blocks = table(spark, d, "documents").select("doc_id", "text", E.word_count(F.col("text")).alias("tokens"), url(F.col("doc_id")).alias("url"))
-    links = vecs.select(url(F.col("vec_id")).alias("from_url"), url((F.col("vec_id") * 3) % 500).alias("to_url"))
-    return Engine({"blocks": blocks, "vectors": vecs, "pages": vecs.select(url(F.col("vec_id")).alias("url"), "embedding"), "links": links})
+    blocks = docs.select("doc_id", "text", E.word_count(F.col("text")).alias("tokens"), url(F.col("doc_id")).alias("url"))
+    last = vecs.agg((F.max("vec_id") + 1).alias("n"))
+    links = vecs.crossJoin(F.broadcast(last)).select(url(F.col("vec_id")).alias("from_url"), url((F.col("vec_id") * 3) % F.col("n")).alias("to_url"))
+    part = lambda n: F.concat(F.lit("P"), n.cast("string"))
+    lines = table(spark, d, "lineitem").select(part(F.col("l_partkey")).alias("entity_id"), F.col("l_orderkey").alias("doc_id"))
+    mentions = lines.join(blocks.select("doc_id", "tokens", "url"), "doc_id").select("entity_id", F.col("doc_id").alias("block_id"), "url", "tokens", F.lit(None).cast("double").alias("cosine"))
+    entities = vecs.select(part(F.col("vec_id")).alias("id"), "embedding")
+    tables = {"blocks": blocks, "vectors": vecs, "pages": vecs.select(url(F.col("vec_id")).alias("url"), "embedding"), "links": links,
+              "edges": graphs.edges(spark, d), "mentions": mentions, "entities": entities}
+    return Engine(tables, index=_index(spark, d))
 
 
 def query_api(spark: SparkSession, d: str) -> DataFrame:
@@ -204,16 +214,21 @@ def query_api(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_query(spark: SparkSession, d: str) -> DataFrame:
-    """All benchmark questions in two modes each, merged."""
+    """All benchmark questions in modes A, B and C, merged."""
     return _engine(spark, d).query(_questions(spark, d), mode="hybrid")
 
 
+def query_mode_d(spark: SparkSession, d: str) -> DataFrame:
+    """All benchmark questions in mode D, asked for by name."""
+    return _engine(spark, d).query(_questions(spark, d), mode="mode_d")
+
+
 def query_trace(spark: SparkSession, d: str) -> DataFrame:
     return _engine(spark, d).trace(_questions(spark, d), mode="hybrid")
 
 
 QUERIES = {f.__name__: f for f in (
-    query_api, hybrid_query, query_trace, bm25_corpus_stats, bm25_topk, bm25_stored, knn_topk, knn_filtered, knn_batch, vector_fetch, dense_sparse_union, rrf_fusion, alpha_fusion,
+    query_api, hybrid_query, query_mode_d, query_trace, bm25_corpus_stats, bm25_topk, bm25_stored, knn_topk, knn_filtered, knn_batch, vector_fetch, dense_sparse_union, rrf_fusion, alpha_fusion,
     minmax_modes, hybrid_merge, block_heuristic_score, budgeted_selection, same_page_discount, mmr_select, pack_batches,
     relevance_hit_at_k, overlap_nway, group_by_page, mode_a, prompt_and_answer, mode_b,
 )}
@@ -255,7 +270,47 @@ si as (select r.*, {_WC} as tokens from ra r join documents d on d.doc_id = r.id
 bu as (select *, coalesce(sum(tokens) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0) as tokens_before, row_number() over (partition by query_id order by rank) as n from si),
 ma as (select query_id, id, rank, rrf, dense_rank, bm25_rank, cast(tokens_before as bigint) as tokens_before from bu where tokens_before < 4000 and n <= 10)"""
 
+_B = f"""
+b_s as (select a.vec_id as query_id, 'u' || b.vec_id as url, round({_COS}, 6) as score from embeddings a, embeddings b where a.vec_id in (select item_id from benchmark)),
+b_f as (select query_id, url from b_s qualify row_number() over (partition by query_id order by score desc, url) <= 5),
+b_l as (select 'u' || vec_id as from_url, 'u' || (vec_id * 3) % (select max(vec_id) + 1 from embeddings) as to_url from embeddings),
+b_w as (select * from b_f union select query_id, to_url from b_f join b_l on from_url = url),
+b_sc as (select w.query_id, d.doc_id as id, case when b.embedding is null then 0.5 else round({_COS}, 6) end as score from b_w w join documents d on 'u' || d.doc_id = w.url left join embeddings b on b.vec_id = d.doc_id join embeddings a on a.vec_id = w.query_id),
+bb as (select query_id, id, score from b_sc qualify row_number() over (partition by query_id order by score desc, id) <= 50)"""
+
+
+def _c(limit: int, seeds: int, m: int, name: str = "cc", spent: str = "") -> str:
+    """Blocks of the ten nearest parts and their neighbours, as modes C and D choose them."""
+    return f"""
+c_s as (select a.vec_id as query_id, 'P' || b.vec_id as id, round({_COS}, 6) as weight from embeddings a, embeddings b where a.vec_id in (select item_id from benchmark)
+  qualify row_number() over (partition by a.vec_id order by round({_COS}, 6) desc, 'P' || b.vec_id) <= 10),
+{graphs.neighbors_sql('select distinct id as seed from c_s', m)},
+c_nb as (select query_id, nbr as id, max(path_weight) as weight from c_s join near on near.seed = c_s.id group by 1, 2),
+cand as (select query_id, id, weight::double as weight, 'seed' as kind from c_s union all select query_id, id, weight, 'neighbor' from c_nb where not exists (select 1 from c_s where c_s.query_id = c_nb.query_id and c_s.id = c_nb.id)),
+{graphs.quota_sql(seeds, seeds, limit)},
+c_m as (select 'P' || l_partkey as entity_id, d.doc_id as block_id, {_WC} as tokens from lineitem join documents d on d.doc_id = l_orderkey),
+c_cov as (select query_id, block_id as id, count(distinct p.id) as coverage, max(tokens) as tokens from picked p join c_m on c_m.entity_id = p.id group by 1, 2),
+c_sc as (select *, round(0.35 * (least(coverage, 5) / 5.0) + 0.15 * greatest(0.0, 1.0 - tokens / 300.0), 6) as score from c_cov),
+c_ra as (select *, row_number() over (partition by query_id order by score desc, id) as rank from c_sc qualify rank <= 50),
+c_bu as (select *, coalesce(sum(tokens) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0) as tokens_before from c_ra),
+{spent}{name} as (select query_id, id, score, rank from c_bu {'left join c_sp using (query_id)' if spent else ''} where tokens_before {'+ coalesce(spent, 0)' if spent else ''} < 4000 and rank <= 10)"""
+
+
+_MERGED = """
+m as (select *, min(score) over w as a0, max(score) over w as a1 from modes window w as (partition by query_id, mode)),
+g as (select query_id, id::varchar as id, round(max((score - a0) / case when a1 - a0 > 1e-9 then a1 - a0 else 1.0 end), 6) as score, string_agg(distinct mode, ',' order by mode) as from_modes from m group by 1, 2),
+h as (select query_id, id, score, from_modes, cast(row_number() over (partition by query_id order by score desc, id) as integer) as rank from g qualify rank <= 15)"""
+_SPENT = """c_e as (select x.query_id, least(src, dst) as a, greatest(src, dst) as b from sub join picked x on x.id = src join picked y on y.id = dst and y.query_id = x.query_id where src <> dst),
+c_sp as (select query_id, least(count(*), 40) * 20 as spent from c_e group by 1),
+"""
+_HYBRID = f"""with {_MODE_A}, {_B}, {graphs.ALL_SQL}, {_c(30, 10, 10)},
+modes as (select query_id, 'mode_a' as mode, id, rrf::double as score from ma union all select query_id, 'mode_b', id, score from bb union all select query_id, 'mode_c', id, score from cc), {_MERGED}"""
+
 ORACLE_SQL = {
+    "hybrid_query": f"{_HYBRID} select * from h",
+    "query_trace": f"""{_HYBRID} select 1 as step, 'routing' as label, 3 * count(*) as n from benchmark b where item_id in (select vec_id from embeddings) union all select 2, 'mode_a', (select count(*) from ma)
+  union all select 3, 'mode_b', (select count(*) from bb) union all select 4, 'mode_c', (select count(*) from cc) union all select 5, 'merge', (select count(*) from h)""",
+    "query_mode_d": f"with {graphs.ALL_SQL}, {_c(25, 10, 8, 'dd', _SPENT)}, modes as (select query_id, 'mode_d' as mode, id, score from dd), {_MERGED} select * from h",
     "bm25_corpus_stats": f"with {_BM25} select n_docs, round(avgdl, 6) as avgdl, (select count(*) from idf) as n_terms, (select max(df) from idf) as max_df, (select round(avg(idf), 6) from idf) as avg_idf from st",
     "bm25_topk": f"with {_BM25} select query_id, doc_id, score, rank from bm",
     "bm25_stored": f"with {_BM25} select query_id, doc_id, score, rank from bm",
@@ -283,6 +338,11 @@ ORACLE_SQL = {
   r as (select *, cast(row_number() over (partition by query_id order by score desc, id) as integer) as rank from b qualify rank <= 50),
   p as (select *, cast(row_number() over (partition by query_id, url order by rank) as integer) as page_row from r)
   select query_id, id, rank, page_row, case when page_row > 5 then score * 0.5 else score end as score from p""",
+    "pack_batches": f"""with recursive b as (select source as grp, doc_id as ordinal, {_WC}::bigint as tokens, row_number() over (partition by source order by doc_id) as i from documents),
+  r as (select grp, ordinal, tokens, i, 0 as batch, tokens as used, 1 as items from b where i = 1 union all
+    select b.grp, b.ordinal, b.tokens, b.i, batch + (used + b.tokens > 3000 or items >= 8)::int, case when used + b.tokens > 3000 or items >= 8 then b.tokens else used + b.tokens end, case when used + b.tokens > 3000 or items >= 8 then 1 else items + 1 end
+    from r join b on b.grp = r.grp and b.i = r.i + 1)
+  select grp, ordinal, tokens, batch from r""",
     "relevance_hit_at_k": f"""with {_knn('kn', 5, 'a.vec_id <> b.vec_id')}, r as (select k.query_id, max(case when x.label = y.label then 1 else 0 end) as hit, sum(case when x.label = y.label then 1 else 0 end) as relevant
   from kn k join embeddings x on x.vec_id = k.query_id join embeddings y on y.vec_id = k.id group by 1)
   select count(*) as n_queries, round(avg(hit), 6) as hit_at_5, round(avg(relevant / 5), 6) as precision_at_5 from r""",

@@ -297,13 +297,46 @@ def test_query_api_runs_the_modes(spark, sf):
     got = e.query(q, mode="mode_a").collect()
     assert {(x["query_id"], x["id"]) for x in got} == direct and {x["from_modes"] for x in got} == {"mode_a"}
     both = e.query(q, mode="hybrid")
-    a = e.direct(q).select("query_id", F.lit("mode_a").alias("mode"), F.col("id").cast("string").alias("id"), "score")
-    b = e.navigation(q).select("query_id", F.lit("mode_b").alias("mode"), F.col("id").cast("string").alias("id"), "score")
-    want = rank.merge_modes(a.unionByName(b))
+    named = lambda df, m: df.select("query_id", F.lit(m).alias("mode"), F.col("id").cast("string").alias("id"), F.col("score").cast("double").alias("score"))
+    parts = [named(e.direct(q), "mode_a"), named(e.navigation(q), "mode_b"), named(e.reasoning(q), "mode_c")]
+    want = rank.merge_modes(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, want.collect()))
-    assert any("," in x["from_modes"] or x["from_modes"] == "mode_b" for x in both.collect())
+    assert {m for x in both.collect() for m in x["from_modes"].split(",")} == {"mode_a", "mode_b", "mode_c"}
     trace = {x["label"]: x["n"] for x in e.trace(q, mode="hybrid").collect()}
-    assert trace["asked"] == q.count() and trace["found"] == both.count()
+    assert list(trace) == ["routing", "mode_a", "mode_b", "mode_c", "merge"]
+    assert trace["routing"] == 3 * q.count() and trace["merge"] == both.count()
+
+
+def test_modes_need_their_tables(spark):
+    one = spark.createDataFrame([(1, "which professors do research", [1.0, 0.0])], "query_id long, text string, qvec array<double>")
+    blocks = spark.createDataFrame([(7, "some text", 2, "u7")], "doc_id long, text string, tokens int, url string")
+    e = Engine({"blocks": blocks, "vectors": spark.createDataFrame([(7, [1.0, 0.0])], "vec_id long, embedding array<double>")})
+    with pytest.raises(KeyError, match="mode_c"):
+        e.query(one, mode="mode_c")
+    with pytest.raises(KeyError, match="mode_b"):
+        e.query(one, mode="hybrid")
+    assert e.routed(one).first()["mode"] == "mode_c"
+    assert [(r["id"], r["from_modes"]) for r in e.query(one).collect()] == [("7", "mode_a")]
+
+
+@pytest.mark.parametrize("chunk", [4096, 5])
+def test_pack_in_chunks_is_the_running_sum(spark, monkeypatch, chunk):
+    import random
+
+    monkeypatch.setattr(rank, "CHUNK", chunk)
+    rng = random.Random(2)
+    rows = [(g, i, rng.choice([0, 1, 3, 9, 30, None])) for g, n in (("a", 90), ("b", 1), (None, 17), ("hot", 211)) for i in range(n)]
+    want = {}
+    for g in {r[0] for r in rows}:
+        batch, used, items = 0, 0, 0
+        for _, i, n in sorted(r for r in rows if r[0] == g):
+            n = n or 0
+            if items and (used + n > 20 or items >= 4):
+                batch, used, items = batch + 1, 0, 0
+            used, items = used + n, items + 1
+            want[g, i] = batch
+    got = rank.pack(spark.createDataFrame(rows, "grp string, ordinal long, tokens long").repartition(3), max_tokens=20, max_items=4).collect()
+    assert {(r["grp"], r["ordinal"]): r["batch"] for r in got} == want and len(got) == len(rows)
 
 
 def test_acronyms_of_a_large_alias_table(spark):
