@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators import store
+from quillgraph.sources.state import folder
 from quillgraph.sources.tables import table
 from quillgraph.streaming import incremental
 
@@ -164,10 +165,27 @@ def streaming_windows(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.date_format("window.start", "yyyyMMdd").alias("day"), "event_type", "n")
 
 
+def dual_store_write(spark: SparkSession, d: str) -> DataFrame:
+    """Two builds of documents with their vectors: all of them, then every third again, twice in its batch, and every
+    ninth blank. What the two stores hold for each."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("block_id"), F.col("text").alias("content"))
+    vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("block_id"), "embedding")
+    first = docs.join(vecs, "block_id", "left").withColumn("ordinal", F.lit(0))
+    third = first.where("block_id % 3 = 0").withColumn("ordinal", F.explode(F.array(F.lit(1), F.lit(2))))
+    text = F.when((F.col("block_id") % 9 == 0) & (F.col("ordinal") == 2), " ").otherwise(F.concat("content", F.lit(" again")))
+    path = folder(spark, "dual")
+    sink = incremental.dual_sink(spark, path, lambda n: f"b{n:06d}")
+    sink(first, 0)
+    sink(third.withColumn("content", text), 1)
+    graph, vectors = incremental.dual_store(spark, path)
+    rows = graph.join(vectors.select("block_id", F.size("embedding").alias("dim")), "block_id", "left")
+    return rows.select("block_id", "build", F.length("content").alias("n_chars"), "dim")
+
+
 QUERIES = {f.__name__: f for f in (
     upsert_merge, touch_unchanged, orphan_report, orphan_delete, progress_ledger, build_ring, cache_hits_misses, embedding_cache,
     relation_accumulate, relation_replace, contains_after_dedup, reachable_ids, incident_relations, edges_with_ends, store_consistency,
-    usage_by_stage, frontier_pending, event_windows, streaming_ledger, streaming_windows,
+    usage_by_stage, frontier_pending, event_windows, dual_store_write, streaming_ledger, streaming_windows,
 )}
 
 _EV = "ev as (select *, strftime(ts, '%Y%m%d') as build from events)"
@@ -179,6 +197,8 @@ def _st(upto: str) -> str:
 
 
 ORACLE_SQL = {
+    "dual_store_write": """select doc_id as block_id, case when doc_id % 3 = 0 then 'b000001' else 'b000000' end as build,
+  case when doc_id % 9 = 0 then 1 when doc_id % 3 = 0 then length(text) + 6 else length(text) end as n_chars, case when doc_id % 9 <> 0 and trim(text) <> '' then len(embedding) end as dim from documents left join embeddings on vec_id = doc_id""",
     "upsert_merge": f"""with {_st('20240104')}, nw as (select user_id, max({{'t': ts, 'i': event_id, 's': event_type, 'v': value}}) as m from ev where build = '20240105' group by 1)
   select coalesce(o.user_id, n.user_id) as user_id, case when n.user_id is not null then n.m.s else o.status end as status, case when n.user_id is not null then n.m.v else o.value end as value,
   coalesce(created_build, '20240105') as created_build, case when n.user_id is not null then '20240105' else last_seen_build end as last_seen_build from st o full join nw n on n.user_id = o.user_id""",

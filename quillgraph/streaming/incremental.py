@@ -38,6 +38,41 @@ def upsert_sink(spark, path: str, key: list[str], build_of, schema: str):
     return merge
 
 
+def dual_sink(spark, path: str, build_of, key: str = "block_id", content: str = "content", vec: str = "embedding", order: str = "ordinal", between=lambda: None):
+    """A ``foreachBatch`` function that writes each batch to two stores below ``path``: ``graph``, then ``vectors``.
+
+    A batch is a build. Of several rows of a key the last by ``order`` is written, once. Vector rows are read back from
+    the graph rows of the build, so both stores have the same; blank content and null vectors have no vector row. A build
+    counts once its mark in ``done`` is there, so a stop between the two writes shows nothing, and the batch that runs
+    again writes the same places. ``between`` is called between the two writes (tests stop there).
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        build = build_of(number)
+        rest = [c for c in batch.columns if c != key]
+        one = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("m")).select(key, *[F.col(f"m.{c}").alias(c) for c in rest])
+        one.write.mode("overwrite").parquet(f"{path}/graph/build={build}")
+        between()
+        kept = spark.read.schema(one.schema).parquet(f"{path}/graph/build={build}")
+        told = kept.where((F.trim(F.coalesce(content, F.lit(""))) != "") & F.col(vec).isNotNull()).select(key, vec)
+        told.write.mode("overwrite").parquet(f"{path}/vectors/build={build}")
+        spark.createDataFrame([(build,)], "build string").coalesce(1).write.mode("overwrite").parquet(f"{path}/done/of={build}")
+
+    return write
+
+
+def dual_store(spark, path: str, key: str = "block_id") -> tuple[DataFrame, DataFrame]:
+    """(graph rows, vector rows) of the finished builds: of each key the row of its latest build, and its vector if that
+    build wrote one (content that became blank has none left)."""
+    done = spark.read.parquet(f"{path}/done").select("build")
+    graph = spark.read.option("basePath", f"{path}/graph").parquet(f"{path}/graph").withColumn("build", F.col("build").cast("string"))
+    graph = graph.join(done, "build", "left_semi")
+    rest = [c for c in graph.columns if c != key]
+    last = graph.groupBy(key).agg(F.max_by(F.struct(*rest), "build").alias("m")).select(key, *[F.col(f"m.{c}").alias(c) for c in rest])
+    vectors = spark.read.option("basePath", f"{path}/vectors").parquet(f"{path}/vectors").withColumn("build", F.col("build").cast("string"))
+    return last, vectors.join(last.select(key, "build"), [key, "build"], "left_semi")
+
+
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Everything that ``stream`` gives until its source is read, as a table of the last batch (complete mode) or of all."""
     spark = stream.sparkSession

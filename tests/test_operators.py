@@ -269,6 +269,31 @@ def test_streaming_ledger_and_upsert(spark, tmp_path, sf):
     assert spark.read.parquet(str(tmp_path / "out/v=2")).select("user_id").distinct().count() == events.select("user_id").distinct().count()
 
 
+def test_dual_writes_survive_a_stop_between_the_two(spark, tmp_path):
+    """A build counts when both stores have it; the batch that runs again writes the same; an id is written once."""
+    path, stop = str(tmp_path), [True]
+
+    def between():
+        if stop:
+            stop.pop()
+            raise RuntimeError("stopped between the two writes")
+
+    schema = "block_id long, content string, embedding array<double>, ordinal int"
+    first = spark.createDataFrame([(1, "a", [1.0], 0), (2, " ", [1.0], 0), (3, "c", None, 0), (1, "b", [2.0], 1)], schema)
+    whole = incremental.dual_sink(spark, path, lambda n: f"b{n}")
+    whole(spark.createDataFrame([(9, "old", [9.0], 0), (1, "old", [9.0], 0)], schema), 0)
+    broken = incremental.dual_sink(spark, path, lambda n: f"b{n}", between=between)
+    with pytest.raises(RuntimeError):
+        broken(first, 1)
+    graph, vectors = incremental.dual_store(spark, path)
+    assert {(r["block_id"], r["content"]) for r in graph.collect()} == {(9, "old"), (1, "old")} and vectors.count() == 2
+    broken(first, 1)
+    broken(first, 1)  # once more: nothing doubles
+    graph, vectors = incremental.dual_store(spark, path)
+    assert sorted((r["block_id"], r["content"]) for r in graph.collect()) == [(1, "b"), (2, " "), (3, "c"), (9, "old")]
+    assert sorted((r["block_id"], r["embedding"][0]) for r in vectors.collect()) == [(1, 2.0), (9, 9.0)]
+
+
 def test_server_sent_events(spark):
     rows = spark.createDataFrame([(1, "token", ("a",))], "seq int, event string, data struct<t:string>")
     text = incremental.server_sent_events(rows).select(F.col("payload").alias("text"))
