@@ -199,9 +199,12 @@ ORACLE_SQL = {
   select a, b, relation_type, weight, anchored from r order by anchored desc, weight desc, a, b, relation_type limit 60""",
     "kg_ego_network": f"with {_NODES}, {_ALL}, c as (select id as center from nodes where contains(lower(name), 'nation_7') order by id limit 1) select center, b as nbr, relation_type, weight from c left join und on a = center",
     "kg_edge_sample": f"with {_EDGES} select src, dst, relation_type, src || '|' || dst || '|' || relation_type as edge_id from edges order by edge_id limit 50",
-    "kg_neighborhood": f"""with {_ALL.replace("und as (", "und as materialized (")}, p1 as materialized (select b, [edge_id] as trail from und where a = 'S3'), p2 as (select u.b, list_append(trail, u.edge_id) as trail from p1 join und u on u.a = p1.b where u.edge_id <> p1.trail[1] and (select count(*) from p1) < 80),
-  k as materialized (select * from (select * from p1 union all select * from p2) order by len(trail), array_to_string(trail, '>') limit 80), i as (select distinct unnest(trail) as edge_id from k)
-  select src, dst, edge_id from (select src, dst, src || '|' || dst || '|' || relation_type as edge_id from edges) join i using (edge_id)""",
+    "kg_neighborhood": f"""with {_ALL.replace("und as (", "und as materialized (").replace("sub as (", "sub as materialized (")}, p1 as materialized (select b, edge_id as e1 from und where a = 'S3'),
+  few as materialized (select b, e1 from p1 where (select count(*) from p1) < 80),
+  p2 as materialized (select few.e1, u.edge_id as e2 from few join und u on u.a = few.b where u.edge_id <> few.e1),
+  k as materialized (select * from (select e1, null::varchar as e2, 1 as n, e1 as trail from p1 union all select e1, e2, 2, e1 || '>' || e2 from p2) order by n, trail limit 80),
+  i as (select e1 as edge_id from k union select e2 from k where e2 is not null)
+  select src, dst, edge_id from (select src, dst, src || '|' || dst || '|' || relation_type as edge_id from sub) join i using (edge_id)""",
     "kg_shortest_path_len": f"with recursive {_ALL}, walk as (select 'P7' as id, 0 as hops union select u.b, hops + 1 from walk join und u on u.a = walk.id where hops < 4) select id, min(hops) as hops from walk group by id",
     "graph_nodes_view": f"with {_NODES} select id, case when length(name) > 12 then left(name, 12) || '...' else name end as label, type from nodes",
     "graph_merge": f"""with {_EDGES}, f as (select src, dst, 'first' as relation_type from edges where relation_type <> 'supplies'), s as (select src, dst, relation_type from edges where relation_type <> 'supplies' or weight >= 3)

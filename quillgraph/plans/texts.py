@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import expr as E
-from quillgraph.operators import dedup, kg, lookup, providers, resolution, router
+from quillgraph.operators import dedup, extraction, kg, lookup, providers, resolution, router
 from quillgraph.sources.tables import table
 
 MAIN_HOST = "thther.example.org"
@@ -181,10 +181,38 @@ def query_decompose(spark: SparkSession, d: str) -> DataFrame:
     return providers.decompose(_questions(spark, d))
 
 
+def _reply(attempt: F.Column) -> F.Column:
+    """A model's reply about an item: whole at the third attempt, before that broken in one of seven ways by its number."""
+    n = F.col("item_id")
+    name = F.concat(F.lit("Item, }] "), n.cast("string"))
+    rest = F.concat(F.lit('", "type": "person", "description": "said \\"so\\""}, {"name": " ", "type": "COURSE"}], "relations": [{"source": "'), name, F.lit('", "target": "B", "strength": "'), (n % 14).cast("string"), F.lit('", "keywords": ["k1", "k2"'))
+    whole = F.concat(F.lit('{"entities": [{"name": "'), name, rest)
+    full = F.concat(whole, F.lit("]}]}"))
+    broken = (
+        F.when(n % 7 == 0, full).when(n % 7 == 1, F.concat(F.lit("Here it is:\n```json\n"), full, F.lit("\n```")))
+        .when(n % 7 == 2, F.concat(whole, F.lit(",],}, ],}"))).when(n % 7 == 3, whole)
+        .when(n % 7 == 4, F.concat(whole, F.lit(', "k3 cut'))).when(n % 7 == 5, F.concat(full, F.lit("\n\nI hope this helps {you}.")))
+        .otherwise("I cannot do that.")
+    )
+    return F.when(attempt >= 2, full).otherwise(broken)
+
+
+def extraction_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Replies about all benchmark items, most of them broken, read and where need be asked again."""
+    items = table(spark, d, "benchmark").withColumnRenamed("item_id", "block_id")
+    ask = lambda rows, attempt: rows.withColumnRenamed("block_id", "item_id").select(F.col("item_id").alias("block_id"), _reply(F.lit(attempt)).alias("reply"))
+    out = extraction.extracted(items, ask)
+    return out.select(
+        "block_id", F.array_join("entities.name", "|").alias("names"), F.array_join("entities.type", "|").alias("types"), F.array_join("entities.description", "|").alias("descriptions"),
+        F.array_join(F.transform("relations", lambda x: F.concat_ws(">", x["source"], x["target"], x["strength"].cast("string"), F.array_join(x["keywords"], "+"))), "|").alias("relations"),
+        "readable", "attempt",
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     word_count_cjk, ascii_token_counts, identity_hashes, block_boilerplate_filter, block_content_remap, mirror_block_remap, remap_compose,
     token_jaccard_pairs, router_heuristic, acronym_expand, history_window, suggestion_sanitize, entity_norm_exact_merge, alias_lookup,
-    type_and_strength, fuzzy_top5, entity_resolve, entity_merge_log, relation_texts, topic_keywords, query_decompose,
+    type_and_strength, fuzzy_top5, entity_resolve, entity_merge_log, relation_texts, topic_keywords, query_decompose, extraction_parse,
 )}
 
 
@@ -223,6 +251,8 @@ ORACLE_SQL = {
   p as (select doc_id, t, lead(doc_id) over w as other, lead(t) over w as o from t window w as (partition by source order by doc_id)),
   q as (select doc_id, other, len(list_intersect(t, o)) as i, len(t) + len(o) as s from p where other is not null)
   select doc_id, other, case when s - i > 0 then round(i / (s - i), 6) else 0.0 end as jaccard from q""",
+    "extraction_parse": """select item_id as block_id, 'Item, }] ' || item_id as names, 'PERSON' as types, 'said "so"' as descriptions,
+  'Item, }] ' || item_id || '>B>' || greatest(1, least(10, item_id % 14)) || '>k1+k2' || case when item_id % 7 = 4 then '+k3 cut' else '' end as relations, true as readable, case when item_id % 7 = 6 then 2 else 0 end as attempt from benchmark""",
     "router_heuristic": f"""with {_lead_sql()}, q0 as (select query_id, lower(trim(text)) as q from questions),
   m0 as (select query_id, {_patterns('q', router.REASONING)} as l, {_patterns('q', router.PERSON)} as p, {_patterns('q', router.NAVIGATION)} as n, {_patterns('q', router.COMPARISON)} as x, {_patterns('q', router.SHARED_RESEARCHER)} as s from q0),
   m as (select *, l and not p as c, n and not (l and p) as b from m0)

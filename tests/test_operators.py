@@ -294,6 +294,28 @@ def test_dual_writes_survive_a_stop_between_the_two(spark, tmp_path):
     assert sorted((r["block_id"], r["embedding"][0]) for r in vectors.collect()) == [(1, 2.0), (9, 9.0)]
 
 
+def test_replies_cut_anywhere_are_mended(spark):
+    """A reply cut after any character is either read or has nothing to read, and never gives an item that it has not."""
+    import json
+
+    from quillgraph.operators import extraction
+
+    data = {"entities": [{"name": "A \"x\" , ]", "type": "PERSON", "description": "d\\\\e"}, {"name": "B", "type": "zoo"}], "relations": [{"source": "A", "target": "B", "strength": 99, "keywords": ["k", "l"]}]}
+    text = json.dumps(data)
+    rows = spark.createDataFrame([(i, text[:i]) for i in range(len(text) + 1)] + [(-1, None), (-2, "no json"), (-3, '{"entities": [{"name": 5}, {"name": ""}, "x"]}')], "i int, reply string")
+    got = {r["i"]: r for r in extraction.parsed(rows).collect()}
+    last = got[len(text)]
+    assert [(e["name"], e["type"], e["description"]) for e in last["entities"]] == [('A "x" , ]', "PERSON", "d\\\\e"), ("B", "RESEARCH_AREA", "")]
+    assert [(x["source"], x["target"], x["strength"], x["keywords"]) for x in last["relations"]] == [("A", "B", 10, ["k", "l"])]
+    n = 0
+    for i in range(len(text) + 1):
+        r = got[i]
+        assert all('A "x" , ]'.startswith(e["name"]) or e["name"] == "B" for e in r["entities"]), text[:i]
+        assert len(r["entities"]) >= n or i < 30, text[:i]
+        n = max(n, len(r["entities"]))
+    assert got[-1]["readable"] and not got[-2]["readable"] and got[-2]["entities"] == []
+
+
 def test_server_sent_events(spark):
     rows = spark.createDataFrame([(1, "token", ("a",))], "seq int, event string, data struct<t:string>")
     text = incremental.server_sent_events(rows).select(F.col("payload").alias("text"))
