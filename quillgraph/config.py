@@ -75,6 +75,7 @@ class DedupParams:
 class UrlRules:
     """Rules of the drop-reason cascade. Hosts are the caller's own."""
 
+    # fixed values: prefixes, extensions, paths and dated patterns of the cascade (one exact path that names a site is left out)
     min_year: int = 2024
     language_prefixes: tuple[str, ...] = ("tc", "sc")
     extensions: tuple[str, ...] = (

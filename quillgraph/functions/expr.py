@@ -102,6 +102,7 @@ def error_page_reason(title: Column, markdown: Column, body: Column) -> Column:
     text = F.coalesce(F.nullif(markdown, F.lit("")), body, F.lit(""))
     preview = F.lower(F.concat_ws("\n", title, F.substring(F.coalesce(markdown, F.lit("")), 1, 2000), F.substring(F.coalesce(body, F.lit("")), 1, 2000)))
     has = lambda s: F.contains(preview, F.lit(s))
+    # fixed values: the titles and phrases of error pages, in the order in which they are tried
     return first_match([
         (t.startswith("access denied") | (has("access denied") & has("403")), "access_denied"),
         (has("we could not find what you were looking for"), "not_found_template"),
@@ -139,6 +140,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def is_boilerplate(path: Column, content: Column) -> Column:
     """A block of a page's frame: by place, by phrase, empty, or mostly menu words."""
     tokens = F.filter(F.split(F.lower(content), "\\s+"), lambda x: x != "")
+    # fixed values: menu words, places and phrases of a frame
     menu = F.size(F.filter(tokens, lambda x: x.isin("open", "close", "menu", "back", "/")))
     place = path.rlike(">(header|footer|nav)")
     phrase = any_of([
