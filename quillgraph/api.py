@@ -132,11 +132,13 @@ class Engine:
         """Mode D's blocks, within what its edges leave of the token budget."""
         return modes.subgraph_blocks(self.table("edges"), self.table("mentions"), self._seeds(questions))
 
-    def layered_slice(self, url: str, max_nodes: int = 80) -> DataFrame:
-        """A page's entities and their topics within ``max_nodes``; mentions and topics (entity_id, keyword)."""
+    def layered_slice(self, anchor: str | list[str], max_nodes: int = 80) -> DataFrame:
+        """The page of an anchor (a url, or an entity's name, alias or id), its blocks, entities, topics and relations, as nodes
+        and edges within ``max_nodes``; several anchors at once share the scans. See :func:`graph.layered_slice`."""
         if not 10 <= max_nodes <= 200:
             raise ValueError("max_nodes must be 10 to 200")
-        return graph.budgeted_entities(self.table("mentions"), self.table("topics"), url, max_nodes)
+        names = ("pages", "blocks", "entities", "mentions", "topics", "edges")
+        return graph.layered_slice([anchor] if isinstance(anchor, str) else anchor, *[self.table(n) for n in names], max_nodes=max_nodes)
 
     def direct(self, questions: DataFrame) -> DataFrame:
         """Mode A; the score is that of the fused ranks."""

@@ -178,6 +178,88 @@ def budgeted_entities(mentions: DataFrame, topics: DataFrame, url: str, budget:
     return spent.where(F.col("spent") <= budget)
 
 
+def anchored(entities: DataFrame, anchors: list[str]) -> DataFrame:
+    """(anchor, entity_id): for each anchor the first entity, by id, whose name or an alias holds it in any case, or whose id it is.
+
+    ``entities`` has (entity_id, name, aliases). The anchors are a list that the caller gives; each row meets it in place,
+    so nothing is joined and each task leaves one id an anchor.
+    """
+    text = F.lower(F.concat_ws("\n", "name", F.coalesce("aliases", F.array().cast("array<string>"))))
+    met = F.filter(F.array(*[F.lit(a) for a in anchors]), lambda a: F.contains(text, F.lower(a)) | (F.col("entity_id") == a))
+    return entities.select(F.explode(met).alias("anchor"), "entity_id").groupBy("anchor").agg(F.min("entity_id").alias("entity_id"))
+
+
+def anchor_pages(anchors: list[str], pages: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(anchor, url): a url is its own page, if there is one; any other anchor is an entity, whose page is the one with most
+    of its blocks, of several the smallest url. Anchors without a page have no row."""
+    urls = [a for a in anchors if a.startswith(("http://", "https://"))]
+    names = [a for a in anchors if a not in urls]
+    direct = pages.where(F.col("url").isin(urls)).select(F.col("url").alias("anchor"), "url").distinct()
+    hits = mentions.join(F.broadcast(anchored(entities, names)), "entity_id").groupBy("anchor", "url").agg(F.count_distinct("block_id").alias("n"))
+    dense = hits.groupBy("anchor").agg(F.min_by("url", F.struct(-F.col("n"), F.col("url"))).alias("url"))
+    return direct.unionByName(dense.join(pages.select("url"), "url", "left_semi").select("anchor", "url"))
+
+
+def layered_slice(
+    anchors: list[str], pages: DataFrame, blocks: DataFrame, entities: DataFrame, mentions: DataFrame, topics: DataFrame, edges: DataFrame,
+    max_nodes: int = 80, per_entity: int = 2,
+) -> DataFrame:
+    """(anchor, kind, layer, id, dst, type, label): a page, its blocks, the entities they mention and their first topics.
+
+    ``pages`` (url, title), ``blocks`` (block_id, url, content, heading_context), ``entities`` (entity_id, name, aliases),
+    ``mentions`` (entity_id, block_id, url), ``topics`` (entity_id, keyword), ``edges`` (src, dst, relation_type).
+
+    One budget of ``max_nodes`` runs over the layers: the page costs one, all blocks stay, then come entities by their
+    blocks on the page, each with its topics, up to the first that costs more than is left. Edges are CONTAINS,
+    EXTRACTED_FROM, HAS_TOPIC, and every relation between two entities that stay. A topic of two entities is one node but
+    costs twice. Null or blank content is labelled by the last heading, else ``Block``; repeated rows count once.
+
+    Everything after the choice of pages is bounded by anchors times the rows of a page; only semi-joins and joins from
+    that side meet the large tables.
+    """
+    at = cut(anchor_pages(anchors, pages, entities, mentions))
+    page = F.broadcast(at)
+    own = blocks.join(page, "url").where("block_id is not null").dropDuplicates(["anchor", "block_id"])
+    hits = mentions.join(page, "url").select("anchor", "url", "entity_id", "block_id").distinct()
+    hits = cut(hits.join(own.select("anchor", "block_id"), ["anchor", "block_id"], "left_semi"))
+    named = topics.join(hits.select("entity_id").distinct(), "entity_id", "left_semi").where("keyword <> ''")
+    named = named.groupBy("entity_id").agg(F.slice(F.array_sort(F.collect_set("keyword")), 1, per_entity).alias("topics"))
+    size = own.groupBy("anchor").agg(F.count("*").alias("n_blocks"))
+    rows = hits.groupBy("anchor", "entity_id").agg(F.count("*").alias("hits")).join(named, "entity_id", "left").join(F.broadcast(size), "anchor")
+    rows = rows.withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
+    w = Window.partitionBy("anchor").orderBy(F.desc("hits"), "entity_id").rowsBetween(Window.unboundedPreceding, 0)
+    spent = rows.withColumn("spent", 1 + F.col("n_blocks") + F.sum(1 + F.size("topics")).over(w))
+    kept = cut(spent.where(F.col("spent") <= max_nodes).select("anchor", "entity_id", "topics"))
+
+    none = F.lit(None).cast("string")
+
+    def node(rows: DataFrame, layer: str, ident: str, kind: str, label) -> DataFrame:
+        return rows.select("anchor", F.lit("node").alias("kind"), F.lit(layer).alias("layer"), F.col(ident).alias("id"), none.alias("dst"), F.lit(kind).alias("type"), label.alias("label"))
+
+    def edge(rows: DataFrame, src: str, dst: str, kind) -> DataFrame:
+        return rows.select("anchor", F.lit("edge").alias("kind"), none.alias("layer"), F.col(src).alias("id"), F.col(dst).alias("dst"), kind.alias("type"), none.alias("label"))
+
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    heading = F.element_at(F.split("heading_context", " > "), -1)
+    words = kept.select("anchor", "entity_id", F.explode("topics").alias("keyword"))
+    end = kept.select("anchor", "entity_id")
+    related = edges.join(end.withColumnRenamed("entity_id", "src"), "src").join(end.withColumnRenamed("entity_id", "dst"), ["anchor", "dst"])
+    parts = [
+        node(pages.join(page, "url").dropDuplicates(["anchor", "url"]), "page", "url", "WebPage", F.coalesce(full("title"), F.col("url"))),
+        node(own, "block", "block_id", "Block", F.left(F.coalesce(full("content"), full(heading), F.lit("Block")), F.lit(60))),
+        node(kept.join(entities.select("entity_id", "name"), "entity_id").dropDuplicates(["anchor", "entity_id"]), "entity", "entity_id", "Entity", F.coalesce("name", "entity_id")),
+        node(words.select("anchor", "keyword").distinct(), "topic", "keyword", "TopicKeyword", F.col("keyword")),
+        edge(own, "url", "block_id", F.lit("CONTAINS")),
+        edge(hits.join(end, ["anchor", "entity_id"]), "entity_id", "block_id", F.lit("EXTRACTED_FROM")),
+        edge(words, "entity_id", "keyword", F.lit("HAS_TOPIC")),
+        edge(related, "src", "dst", F.col("relation_type")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def node_rows(nodes: DataFrame, label_chars: int = 80) -> DataFrame:
     """(id, label, type): nodes as the graph view shows them."""
     label = F.when(F.length("name") > label_chars, F.concat(F.left("name", F.lit(label_chars)), F.lit("..."))).otherwise(F.col("name"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.api import Engine
 from quillgraph.operators import graph, modes, rank
 from quillgraph.sources.tables import table
 
@@ -120,6 +121,28 @@ def kg_layered_slice(spark: SparkSession, d: str) -> DataFrame:
     return out.select("entity_id", "hits", F.array_join("topics", ",").alias("topics"), "cost", "spent")
 
 
+#: A page by its url, one that is not there, a name within many, an alias in another case, an id, and nothing at all.
+_ANCHORS = ["https://orders.example.org/5", "https://orders.example.org/none", "bolt", "BRAND#13 ECONOMY", "S3", "no such thing"]
+
+
+def layered_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as pages, their lines as blocks, parts and suppliers as entities; a budget of 20 nodes cuts pages of many lines."""
+    t = lambda n: table(spark, d, n)
+    url = lambda c: F.concat(F.lit("https://orders.example.org/"), F.col(c).cast("string"))
+    pages = t("orders").select(url("o_orderkey").alias("url"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("title"))
+    block = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    lines = t("lineitem").select("*", block.alias("block_id"), url("l_orderkey").alias("url"))
+    content = F.when(F.col("l_linenumber") % 3 == 0, F.lit(" ")).when(F.col("l_linenumber") % 3 == 1, F.concat_ws(" ", F.lit("Line"), F.col("block_id")))
+    heading = F.when(F.col("l_linenumber") % 2 == 0, F.concat_ws(" > ", F.lit("Lines"), "l_returnflag"))
+    blocks = lines.select("block_id", "url", content.alias("content"), heading.alias("heading_context"))
+    mentions = lines.select(F.explode(F.array(_id("P", "l_partkey"), _id("S", "l_suppkey"))).alias("entity_id"), "block_id", "url")
+    part = t("part").select(_id("P", "p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.array(F.concat_ws(" ", "p_brand", "p_type")).alias("aliases"))
+    entities = part.unionByName(t("supplier").select(_id("S", "s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), F.lit(None).cast("array<string>").alias("aliases")))
+    topics = t("part").select(_id("P", "p_partkey").alias("entity_id"), F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("keyword"))
+    tables = {"pages": pages, "blocks": blocks, "entities": entities, "mentions": mentions, "topics": topics, "edges": edges(spark, d)}
+    return Engine(tables).layered_slice(_ANCHORS, 20)
+
+
 def entity_quota_prune(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("p_partkey")
     kind = F.when(n % 3 == 0, "seed").when(n % 3 == 1, "global").otherwise("neighbor")
@@ -147,7 +170,7 @@ def mode_d(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     graph_stats, kg_neighbors_k2, kg_neighbor_edges, kg_induced_edges, kg_ego_network, kg_edge_sample, kg_neighborhood, kg_shortest_path_len,
-    kg_shortest_path, graph_nodes_view, graph_merge, slice_summary, entity_home_page, kg_layered_slice, entity_quota_prune, mode_c, mode_d,
+    kg_shortest_path, graph_nodes_view, graph_merge, slice_summary, entity_home_page, kg_layered_slice, layered_slice, entity_quota_prune, mode_c, mode_d,
 )}
 
 _NODES = """
@@ -217,6 +240,29 @@ ORACLE_SQL = {
   r as (select entity_id, hits, coalesce(array_to_string(topics, ','), '') as topics, 1 + coalesce(len(topics), 0) as cost from h left join t using (entity_id)),
   s as (select *, sum(cost) over (order by hits desc, entity_id rows between unbounded preceding and current row) as spent from r)
   select entity_id, hits, topics, cost, cast(spent as bigint) as spent from s where spent <= 80""",
+    "layered_slice": f"""with {_EDGES},
+  ln as (select *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as block_id, 'https://orders.example.org/' || l_orderkey as url from lineitem),
+  pg as (select 'https://orders.example.org/' || o_orderkey as url, case when o_orderkey % 2 = 0 then o_orderpriority end as title from orders),
+  men as (select distinct * from (select 'P' || l_partkey as entity_id, block_id, url from ln union all select 'S' || l_suppkey, block_id, url from ln)),
+  ent as (select 'P' || p_partkey as entity_id, p_name as name, lower(p_name || chr(10) || p_brand || ' ' || p_type) as said from part union all select 'S' || s_suppkey, s_name, lower(s_name) from supplier),
+  an as (select unnest([{", ".join("'" + a + "'" for a in _ANCHORS)}]) as anchor),
+  pick as (select anchor, min(entity_id) as entity_id from an, ent where not starts_with(anchor, 'http') and (contains(said, lower(anchor)) or entity_id = anchor) group by 1),
+  dense as (select anchor, url, row_number() over (partition by anchor order by count(distinct block_id) desc, url) as k from pick join men using (entity_id) group by anchor, url),
+  site as (select anchor, url from an join pg on url = anchor union all select anchor, url from dense where k = 1 and url in (select url from pg)),
+  own as (select distinct anchor, url, block_id, l_linenumber as n, l_returnflag as f from site join ln using (url)),
+  hit as (select anchor, entity_id, block_id from site join men using (url)),
+  tp as (select entity_id, list_sort(list_distinct(list(k)))[1:2] as topics from (select 'P' || p_partkey as entity_id, unnest(string_split(p_name || ' ' || p_type, ' ')) as k from part) where k <> '' group by 1),
+  run as (select h.anchor, entity_id, topics, 1 + (select count(*) from own where own.anchor = h.anchor) + sum(1 + coalesce(len(topics), 0)) over (partition by h.anchor order by hits desc, entity_id) as spent
+    from (select anchor, entity_id, count(*) as hits from hit group by 1, 2) h left join tp using (entity_id)),
+  kept as (select * from run where spent <= 20), kw as (select anchor, entity_id, unnest(topics) as keyword from kept)
+  select anchor, 'node' as kind, 'page' as layer, url as id, null as dst, 'WebPage' as type, coalesce(title, url) as label from site join pg using (url)
+  union all select anchor, 'node', 'block', block_id, null, 'Block', left(case when n % 3 = 1 then 'Line ' || block_id when n % 2 = 0 then f else 'Block' end, 60) from own
+  union all select anchor, 'node', 'entity', entity_id, null, 'Entity', name from kept join ent using (entity_id)
+  union all select distinct anchor, 'node', 'topic', keyword, null, 'TopicKeyword', keyword from kw
+  union all select anchor, 'edge', null, url, block_id, 'CONTAINS', null from own
+  union all select anchor, 'edge', null, entity_id, block_id, 'EXTRACTED_FROM', null from hit semi join kept using (anchor, entity_id)
+  union all select anchor, 'edge', null, entity_id, keyword, 'HAS_TOPIC', null from kw
+  union all select x.anchor, 'edge', null, src, dst, relation_type, null from edges join kept x on x.entity_id = src join kept y on y.entity_id = dst and y.anchor = x.anchor""",
     "entity_quota_prune": f"""with cand as (select p_partkey % 4 as query_id, 'P' || p_partkey as id, case p_partkey % 3 when 0 then 'seed' when 1 then 'global' else 'neighbor' end as kind, p_retailprice as weight from part
   where p_partkey % 3 <> 0 or substr('P' || p_partkey, 2, 1) = '1'), {_QUOTA.format(s=10, g=10, n=30)} select query_id, id, kind, k from picked""",
     "mode_c": f"""with {_ALL}, {_MENTIONS}, sd as (select * from (values (0, 'S1', 0.9), (0, 'S2', 0.8), (1, 'S3', 0.7)) v(query_id, id, weight)), gl as (select * from (values (0, 'P5', 0.5), (1, 'P6', 0.4)) v(query_id, id, weight)),
