@@ -231,6 +231,44 @@ def html_dom_links(spark: SparkSession, d: str) -> DataFrame:
     return html.dom_links(table(spark, d, "pages"))
 
 
+# Pages read by a stack machine in SQL, a token a round: each element and text with the numbers of the elements it lies in.
+# Script and style are left out beforehand; the tables' pages have no other hidden text, and four kinds of entities.
+_DOM = r"""
+html_src as (select page_id, url, regexp_extract_all(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<![^>]*>', '<br hidden>', 'g'), '<[^>]*>|[^<]+') as toks from pages),
+tok as (select page_id, i, toks[i] as tok, lower(regexp_extract(toks[i], '^</?([a-zA-Z0-9]+)', 1)) as t, starts_with(toks[i], '</') as closing, starts_with(toks[i], '<') as is_tag
+  from (select page_id, toks, unnest(range(1, len(toks) + 1)) as i from html_src)),
+rule as materialized (select *, is_tag and not closing and t not in ('br', 'meta') as opening, case when t = 'li' then ['li', 'p']
+  when t in ('p', 'div', 'article', 'section', 'header', 'footer', 'nav', 'ul', 'ol', 'table', 'form', 'main', 'aside', 'pre', 'blockquote', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6') then ['p'] else [] end as shuts from tok),
+run as (select page_id, 0::bigint as i, []::struct(t varchar, i bigint)[] as st, []::bigint[] as up from html_src
+  union all select r.page_id, k.i, case when k.opening then list_append(k.cut, {'t': k.t, 'i': k.i}) else k.cut end, [x.i for x in k.cut]
+  from run r join lateral (select q.*, case when not q.is_tag then r.st when q.closing then
+      case when list_contains([x.t for x in r.st], q.t) then r.st[1:list_max([y for y in range(1, len(r.st) + 1) if r.st[y].t = q.t]) - 1] else r.st end
+    else r.st[1:coalesce(list_max([y for y in range(1, len(r.st) + 1) if not list_contains(q.shuts, r.st[y].t)]), 0)] end as cut
+    from rule q where q.page_id = r.page_id and q.i = r.i + 1) k on true),
+dom as materialized (select r.page_id, r.i, r.up, k.tok, k.t, k.is_tag from run r join rule k using (page_id, i) where not k.closing and k.t <> 'meta' and k.tok <> '<br hidden>'),
+txt as materialized (select page_id, i, up, replace(replace(replace(regexp_replace(said, '&amp;?', '&', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"') as text
+  from (select *, trim(tok, E' \t\n\r\x0b\x0c') as said from dom where not is_tag) where said <> ''),
+el as materialized (select page_id, i, up, up[-1] as parent, t, tok, nullif(regexp_extract(tok, ' id="([^"]*)"', 1), '') as ident from dom where is_tag)"""
+_BLOCKS = rf"""{_DOM},
+lay as (select el.page_id, el.i, coalesce(string_agg(text, ' ' order by txt.i), '') as text, max(txt.i) as post,
+  coalesce(sum(len(regexp_extract_all(text, '[\x{{4e00}}-\x{{9fff}}\x{{3400}}-\x{{4dbf}}]')) + len(regexp_extract_all(text, '[^\s\x{{a0}}]+'))), 0) as words
+  from el left join txt on txt.page_id = el.page_id and list_contains(txt.up, el.i) group by 1, 2),
+body as (select page_id, min(i) as b from el where t = 'body' group by 1),
+kept as (select page_id, list(i) as ids from el where t in ('table', 'thead', 'tbody', 'tr', 'ul', 'ol', 'dl', 'pre', 'code') group by 1),
+step as (select el.*, row_number() over (partition by page_id, parent, t order by i) - 1 as nth, count(ident) over (partition by page_id, parent, ident) as twins,
+  row_number() over (partition by page_id, parent order by i) - 1 as child from el),
+node as (select s.page_id, s.i, s.up, s.parent, s.child, l.text, l.words, l.post, b, len(s.up) - list_position(list_append(s.up, s.i), b) + 1 as depth,
+  t || case when ident is null then '[' || nth || ']' when twins = 1 then '#' || ident else '#' || ident || '[' || nth || ']' end as step,
+  words > 150 and not list_contains(coalesce(ids, []), s.i) as split, len(list_intersect(s.up, coalesce(ids, []))) = 0 as free
+  from step s join lay l using (page_id, i) join body using (page_id) left join kept using (page_id)),
+met as (select n.* from node n left join node p on p.page_id = n.page_id and p.i = n.parent where n.i = n.b or (list_contains(n.up, n.b) and n.free and p.words > 150)),
+hit as (select * from met where (not split and words >= 20) or (split and not exists (select 1 from met k where k.page_id = met.page_id and k.parent = met.i and (k.split or k.words >= 20)))),
+way as (select h.page_id, h.i, string_agg(a.step, '>' order by a.i) as path, string_agg(a.step, '>' order by a.i) filter (a.i <> h.i) as above
+  from hit h join node a on a.page_id = h.page_id and (a.i = h.i or list_contains(h.up, a.i)) group by 1, 2),
+head as (select h.page_id, h.i, string_agg(l.text, ' > ' order by l.i) as led from hit h join el on el.page_id = h.page_id and el.i <= h.post and el.t in ('h1', 'h2', 'h3', 'h4', 'h5', 'h6')
+  join lay l on l.page_id = el.page_id and l.i = el.i where l.text <> '' group by 1, 2),
+named as (select page_id, first(text order by i) as title from el join lay using (page_id, i) where t = 'title' group by 1)"""
+
 QUERIES = {f.__name__: f for f in (
     url_parts_normalized, url_whitelist, url_drop_reason, url_drop_histogram, url_discovery, page_type_department, page_title_meta,
     error_page_reason, page_links_raw, page_links, link_stub_pages, crawl_frontier_bfs, crawl_seed_budget, related_links,
@@ -283,4 +321,15 @@ ORACLE_SQL = {
   g as (select content_hash, count(*) as size, max(n_blocks) as most, min({_key_sql('url')}).u as c from r group by 1),
   j as (select url, r.content_hash, c, case when starts_with(r.content_hash, 'e3b0c44298') or most = 0 or size >= 20 then 'drop' when size = 1 or url = c then 'keep' else 'mirror' end as action from r join g on g.content_hash = r.content_hash)
   select url, content_hash, action, case when action <> 'drop' then c end as canonical_url from j""",
+    "html_blocks": f"""with recursive {_BLOCKS}
+  select md5(url || '|' || path) as block_id, h.text as content, path as html_tag_path, coalesce(led, title, '') as heading_context, cast(words as integer) as token_count, cast(depth as integer) as depth,
+    case when depth > 0 then md5(url || '|' || above) end as parent_block_id, cast(case when depth > 0 then child else 0 end as integer) as child_index, url
+  from hit h join way using (page_id, i) join html_src using (page_id) left join head using (page_id, i) left join named using (page_id)""",
+    "html_clean_text": f"""with recursive {_DOM} select url, regexp_replace(coalesce(string_agg(text, ' ' order by i), ''), '[ \\t]+', ' ', 'g') as text
+  from html_src left join txt using (page_id) group by page_id, url""",
+    "html_dom_links": f"""with recursive {_DOM}, a as (select page_id, url, i, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || regexp_replace(regexp_extract(tok, 'href="([^"]*)"', 1), '[#?].*$', '') as to_url
+    from el join html_src using (page_id) where t = 'a' and contains(tok, 'href="/')),
+  f as (select page_id, url, to_url, min(i) as i from a group by 1, 2, 3)
+  select url as from_url, to_url, left(coalesce((select string_agg(text, ' ' order by txt.i) from txt where txt.page_id = f.page_id and list_contains(txt.up, f.i)), ''), 200) as anchor_text,
+    cast(row_number() over (partition by page_id order by i) - 1 as integer) as ordinal from f""",
 }

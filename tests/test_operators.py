@@ -218,14 +218,58 @@ def test_acronyms(spark):
     assert out == {1: "What degrees in CHC? (CHC = Department of History)", 2: "What degrees in chc?"}
 
 
-def test_segments_and_blocks():
-    root = html.parse("<body><p>a<p>b<div id=a>c</div><div id=a>d</div><div id=z>e</div></body>")
-    assert [s for _, s in html.segments(html.find(root, "body"))] == ["p[0]", "p[1]", "div#a[0]", "div#a[1]", "div#z"]
+def test_segments_and_blocks(spark):
     para = " ".join(["word"] * 60)
     page = f"<html><head><title>T</title></head><body><h1>Top</h1><div><h2>Part</h2><p>{para}</p><p>{para}</p><p>{para}</p></div><p>short</p></body></html>"
-    out = html.blocks("u", page)
-    assert [b["token_count"] for b in out] == [60, 60, 60] and out[0]["heading_context"] == "Top > Part" and out[0]["html_tag_path"].endswith("div[0]>p[0]")
-    assert html.blocks("u", "") == [] and html.blocks("u", "<p>tiny</p>") == []
+    twins = "<body><p>a<p>b<div>x</div><div id=a>c</div><div id=a>d</div><div id=z>e</div><div>y</div></body>"
+    pages = spark.createDataFrame([("u", page), ("s", twins), ("e", ""), ("n", None), ("t", "<p>tiny</p>"), (None, f"<title>Q</title>{para}")], "url string, html string")
+    steps = html.segments(html.nodes(pages)).where("url = 's' and level = 1").orderBy("pre").collect()
+    assert [r["step"] for r in steps] == ["p[0]", "p[1]", "div[0]", "div#a[1]", "div#a[2]", "div#z", "div[4]"] and [r["child_index"] for r in steps] == list(range(7))
+    out = {(r["url"], r["html_tag_path"]): r for r in html.block_tree(pages).collect()}
+    assert set(out) == {("u", f"html[0]>body[0]>div[0]>p[{i}]") for i in range(3)} | {("", "body[0]")}
+    one = out["u", "html[0]>body[0]>div[0]>p[1]"]
+    assert one["heading_context"] == "Top > Part" and one["token_count"] == 60 and one["depth"] == 2 and one["child_index"] == 2 and one["content"] == para
+    assert out["", "body[0]"]["heading_context"] == "Q" and out["", "body[0]"]["token_count"] == 61
+    assert {r["url"]: r["text"] for r in html.clean_text(pages).collect()}["t"] == "tiny"
+
+
+def test_blocks_of_deep_and_nested_pages(spark):
+    para = " ".join(["word"] * 200)
+    deep = "<body>" + "<div>" * 50_000 + f"<h1>H</h1>{para}"
+    # a split element whose parts are all too small is one block; headings of an earlier branch come level by level
+    small = "<body><div>" + "".join(f"<p>{'few ' * 15}</p>" for _ in range(12)) + "</div></body>"
+    order = f"<body><section><div><h3>low</h3></div><h2>high</h2></section><h2>high</h2><table><tr><td><p>{para}</p></td></tr></table><script>no <h1>x</h1></script></body>"
+    pages = spark.createDataFrame([("deep", deep), ("small", small), ("order", order), ("order", order)], "url string, html string")
+    out = {u: [r for r in rows] for u in ("deep", "small", "order") if (rows := html.block_tree(pages).where(F.col("url") == u).collect())}
+    assert [(r["depth"], r["heading_context"]) for r in out["deep"]] == [(50_000, "H")]
+    assert [(r["html_tag_path"], r["token_count"]) for r in out["small"]] == [("body[0]>div[0]", 180)]
+    assert [(r["html_tag_path"], r["heading_context"]) for r in out["order"]] == [("body[0]>table[0]", "high > low")] * 2  # repeated pages stay apart
+
+
+def test_layered_slice(spark):
+    f = spark.createDataFrame
+    tables = {
+        "pages": f([("http://p", "Page"), ("http://q", None)], "url string, title string"),
+        "blocks": f([("b1", "http://p", " ", "A > B"), ("b2", "http://p", "x" * 80, None), ("b2", "http://p", "x" * 80, None), ("b3", "http://q", None, None)], "block_id string, url string, content string, heading_context string"),
+        "entities": f([("e1", "Msc Data", ["DSA"]), ("e2", "Other", None), ("e3", "Third", None)], "entity_id string, name string, aliases array<string>"),
+        "mentions": f([("e1", "b1", "http://p"), ("e1", "b2", "http://p"), ("e1", "b2", "http://p"), ("e2", "b1", "http://p"), ("e3", "b2", "http://p"), ("e1", "b3", "http://q")], "entity_id string, block_id string, url string"),
+        "topics": f([("e1", "t3"), ("e1", "t1"), ("e1", "t2"), ("e2", "t1"), ("e2", None), ("e3", "t9")], "entity_id string, keyword string"),
+        "edges": f([("e1", "e2", "knows"), ("e2", "e3", "knows")], "src string, dst string, relation_type string"),
+    }
+    engine = Engine(tables)
+    rows = engine.layered_slice(["dsa", "http://q", "nobody"], 10).collect()  # 1 page, 2 blocks, e1 costs 3, e2 2, e3 2: all ten
+    mine = [r for r in rows if r["anchor"] == "dsa"]
+    assert sorted((r["layer"], r["id"], r["label"]) for r in mine if r["kind"] == "node") == [
+        ("block", "b1", "B"), ("block", "b2", "x" * 60), ("entity", "e1", "Msc Data"), ("entity", "e2", "Other"), ("entity", "e3", "Third"),
+        ("page", "http://p", "Page"), ("topic", "t1", "t1"), ("topic", "t2", "t2"), ("topic", "t9", "t9"),
+    ]
+    assert sum(r["type"] == "EXTRACTED_FROM" for r in mine) == 4 and sum(r["type"] == "knows" for r in mine) == 2 and sum(r["type"] == "HAS_TOPIC" for r in mine) == 4
+    assert {r["id"] for r in rows if r["anchor"] == "http://q" and r["kind"] == "node"} == {"http://q", "b3", "e1", "t1", "t2"}
+    assert {r["label"] for r in rows if r["id"] in ("b3",) and r["kind"] == "node"} == {"Block"} and not [r for r in rows if r["anchor"] == "nobody"]
+    tight = graph.layered_slice(["dsa"], *[tables[n] for n in ("pages", "blocks", "entities", "mentions", "topics", "edges")], max_nodes=7).collect()
+    assert {r["id"] for r in tight if r["layer"] == "entity"} == {"e1"}  # the next costs more than is left, and the list ends there
+    with pytest.raises(ValueError):
+        engine.layered_slice("dsa", 9)
 
 
 def test_crawl_and_links(spark):
