@@ -227,7 +227,8 @@ def mix(
         at = DOMAINS.index(anchor)
         total = have[at] / share[at]
     target = (share * (sum(have) if total is None else total)).tolist()
-    out = rows.join(materialize(solve(mass, target), "mix-solved"), "p")
+    # three decimals that add up to one: 501,501 posteriors at most, whatever the corpus, and many rows share one
+    out = rows.join(F.broadcast(materialize(solve(mass, target), "mix-solved")), "p")
     rate = F.round(F.col("rate"), 6)
     near = F.round(rate, 0)
     whole = F.when(F.abs(rate - near) <= snap, near).otherwise(F.floor(rate + unit_hash(F.col("doc_id"), seed="mix")))
@@ -238,7 +239,11 @@ def mix(
 
 
 def draw(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with every row as often as :func:`mix` says, columns unchanged."""
+    """``docs`` with every row as often as :func:`mix` says, columns unchanged.
+
+    Rows of one id stay together, whatever their texts: each comes as often as the one of them that comes most. A row
+    without an id comes once.
+    """
     n, i = free_name(docs, "copies"), free_name(docs, "copy")
     copies = mix(docs, labels, weights, id_col=id_col, **how).groupBy("doc_id").agg(F.max("copies").alias(n))
     copies = copies.where("doc_id is not null").withColumnRenamed("doc_id", id_col)
