@@ -148,6 +148,11 @@ class Engine:
         return graph.stats(self.table("nodes"), self.table("edges"))
 
     def graph_data(self, center: str | None = None, max_nodes: int = 100) -> DataFrame:
+        """What lies around ``center``, else a sample of the edges. With tables of entities, blocks, mentions and topics the
+        center is found by name, alias or id and has its blocks and topics; else it is a node with its neighbours."""
+        names = ("entities", "blocks", "mentions", "topics", "edges")
+        if center and set(names) <= self.tables.keys():
+            return graph.ego_view([center], *[self.table(n) for n in names])
         if center:
             return graph.ego(self.table("edges"), self.table("nodes"), center)
         return graph.edge_sample(self.table("edges"), max_nodes)

@@ -260,6 +260,39 @@ def layered_slice(
     return out
 
 
+def ego_view(
+    anchors: list[str], entities: DataFrame, blocks: DataFrame, mentions: DataFrame, topics: DataFrame, edges: DataFrame, max_blocks: int = 5,
+) -> DataFrame:
+    """(anchor, kind, id, dst, type, label): the entity of each anchor (:func:`anchored`), its neighbours over all relations in
+    either direction, its first ``max_blocks`` blocks by id, and its topics, as nodes and edges that leave it.
+
+    Tables as for :func:`layered_slice`. Neighbours without a row of their own are left out with their edges; a block
+    without a heading is labelled ``Block``; repeated rows count once. Anchors that name no entity have no row.
+    """
+    center = F.broadcast(cut(anchored(entities, anchors)))
+    none = F.lit(None).cast("string")
+    node = lambda rows, ident, kind, label: rows.select("anchor", F.lit("node").alias("kind"), F.col(ident).alias("id"), none.alias("dst"), F.lit(kind).alias("type"), label.alias("label")).distinct()
+    edge = lambda rows, dst, kind: rows.select("anchor", F.lit("edge").alias("kind"), F.col("entity_id").alias("id"), F.col(dst).alias("dst"), kind.alias("type"), none.alias("label"))
+    named = entities.select("entity_id", "name")
+    near = undirected(edges).join(center, F.col("a") == F.col("entity_id")).where("a <> b").select("anchor", "entity_id", F.col("b").alias("nbr"), "edge_id", "relation_type").distinct()
+    near = near.join(named.withColumnsRenamed({"entity_id": "nbr", "name": "nbr_name"}), "nbr")
+    own = mentions.join(center, "entity_id").select("anchor", "entity_id", "block_id").distinct()
+    held = blocks.groupBy("block_id").agg(F.min("heading_context").alias("heading"))
+    own = _best(own.join(held, "block_id"), ["anchor"], ["block_id"], max_blocks)
+    words = topics.where("keyword <> ''").join(center, "entity_id").select("anchor", "entity_id", "keyword").distinct()
+    parts = [
+        node(named.join(center, "entity_id"), "entity_id", "Entity", F.coalesce("name", "entity_id")),
+        node(near, "nbr", "Entity", F.coalesce("nbr_name", "nbr")),
+        node(own, "block_id", "Block", F.left(F.coalesce("heading", F.lit("Block")), F.lit(50))),
+        node(words, "keyword", "TopicKeyword", F.col("keyword")),
+        edge(near, "nbr", F.col("relation_type")), edge(own, "block_id", F.lit("EXTRACTED_FROM")), edge(words, "keyword", F.lit("HAS_TOPIC")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def node_rows(nodes: DataFrame, label_chars: int = 80) -> DataFrame:
     """(id, label, type): nodes as the graph view shows them."""
     label = F.when(F.length("name") > label_chars, F.concat(F.left("name", F.lit(label_chars)), F.lit("..."))).otherwise(F.col("name"))

@@ -125,8 +125,8 @@ def kg_layered_slice(spark: SparkSession, d: str) -> DataFrame:
 _ANCHORS = ["https://orders.example.org/5", "https://orders.example.org/none", "bolt", "BRAND#13 ECONOMY", "S3", "no such thing"]
 
 
-def layered_slice(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as pages, their lines as blocks, parts and suppliers as entities; a budget of 20 nodes cuts pages of many lines."""
+def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Orders as pages, their lines as blocks, parts and suppliers as entities."""
     t = lambda n: table(spark, d, n)
     url = lambda c: F.concat(F.lit("https://orders.example.org/"), F.col(c).cast("string"))
     pages = t("orders").select(url("o_orderkey").alias("url"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("title"))
@@ -139,8 +139,17 @@ def layered_slice(spark: SparkSession, d: str) -> DataFrame:
     part = t("part").select(_id("P", "p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.array(F.concat_ws(" ", "p_brand", "p_type")).alias("aliases"))
     entities = part.unionByName(t("supplier").select(_id("S", "s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), F.lit(None).cast("array<string>").alias("aliases")))
     topics = t("part").select(_id("P", "p_partkey").alias("entity_id"), F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("keyword"))
-    tables = {"pages": pages, "blocks": blocks, "entities": entities, "mentions": mentions, "topics": topics, "edges": edges(spark, d)}
-    return Engine(tables).layered_slice(_ANCHORS, 20)
+    return {"pages": pages, "blocks": blocks, "entities": entities, "mentions": mentions, "topics": topics, "edges": edges(spark, d)}
+
+
+def layered_slice(spark: SparkSession, d: str) -> DataFrame:
+    """A budget of 20 nodes cuts pages of many lines."""
+    return Engine(_tables(spark, d)).layered_slice(_ANCHORS, 20)
+
+
+def ego_view(spark: SparkSession, d: str) -> DataFrame:
+    t = _tables(spark, d)
+    return graph.ego_view(_ANCHORS, *[t[n] for n in ("entities", "blocks", "mentions", "topics", "edges")])
 
 
 def entity_quota_prune(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +179,7 @@ def mode_d(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     graph_stats, kg_neighbors_k2, kg_neighbor_edges, kg_induced_edges, kg_ego_network, kg_edge_sample, kg_neighborhood, kg_shortest_path_len,
-    kg_shortest_path, graph_nodes_view, graph_merge, slice_summary, entity_home_page, kg_layered_slice, layered_slice, entity_quota_prune, mode_c, mode_d,
+    kg_shortest_path, graph_nodes_view, graph_merge, slice_summary, entity_home_page, kg_layered_slice, layered_slice, ego_view, entity_quota_prune, mode_c, mode_d,
 )}
 
 _NODES = """
@@ -209,6 +218,14 @@ ALL_SQL, neighbors_sql = _ALL, _neighbors
 def quota_sql(seeds: int, globals_: int, limit: int) -> str:
     return _QUOTA.format(s=seeds, g=globals_, n=limit)
 
+_SLICE = f"""{_EDGES},
+  ln as (select *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as block_id, 'https://orders.example.org/' || l_orderkey as url from lineitem),
+  pg as (select 'https://orders.example.org/' || o_orderkey as url, case when o_orderkey % 2 = 0 then o_orderpriority end as title from orders),
+  men as (select distinct * from (select 'P' || l_partkey as entity_id, block_id, url from ln union all select 'S' || l_suppkey, block_id, url from ln)),
+  ent as (select 'P' || p_partkey as entity_id, p_name as name, lower(p_name || chr(10) || p_brand || ' ' || p_type) as said from part union all select 'S' || s_suppkey, s_name, lower(s_name) from supplier),
+  an as (select unnest([{", ".join("'" + a + "'" for a in _ANCHORS)}]) as anchor),
+  pick as (select anchor, min(entity_id) as entity_id from an, ent where not starts_with(anchor, 'http') and (contains(said, lower(anchor)) or entity_id = anchor) group by 1),
+  tk as (select * from (select 'P' || p_partkey as entity_id, unnest(string_split(p_name || ' ' || p_type, ' ')) as k from part) where k <> '')"""
 
 ORACLE_SQL = {
     "graph_stats": f"with {_NODES}, {_EDGES} select 'node' as kind, type as name, count(*) as n from nodes group by 2 union all select 'edge', relation_type, count(*) from edges group by 2",
@@ -240,18 +257,28 @@ ORACLE_SQL = {
   r as (select entity_id, hits, coalesce(array_to_string(topics, ','), '') as topics, 1 + coalesce(len(topics), 0) as cost from h left join t using (entity_id)),
   s as (select *, sum(cost) over (order by hits desc, entity_id rows between unbounded preceding and current row) as spent from r)
   select entity_id, hits, topics, cost, cast(spent as bigint) as spent from s where spent <= 80""",
-    "layered_slice": f"""with {_EDGES},
-  ln as (select *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as block_id, 'https://orders.example.org/' || l_orderkey as url from lineitem),
-  pg as (select 'https://orders.example.org/' || o_orderkey as url, case when o_orderkey % 2 = 0 then o_orderpriority end as title from orders),
-  men as (select distinct * from (select 'P' || l_partkey as entity_id, block_id, url from ln union all select 'S' || l_suppkey, block_id, url from ln)),
-  ent as (select 'P' || p_partkey as entity_id, p_name as name, lower(p_name || chr(10) || p_brand || ' ' || p_type) as said from part union all select 'S' || s_suppkey, s_name, lower(s_name) from supplier),
-  an as (select unnest([{", ".join("'" + a + "'" for a in _ANCHORS)}]) as anchor),
-  pick as (select anchor, min(entity_id) as entity_id from an, ent where not starts_with(anchor, 'http') and (contains(said, lower(anchor)) or entity_id = anchor) group by 1),
+    "ego_view": f"""with {_SLICE},
+  und as (select distinct * from (select src as a, dst as b, relation_type from edges union all select dst, src, relation_type from edges) where a <> b),
+  nb as (select anchor, p.entity_id, b as nbr, relation_type, name from pick p join und on a = p.entity_id join ent e on e.entity_id = b),
+  ob as (select distinct anchor, entity_id, block_id, heading from pick join men using (entity_id) join (select block_id, min(case when l_linenumber % 2 = 0 then 'Lines > ' || l_returnflag end) as heading from ln group by 1) using (block_id)
+    qualify row_number() over (partition by anchor order by block_id) <= 5),
+  kw as (select distinct anchor, entity_id, k as keyword from pick join tk using (entity_id))
+  select anchor, 'node' as kind, entity_id as id, null as dst, 'Entity' as type, name as label from pick join ent using (entity_id)
+  union all select distinct anchor, 'node', nbr, null, 'Entity', name from nb union all select anchor, 'node', block_id, null, 'Block', left(coalesce(heading, 'Block'), 50) from ob
+  union all select anchor, 'node', keyword, null, 'TopicKeyword', keyword from kw union all select anchor, 'edge', entity_id, nbr, relation_type, null from nb
+  union all select anchor, 'edge', entity_id, block_id, 'EXTRACTED_FROM', null from ob union all select anchor, 'edge', entity_id, keyword, 'HAS_TOPIC', null from kw""",
+    "kg_shortest_path": f"""with recursive {_ALL}, nx as materialized (select distinct a, b from und where a <> b),
+  walk as (select 'P7' as id, 0 as hops union select b, hops + 1 from walk join nx on a = walk.id where hops < 6), lv as materialized (select id, min(hops) as hops from walk group by id),
+  led as materialized (select b as id, a, hops + 1 as hops from nx join lv on lv.id = a),
+  par as materialized (select id, min(a) as parent from led join lv using (id, hops) group by 1),
+  back as (select id, hops from lv where id = 'C11' union all select parent, hops - 1 from back join par using (id))
+  select hops as step, id from back""",
+    "layered_slice": f"""with {_SLICE},
   dense as (select anchor, url, row_number() over (partition by anchor order by count(distinct block_id) desc, url) as k from pick join men using (entity_id) group by anchor, url),
   site as (select anchor, url from an join pg on url = anchor union all select anchor, url from dense where k = 1 and url in (select url from pg)),
   own as (select distinct anchor, url, block_id, l_linenumber as n, l_returnflag as f from site join ln using (url)),
   hit as (select anchor, entity_id, block_id from site join men using (url)),
-  tp as (select entity_id, list_sort(list_distinct(list(k)))[1:2] as topics from (select 'P' || p_partkey as entity_id, unnest(string_split(p_name || ' ' || p_type, ' ')) as k from part) where k <> '' group by 1),
+  tp as (select entity_id, list_sort(list_distinct(list(k)))[1:2] as topics from tk group by 1),
   run as (select h.anchor, entity_id, topics, 1 + (select count(*) from own where own.anchor = h.anchor) + sum(1 + coalesce(len(topics), 0)) over (partition by h.anchor order by hits desc, entity_id) as spent
     from (select anchor, entity_id, count(*) as hits from hit group by 1, 2) h left join tp using (entity_id)),
   kept as (select * from run where spent <= 20), kw as (select anchor, entity_id, unnest(topics) as keyword from kept)

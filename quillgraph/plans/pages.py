@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillgraph.config import UrlRules
 from quillgraph.functions import expr as E
 from quillgraph.operators import dedup, html, web
+from quillgraph.sources import scans
+from quillgraph.sources.state import folder
 from quillgraph.sources.tables import table
 
 RULES = UrlRules(
@@ -179,6 +181,34 @@ def related_links(spark: SparkSession, d: str) -> DataFrame:
     return web.related_links(sources, named)
 
 
+def priority_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Links to pages of programmes, some of which the crawl has."""
+    n = F.col("page_id")
+    to = F.concat(F.lit("https://"), E.url_host(F.col("url")), F.lit("/study/"), n.cast("string"), F.when(n % 3 == 0, "/curriculum").when(n % 3 == 1, "/faq/").otherwise("/news"))
+    rows = table(spark, d, "pages").select("page_id", to.alias("to_url"))
+    return web.backfill(rows, rows.where("page_id % 4 = 0").select(F.col("to_url").alias("url")))
+
+
+def fetched_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as a fetching service gives them: without a url of their own, with empty or missing titles and descriptions."""
+    n = F.col("page_id")
+    text = lambda k, tag: F.when(n % k == 0, F.lit("")).when(n % k == 1, F.concat(F.lit(tag), n.cast("string")))
+    docs = table(spark, d, "pages").select(
+        F.when(n % 5 > 0, F.col("url")).alias("url"), F.col("url").alias("source_url"), text(3, "t").alias("title"), text(4, "ot").alias("og_title"),
+        text(6, "d").alias("description"), text(5, "od").alias("og_description"), F.lit(None).cast("string").alias("markdown"), "html",
+    )
+    out = scans.fetched_documents(docs, "2024-01-01")
+    return out.select("url", "title", "meta_description", "department", "page_type", "crawled_at", "markdown", F.md5("html").alias("html_md5"))
+
+
+def frontier_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' urls as JSON lines, some broken, without a url or with a null one, read as a frontier."""
+    n, path = F.col("page_id"), folder(spark, "frontier")
+    line = F.when(n % 6 == 0, '{"url": "http://cut').when(n % 6 == 1, '{"title": "no url"}').when(n % 6 == 2, '{"url": null}').otherwise(F.to_json(F.struct("url", "page_id")))
+    table(spark, d, "pages").select(line.alias("value")).write.text(path)
+    return scans.frontier(spark, path)
+
+
 def canonical_url_pick(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "pages").withColumn("grp", F.substring(E.url_host(F.col("url")), 1, 8))
     return dedup.pick_canonical(rows, "grp", MAIN_HOST)
@@ -272,7 +302,7 @@ named as (select page_id, first(text order by i) as title from el join lay using
 QUERIES = {f.__name__: f for f in (
     url_parts_normalized, url_whitelist, url_drop_reason, url_drop_histogram, url_discovery, page_type_department, page_title_meta,
     error_page_reason, page_links_raw, page_links, link_stub_pages, crawl_frontier_bfs, crawl_seed_budget, related_links,
-    canonical_url_pick, link_rewrite, content_dedup_actions, html_blocks, html_clean_text, html_dom_links,
+    priority_backfill, fetched_pages, frontier_scan, canonical_url_pick, link_rewrite, content_dedup_actions, html_blocks, html_clean_text, html_dom_links,
 )}
 
 _TYPES = """case when contains(url, '/people/academic-staff') or contains(url, '/people/academic-teaching-staff') then 'staff-list'
@@ -310,6 +340,12 @@ ORACLE_SQL = {
   o as (select query_id, to_url, min(anchor_text) as anchor_text from s join named on from_url = url where anchor_text <> '' group by 1, 2),
   f as (select * from o where not exists (select 1 from s where s.query_id = o.query_id and s.url = o.to_url))
   select query_id, to_url, anchor_text from (select *, row_number() over (partition by query_id order by to_url) as k from f) where k <= 15""",
+    "priority_backfill": f"""with l as (select page_id, 'https://' || {_url()['host']} || '/study/' || page_id || case page_id % 3 when 0 then '/curriculum' when 1 then '/faq/' else '/news' end as url from pages)
+  select distinct url from l where page_id % 3 < 2 and url not in (select url from l where page_id % 4 = 0)""",
+    "fetched_pages": f"""select url, case when page_id % 3 = 1 then 't' || page_id when page_id % 4 = 1 then 'ot' || page_id else '' end as title,
+  case when page_id % 6 = 1 then 'd' || page_id when page_id % 5 = 1 then 'od' || page_id else '' end as meta_description,
+  coalesce(nullif(upper(regexp_extract(lower(url), '/([a-z]{{2,6}})/', 1)), ''), 'unknown') as department, {_TYPES} as page_type, '2024-01-01' as crawled_at, null as markdown, md5(html) as html_md5 from pages""",
+    "frontier_scan": "select url from pages where page_id % 6 > 2",
     "canonical_url_pick": f"select substr({_url()['host']}, 1, 8) as grp, min({_key_sql('url')}).u as canonical_url from pages group by 1",
     "link_rewrite": f"""with {_PAGE_GRAPH}, h as (select url, substr(md5(substr({_url()['host']}, 1, 9)), 1, 16) as content_hash from pages),
   g as (select content_hash, count(*) as size, min({_key_sql('url')}).u as c from h group by 1),

@@ -364,4 +364,15 @@ ORACLE_SQL = {
   pp as (select *, row_number() over (partition by query_id, url order by score desc, ordinal, block_id) as n from sc qualify n <= 10),
   f as (select query_id, block_id, max({{'s': score, 'u': url}}) as m from pp group by 1, 2)
   select query_id, block_id, m.u as url, m.s as score, cast(row_number() over (partition by query_id order by m.s desc, block_id) as integer) as rank from f qualify rank <= 50""",
+    "mmr_select": f"""with recursive {_PAIRS},
+  po as materialized (select query_id, id, url, {_OT.format(t='substr(text, 1, 1500)')} as toks, row_number() over (partition by query_id order by first desc, id) as i,
+    case when max(first) over w - min(first) over w > 1e-9 then (first - min(first) over w) / (max(first) over w - min(first) over w) else 1.0 end as rel from pairs window w as (partition by query_id)),
+  pr as materialized (select a.query_id, a.i, b.i as j, a.url = b.url as same, len(a.toks) + len(b.toks) as n, case when a.url = b.url then 0 else len(list_intersect(a.toks, b.toks)) end as shared
+    from po a join po b on a.query_id = b.query_id and a.i < b.i),
+  sm as materialized (select query_id, i, j, case when same then 1.0::double when n = shared then 0.0::double else shared::double / (n - shared) end as sim from pr),
+  si as materialized (select m.*, rel from (select * from sm union all select query_id, j, i, sim from sm) m join po using (query_id, i)),
+  run as (select query_id, 1 as k, [1::bigint] as chosen from po where i = 1 union all
+    select query_id, k + 1, list_append(chosen, max({{'v': v, 'n': -i}}).n * -1) from (select r.query_id, r.k, r.chosen, s.i, round(0.5 * s.rel - 0.5 * max(s.sim), 12) as v
+      from run r join si s on s.query_id = r.query_id and list_contains(r.chosen, s.j) where r.k < 10 and not list_contains(r.chosen, s.i) group by r.query_id, r.k, r.chosen, s.i, s.rel) group by query_id, k, chosen)
+  select query_id, id, cast(list_position(chosen, po.i) as integer) as mmr_rank from (select query_id, max_by(chosen, k) as chosen from run group by 1) join po using (query_id) where list_contains(chosen, po.i)""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import expr as E
@@ -119,6 +119,23 @@ def history_window(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "n", F.md5("user_text").alias("user_md5"), F.md5("assistant_text").alias("assistant_md5"))
 
 
+def contextual_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Each user turn with the next turn, marked and quoted as a model does, for its rewrite; long, empty and missing ones fall back."""
+    turns = table(spark, d, "conversations")
+    follow = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rewrite = F.concat(F.when(F.col("turn") % 4 == 0, F.lit("Standalone question: \"")).otherwise(F.lit("rewritten:  '")), follow, F.when(F.col("turn") % 4 == 0, F.lit('" ')).otherwise(F.lit("'")))
+    asked = turns.select("conv_id", "turn", "role", "text", rewrite.alias("rewrite")).where("role = 'user'")
+    return asked.select("conv_id", "turn", F.md5(router.contextual(F.col("text"), F.col("rewrite"))).alias("question_md5"), (router.contextual(F.col("text"), F.col("rewrite")) == F.col("text")).alias("kept"))
+
+
+def page_block_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that a model gives back, mapped to the lines of an order; lines returned are blank, and labels run past the last line."""
+    t = table(spark, d, "lineitem")
+    content = F.when(F.col("l_returnflag") == "R", F.lit("  ")).otherwise(F.col("l_linestatus"))
+    blocks = t.select(F.col("l_orderkey").alias("url"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("block_id"), content.alias("content"))
+    return kg.block_refs(t.select(F.col("l_orderkey").alias("url"), F.concat(F.lit(" b"), (F.col("l_linenumber") + 1).cast("string")).alias("ref")), blocks)
+
+
 def suggestion_sanitize(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").where("role = 'user'")
     s = F.concat(F.lit(' "'), F.substring("text", 1, 12), F.lit("?\" "))
@@ -211,7 +228,7 @@ def extraction_parse(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     word_count_cjk, ascii_token_counts, identity_hashes, block_boilerplate_filter, block_content_remap, mirror_block_remap, remap_compose,
-    token_jaccard_pairs, router_heuristic, acronym_expand, history_window, suggestion_sanitize, entity_norm_exact_merge, alias_lookup,
+    token_jaccard_pairs, router_heuristic, acronym_expand, history_window, contextual_questions, page_block_refs, suggestion_sanitize, entity_norm_exact_merge, alias_lookup,
     type_and_strength, fuzzy_top5, entity_resolve, entity_merge_log, relation_texts, topic_keywords, query_decompose, extraction_parse,
 )}
 
@@ -266,6 +283,12 @@ ORACLE_SQL = {
     "history_window": """with t as (select *, lag(role) over w as pr, lag(text) over w as pt from conversations where role in ('user', 'assistant') window w as (partition by conv_id order by turn)),
   p as (select *, cast(row_number() over (partition by conv_id order by turn desc) as integer) as n from t where role = 'assistant' and pr = 'user' and trim(text) <> '')
   select conv_id, n, md5(pt) as user_md5, md5(text) as assistant_md5 from p where n <= 3""",
+    "contextual_questions": r"""with t as (select conv_id, turn, role, text, case when turn % 4 = 0 then 'Standalone question: "' else 'rewritten:  ''' end || lead(text) over (partition by conv_id order by turn) || case when turn % 4 = 0 then '" ' else '''' end as rw from conversations),
+  c as (select *, trim(regexp_replace(regexp_replace(trim(rw), '(?i)^(rewritten|standalone)( question)?:\s*', ''), '^["'']+|["'']+$', '', 'g')) as clean from t where role = 'user'),
+  o as (select conv_id, turn, text, case when coalesce(clean = '' or length(clean) > 300 or clean = text, true) then text else clean end as q from c)
+  select conv_id, turn, md5(q) as question_md5, q = text as kept from o""",
+    "page_block_refs": """with b as (select l_orderkey as url, 'B' || l_linenumber as label, l_partkey as block_id from lineitem where l_returnflag <> 'R')
+  select r.l_orderkey as url, ' b' || (r.l_linenumber + 1) as ref, block_id from lineitem r join b on b.url = r.l_orderkey and b.label = 'B' || (r.l_linenumber + 1)""",
     "suggestion_sanitize": """with r as (select conv_id as query_id, turn as position, trim(regexp_replace(trim(' "' || substr(text, 1, 12) || '?" '), '^["'']+|["'']+$', '', 'g')) as s from conversations where role = 'user'),
   u as (select query_id, lower(s) as k, min({'p': position, 's': s}) as m from r where length(s) between 8 and 120 and lower(s) <> 'what now' group by 1, 2),
   o as (select query_id, cast(row_number() over (partition by query_id order by m.p, m.s) as integer) as n, m.s as suggestion from u)

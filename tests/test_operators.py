@@ -9,6 +9,7 @@ from quillgraph.api import Engine, Forbidden
 from quillgraph.config import UrlRules
 from quillgraph.functions import expr as E
 from quillgraph.operators import dedup, graph, html, kg, lookup, providers, rank, router, search, store, web
+from quillgraph.sources import scans
 from quillgraph.streaming import incremental
 
 RULES = UrlRules(host_suffixes=("lib.example.edu",))
@@ -438,3 +439,48 @@ def test_acronyms_of_a_large_alias_table(spark):
     q = spark.createDataFrame([(1, "where is zq19999 and ZQ3?"), (2, "nothing here")], "query_id long, text string")
     got = {x["query_id"]: x["expanded"] for x in router.expand_acronyms(q, aliases).collect()}
     assert got == {1: "where is zq19999 and ZQ3? (ZQ19999 = Long name 19999; ZQ3 = Long name 3)", 2: "nothing here"}
+
+
+def test_ego_view_finds_its_center_by_alias(spark):
+    f = spark.createDataFrame
+    tables = {
+        "entities": f([("e2", "Msc Data", ["DSA"]), ("e1", "Other", None), ("e3", None, None)], "entity_id string, name string, aliases array<string>"),
+        "blocks": f([(f"b{i}", "u", None, "H" * 60 if i else None) for i in range(7)], "block_id string, url string, content string, heading_context string"),
+        "mentions": f([("e2", f"b{i}", "u") for i in (6, 5, 4, 3, 2, 0, 0)], "entity_id string, block_id string, url string"),
+        "topics": f([("e2", "t"), ("e2", "t"), ("e2", ""), ("e1", "x")], "entity_id string, keyword string"),
+        "edges": f([("e1", "e2", "knows"), ("e2", "e1", "knows"), ("e2", "gone", "knows"), ("e2", "e2", "self"), ("e3", "e2", "likes")], "src string, dst string, relation_type string").withColumn("weight", F.lit(1)),
+    }
+    rows = Engine(tables).graph_data("dsa").collect()
+    assert sorted((r["type"], r["id"], r["label"]) for r in rows if r["kind"] == "node") == [
+        ("Block", "b0", "Block"), *[("Block", f"b{i}", "H" * 50) for i in (2, 3, 4, 5)], ("Entity", "e1", "Other"), ("Entity", "e2", "Msc Data"), ("Entity", "e3", "e3"), ("TopicKeyword", "t", "t"),
+    ]
+    assert sorted((r["id"], r["dst"], r["type"]) for r in rows if r["kind"] == "edge" and r["type"] in ("knows", "likes")) == [("e2", "e1", "knows"), ("e2", "e1", "knows"), ("e2", "e3", "likes")]
+    assert Engine(tables).graph_data("nobody").count() == 0
+
+
+def test_scans_of_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"url": "http://a/x?q=1",\n "title": "A", "outgoing_links": [{"url": "http://b", "anchor_text": "b"}]}')
+    (tmp_path / "b.json").write_text("not json")
+    store_ = str(tmp_path / "*.json")
+    rows = scans.page_store(spark, store_).collect()
+    assert [(r["title"], r["outgoing_links"][0]["anchor_text"]) for r in rows] == [("A", "b")]
+    assert [r["url"] for r in scans.existing_urls(spark, store_).collect()] == ["http://a/x"]
+    (tmp_path / "f.jsonl").write_text('{"url": "http://a"}\n{cut\n\n{"no": 1}\n{"url": "http://c", "more": 2}\n')
+    assert {r["url"] for r in scans.frontier(spark, str(tmp_path / "f.jsonl")).collect()} == {"http://a", "http://c"}
+    assert scans.config(str(tmp_path / "none.yaml")) == {}
+    codes = spark.createDataFrame([(200,), (204,), (408,), (429,), (500,), (503,), (404,), (301,), (None,)], "status int")
+    assert [r["c"] for r in codes.select(scans.retry_class().alias("c")).collect()] == ["ok", "ok", "retry", "retry", "retry", "retry", "terminal", "terminal", "terminal"]
+
+
+def test_fetched_documents_backfill_and_references(spark):
+    names = ("url", "source_url", "title", "og_title", "description", "og_description", "markdown", "html")
+    docs = spark.createDataFrame([(None, "http://a/fee/x", "", "OG", None, None, "m", "h"), ("http://b/comp/course/1", "http://z", "T", "OG", "D", "OD", None, None)], ", ".join(f"{n} string" for n in names))
+    out = {r["url"]: (r["title"], r["meta_description"], r["department"], r["page_type"]) for r in scans.fetched_documents(docs, "now").collect()}
+    assert out == {"http://a/fee/x": ("OG", "", "FEE", "fee"), "http://b/comp/course/1": ("T", "D", "COMP", "course")}
+    links = spark.createDataFrame([("http://a/study/x/faq",), ("http://a/study/x/faq",), ("http://a/study/y/curriculum",), ("http://a/news",)], "to_url string")
+    assert [r["url"] for r in web.backfill(links, spark.createDataFrame([("http://a/study/y/curriculum",)], "url string")).collect()] == ["http://a/study/x/faq"]
+    blocks = spark.createDataFrame([("u", 1, "x", "one"), ("u", 2, " ", "blank"), ("v", 1, "y", "other")], "url string, position int, content string, block_id string")
+    refs = spark.createDataFrame([("u", " b1"), ("u", "B2"), ("u", "B3"), ("v", "B1"), ("v", None)], "url string, ref string")
+    assert {(r["url"], r["block_id"]) for r in kg.block_refs(refs, blocks).collect()} == {("u", "one"), ("v", "other")}
+    asked = spark.createDataFrame([("q", 'Standalone question: "What is X?"'), ("q", ""), ("q", None), ("q", "y" * 301), ("q", "'q'")], "raw string, rewritten string")
+    assert [r["c"] for r in asked.select(router.contextual(F.col("raw"), F.col("rewritten")).alias("c")).collect()] == ["What is X?", "q", "q", "q", "q"]
