@@ -188,3 +188,27 @@ def test_nearest_blocks_are_brute_force(spark, monkeypatch):
         if i % 40 == 1:
             want = sorted((-round(cos(v, w), 6) + 0.0, j) for j, w in vs)[:6]
             assert [(j, s) for _, j, s in sorted(got[i])] == [(j, -s + 0.0) for s, j in want]
+
+
+def test_names_side_by_side_have_the_plain_ratio():
+    rng = random.Random(2)
+    some = ["".join(rng.choice("abcé 好") for _ in range(n)) for n in (0, 1, 5, 63, 64, 65, 127, 128, 129, 200) for _ in range(4)]
+    coded = names.Coded(some)
+    for a in some:
+        assert coded.ratios(a, np.ones(len(some), bool)).tolist() == [names.indel_ratio(a, b) for b in some]
+
+
+def test_only_names_that_may_merge_wait_for_each_other(spark):
+    # near by vector and of one surname, but far too unlike for review: each would have met all others in one component
+    rows = [(i, f"{'abcdefghij'[i % 10] * 9} {'klmnopqrst'[i // 10] * 9} Ng", "PERSON", None, [2.0] + [float(k == i) for k in range(60)] + [0.0]) for i in range(60)]
+    rows += [(100 + n, name, "PERSON", None, [0.0] * 61 + [1.0]) for n, name in enumerate(["Ada Lovelace", "Ada Lovelac"])]
+    mentions = spark.createDataFrame(rows, "ordinal long, name string, kind string, canonical string, vec array<double>")
+    found, _ = resolution.registry(mentions)
+    none = spark.createDataFrame([], "kind string, name string, entity long, place long")
+    near, deep = resolution._cosines(found, P)
+    assert deep.count() == 59
+    movable, rivals = resolution.candidates(found, none, near, P)
+    assert [r["a"] for r in movable.collect()] == ["Ada Lovelac"]
+    assert rivals.count() == 1
+    got = {r["ordinal"]: (r["entity_name"], r["action"]) for r in resolution.resolve(mentions).collect()}
+    assert got == plain_resolve(rows, P)
