@@ -212,3 +212,26 @@ def test_only_names_that_may_merge_wait_for_each_other(spark):
     assert rivals.count() == 1
     got = {r["ordinal"]: (r["entity_name"], r["action"]) for r in resolution.resolve(mentions).collect()}
     assert got == plain_resolve(rows, P)
+
+
+def test_nearest_of_other_ids_and_of_one_label(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-2, 3, 3).astype(float).tolist(), None if i % 11 == 0 else i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    asked = df.where("vec_id % 20 = 1").selectExpr("vec_id as query_id", "embedding as qvec", "label as qlabel")
+    monkeypatch.setattr(blocks, "ROWS", 30)
+    from quillgraph.operators import search
+
+    def cos(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return float(np.dot(a, b) / n) if n else 0.0
+
+    for same in (None, ("label", "qlabel")):
+        hits = search.knn(df, asked, 5, other=True, same=same)
+        got = {}
+        for r in hits.collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+        for i, v, label in rows:
+            if i % 20 == 1:
+                want = sorted((-round(cos(v, w), 6) + 0.0, j) for j, w, x in rows if j != i and (same is None or (x is not None and x == label)))[:5]
+                assert [(j, s) for _, j, s in sorted(got.get(i, []))] == [(j, -s + 0.0) for s, j in want], i
