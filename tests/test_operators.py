@@ -484,3 +484,22 @@ def test_fetched_documents_backfill_and_references(spark):
     assert {(r["url"], r["block_id"]) for r in kg.block_refs(refs, blocks).collect()} == {("u", "one"), ("v", "other")}
     asked = spark.createDataFrame([("q", 'Standalone question: "What is X?"'), ("q", ""), ("q", None), ("q", "y" * 301), ("q", "'q'")], "raw string, rewritten string")
     assert [r["c"] for r in asked.select(router.contextual(F.col("raw"), F.col("rewritten")).alias("c")).collect()] == ["What is X?", "q", "q", "q", "q"]
+
+
+def test_a_stored_index_shuffles_no_posting_as_a_row(spark, tmp_path, monkeypatch):
+    from quillgraph.operators import bm25
+
+    monkeypatch.setattr(bm25, "GROUP", 3)
+    docs = [(1, "b a a c"), (2, None), (3, ""), (4, "a"), (5, "c, C b!"), (6, "zz é 9"), (7, "a b"), (8, "...")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    index = bm25.build(df, str(tmp_path / "index"), "v")
+    rows = index.groups.collect()
+    got = {(r["term"], d): round(g, 9) for r in rows for d, g in zip(r["docs"], r["gains"])}
+    assert all(r["docs"] == sorted(r["docs"]) and r["most"] == max(r["gains"]) for r in rows)
+    lens = {1: 4, 3: 0, 4: 1, 5: 3, 6: 2, 7: 2, 8: 0}
+    mean = sum(lens.values()) / len(lens)
+    tf = {("a", 1): 2, ("b", 1): 1, ("c", 1): 1, ("a", 4): 1, ("c", 5): 2, ("b", 5): 1, ("zz", 6): 1, ("9", 6): 1, ("a", 7): 1, ("b", 7): 1}
+    assert got == {(t, d): round(n * 2.5 / (n + 1.5 * (0.25 + 0.75 * lens[d] / mean)), 9) for (t, d), n in tf.items()}
+    assert sorted(d for r in index.members.collect() for d in r["ids"]) == list(range(1, 9))
+    assert {r["term"]: r["df"] for r in index.terms.collect()} == {"a": 3, "b": 3, "c": 2, "zz": 1, "9": 1}
+    assert not (tmp_path / "index" / "counts").exists()  # the rows of single postings that were written before
