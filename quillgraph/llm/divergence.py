@@ -21,7 +21,7 @@ from quillgraph.llm.common import materialize, partitions
 from quillgraph.llm.words import byte_classes, held, words_of
 
 #: Bytes of text counted at a time; terms in a slice, about; groups in a team.
-BLOCK, SLICE, TEAM = 12 << 20, 4096, 8
+BLOCK, SLICE, TEAM = 6 << 20, 4096, 8
 LEAST, TOP, SCALE = 10, 10, 1_000_000_000
 #: Fixed by the contract: a term is of letters A-Z and a-z and of what is not ASCII.
 KINDS = byte_classes(bytes([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
