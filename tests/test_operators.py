@@ -503,3 +503,22 @@ def test_a_stored_index_shuffles_no_posting_as_a_row(spark, tmp_path, monkeypatc
     assert sorted(d for r in index.members.collect() for d in r["ids"]) == list(range(1, 9))
     assert {r["term"]: r["df"] for r in index.terms.collect()} == {"a": 3, "b": 3, "c": 2, "zz": 1, "9": 1}
     assert not (tmp_path / "index" / "counts").exists()  # the rows of single postings that were written before
+
+
+def test_largest_gains_are_read_for_the_terms_that_are_asked(spark, tmp_path, monkeypatch):
+    from quillgraph.operators import bm25
+
+    monkeypatch.setattr(bm25, "GROUP", 2)
+    docs = spark.createDataFrame([(i, "a " * (1 + i % 5) + "b" * (i % 2)) for i in range(12)] + [(12, "z")], "doc_id long, text string")
+    index = bm25.build(docs, str(tmp_path / "index"), "v")
+    assert index.terms.columns == ["term", "df", "idf"]  # the build gathers no gains of any term
+    assert not (tmp_path / "index" / "best").exists()
+    own = {}
+    for r in index.groups.collect():
+        own.setdefault(r["term"], []).extend(r["gains"])
+    best = {r["term"]: r["best"] for r in bm25._best(index.groups, 3).collect()}
+    assert best == {t: sorted(g, reverse=True)[:3] for t, g in own.items()}
+    asked = spark.createDataFrame([(1, "b z"), (2, "a"), (3, "none")], "item_id long, text string")
+    every = {(r["query_id"], r["doc_id"], r["rank"]) for r in bm25.search(index, asked, 13, query_id="item_id").collect()}
+    few = {(r["query_id"], r["doc_id"], r["rank"]) for r in bm25.search(index, asked, 3, query_id="item_id").collect()}
+    assert few == {x for x in every if x[2] <= 3} and len(few) == 9
