@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -29,12 +30,13 @@ class Forbidden(RuntimeError):
 @dataclass
 class Engine:
     """``tables`` has blocks, vectors, nodes, edges, pages, links, mentions, entities as far as the verbs in use need them;
-    ``index`` is the stored sparse index of the blocks, if there is one."""
+    ``index`` is the stored sparse index of the blocks, if there is one, or a function that gives it to the mode that reads it.
+    Mentions without url and tokens take those of their blocks."""
 
     tables: dict[str, DataFrame]
     settings: Settings = Settings()
     forbidden: frozenset[str] = frozenset()
-    index: bm25.Index | None = None
+    index: bm25.Index | Callable[[], bm25.Index] | None = None
 
     def table(self, name: str) -> DataFrame:
         if name in self.forbidden:
@@ -119,10 +121,18 @@ class Engine:
         near = search.knn(self.table("entities"), questions.select("query_id", "qvec"), k, id_col="id")
         return near.select("query_id", "id", F.col("score").alias("weight"))
 
+    def _cut_edges(self) -> DataFrame:
+        """The edges as a table: a mode reads them from both ends and for each hop, and what makes them runs once."""
+        return written(self.table("edges").select("src", "dst", "relation_type", "weight"), "edges")
+
+    def _mentioned(self) -> DataFrame | None:
+        """The blocks, where mentions leave their urls and sizes to them."""
+        return None if {"url", "tokens"} <= set(self.table("mentions").columns) else self.table("blocks")
+
     def reasoning(self, questions: DataFrame) -> DataFrame:
         """Mode C: blocks of the entities near the question and of their neighbours."""
         seeds = self._seeds(questions)
-        return modes.reasoning(self.table("edges"), self.table("mentions"), seeds, seeds.limit(0))
+        return modes.reasoning(self._cut_edges(), self.table("mentions"), seeds, seeds.limit(0), blocks=self._mentioned())
 
     def subgraph(self, questions: DataFrame) -> DataFrame:
         """Mode D's edges: (query_id, a, b, relation_type, weight, rank) among the entities near the question and around."""
@@ -130,7 +140,7 @@ class Engine:
 
     def subgraph_blocks(self, questions: DataFrame) -> DataFrame:
         """Mode D's blocks, within what its edges leave of the token budget."""
-        return modes.subgraph_blocks(self.table("edges"), self.table("mentions"), self._seeds(questions))
+        return modes.subgraph_blocks(self._cut_edges(), self.table("mentions"), self._seeds(questions), blocks=self._mentioned())
 
     def layered_slice(self, anchor: str | list[str], max_nodes: int = 80) -> DataFrame:
         """The page of an anchor (a url, or an entity's name, alias or id), its blocks, entities, topics and relations, as nodes
@@ -142,7 +152,8 @@ class Engine:
 
     def direct(self, questions: DataFrame) -> DataFrame:
         """Mode A; the score is that of the fused ranks."""
-        return modes.direct(self.table("blocks"), self.table("vectors"), questions, self.settings.retrieval, index=self.index).withColumnRenamed("rrf", "score")
+        index = self.index() if callable(self.index) else self.index
+        return modes.direct(self.table("blocks"), self.table("vectors"), questions, self.settings.retrieval, index=index).withColumnRenamed("rrf", "score")
 
     def graph_stats(self) -> DataFrame:
         return graph.stats(self.table("nodes"), self.table("edges"))

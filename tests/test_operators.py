@@ -522,3 +522,34 @@ def test_largest_gains_are_read_for_the_terms_that_are_asked(spark, tmp_path, mo
     every = {(r["query_id"], r["doc_id"], r["rank"]) for r in bm25.search(index, asked, 13, query_id="item_id").collect()}
     few = {(r["query_id"], r["doc_id"], r["rank"]) for r in bm25.search(index, asked, 3, query_id="item_id").collect()}
     assert few == {x for x in every if x[2] <= 3} and len(few) == 9
+
+
+def test_hits_lie_as_a_table_and_mode_d_needs_no_sparse_index(spark, sf, monkeypatch):
+    from quillgraph.operators import search
+    from quillgraph.plans import retrieval
+
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "vec_id long, embedding array<float>")
+    hits = search.knn(vectors, vectors.where("vec_id < 2").selectExpr("vec_id as query_id", "embedding as qvec"), 3)
+    plan = hits._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "Join" not in plan  # read again, a search is not run again
+    assert hits.count() == 6
+
+    def forbidden(*_):
+        raise AssertionError("mode D asked for the sparse index")
+
+    monkeypatch.setattr(retrieval, "_index", forbidden)
+    assert retrieval.query_mode_d(spark, sf).count() > 0
+
+
+def test_mentions_may_leave_urls_and_sizes_to_their_blocks(spark):
+    from quillgraph.operators import modes
+
+    edges = spark.createDataFrame([("a", "b", "r", 2), ("b", "c", "r", 1)], "src string, dst string, relation_type string, weight long")
+    seeds = spark.createDataFrame([(1, "a", 0.9), (2, "c", 0.8)], "query_id long, id string, weight double")
+    blocks = spark.createDataFrame([(1, "u", 10), (2, "u", 500), (3, None, None), (3, "v", 7), (4, "w", 1)], "doc_id long, url string, tokens int")
+    said = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 3), ("a", 3), ("c", 9)], "entity_id string, block_id long").selectExpr("*", "cast(null as double) as cosine")
+    full = said.join(blocks.withColumnRenamed("doc_id", "block_id"), "block_id")
+    for mode in (modes.reasoning, modes.subgraph_blocks):
+        args = (seeds, seeds.limit(0)) if mode is modes.reasoning else (seeds,)
+        want = sorted(mode(edges, full, *args).collect())
+        assert want and sorted(mode(edges, said, *args, blocks=blocks).collect()) == want
