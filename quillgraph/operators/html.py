@@ -35,8 +35,8 @@ CLOSES = {
 } | {t: {"p"} for t in ("div", "article", "section", "header", "footer", "nav", "ul", "ol", "table", "form", "main", "aside", "pre", "blockquote", *HEADINGS)}
 #: Elements whose text is asked for by itself.
 NAMED = ("title", "a", *HEADINGS)
-#: A batch of pages is handed on in parts of about this many nodes.
-NODES = 50_000
+#: A batch of pages is read in parts of so many pages, and handed on in parts of about this many nodes.
+PAGES, NODES = 64, 10_000
 _CJK = re.compile("[\u4e00-\u9fff\u3400-\u4dbf]")
 
 NODE_SCHEMA = (
@@ -163,8 +163,8 @@ def nodes(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[str, list] = {c: [] for c in schema.names}
-        for batch in batches:
-            for page, url, html in zip(*[batch.column(c).to_pylist() for c in ("page", "url", "html")], strict=True):
+        for part in (batch.slice(at, PAGES) for batch in batches for at in range(0, batch.num_rows, PAGES)):
+            for page, url, html in zip(*[part.column(c).to_pylist() for c in ("page", "url", "html")], strict=True):
                 cols = _outline(html or "")
                 n = len(cols["pre"])
                 cols |= {"page": [page] * n, "url": [url or ""] * n, "href": [h if not h else _joined(url or "", h) for h in cols["href"]]}

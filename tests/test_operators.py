@@ -553,3 +553,13 @@ def test_mentions_may_leave_urls_and_sizes_to_their_blocks(spark):
         args = (seeds, seeds.limit(0)) if mode is modes.reasoning else (seeds,)
         want = sorted(mode(edges, full, *args).collect())
         assert want and sorted(mode(edges, said, *args, blocks=blocks).collect()) == want
+
+
+def test_pages_are_read_in_small_parts_with_the_same_nodes(spark, monkeypatch):
+    from quillgraph.operators import html
+
+    pages = spark.createDataFrame([(f"http://a/{i}", f"<h1>t{i}</h1><p>x <a href='b'>y</a></p>" * (1 + i % 3)) for i in range(7)], "url string, html string").coalesce(1)
+    whole = sorted((r["url"], r["pre"], r["tag"] or "", r["text"] or "") for r in html.nodes(pages).collect())
+    monkeypatch.setattr(html, "PAGES", 2)
+    monkeypatch.setattr(html, "NODES", 5)
+    assert whole and sorted((r["url"], r["pre"], r["tag"] or "", r["text"] or "") for r in html.nodes(pages).collect()) == whole
