@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Edges that a task sorts, at least and at most, about; buckets in which their pairs are counted.
+ROWS, MOST, BUCKETS = 250_000, 4_000_000, 65_536
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], build: str) -> DataFrame:
     """New values win; created_build stays that of the first build, last_seen_build becomes ``build`` for new rows."""
@@ -43,10 +46,27 @@ def existing_ends(edges: DataFrame, left: DataFrame, right: DataFrame, lcol: str
 
 
 def contains_after_dedup(contains: DataFrame, extra: DataFrame) -> DataFrame:
-    """Page-block edges with those that dedup adds: originals win; new ones are marked and take depth 0 where unknown."""
-    new = extra.select("url", "block_id", F.coalesce("depth", F.lit(0)).alias("depth"), F.lit(True).alias("via_dedup")).dropDuplicates(["url", "block_id"])
+    """Page-block edges with those that dedup adds, each once: originals win; new ones are marked and take depth 0 where unknown.
+
+    Of several originals, or several new ones, the smallest known depth counts. A new edge without page or block equals no original.
+    One pass counts the edges first: they go to the session's partitions, to fewer where these got under ``ROWS`` edges each,
+    to more where they got over ``MOST``. Pairs that come more often than a task's share are reduced before they travel.
+    """
     old = contains.select("url", "block_id", "depth", F.lit(False).alias("via_dedup"))
-    return old.unionByName(new.join(old.select("url", "block_id"), ["url", "block_id"], "left_anti"))
+    new = extra.select("url", "block_id", F.coalesce("depth", F.lit(0)).alias("depth"), F.lit(True).alias("via_dedup"))
+    edges = old.unionByName(new)
+    bucket = F.pmod(F.xxhash64("url", "block_id"), F.lit(BUCKETS))
+    sizes = edges.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
+    n, full = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.collect_list(F.when(F.col("n") > ROWS, F.struct("b", "n")))).first()
+    parts = max(1, min(n // ROWS, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))), n // MOST)
+    large = [x["b"] for x in full if x["n"] > n / parts]
+    if large:
+        few = edges.where(bucket.isin(large)).groupBy("url", "block_id", "via_dedup").agg(F.min("depth").alias("depth"))
+        edges = edges.where(~bucket.isin(large)).unionByName(few)
+    apart = F.col("via_dedup") & (F.isnull("url") | F.isnull("block_id"))
+    first = F.row_number().over(Window.partitionBy("url", "block_id", apart).orderBy("via_dedup", F.asc_nulls_last("depth")))
+    dealt = edges.repartition(parts, "url", "block_id")
+    return dealt.withColumn("k", first).where(F.col("k") == 1).drop("k")
 
 
 def touch(table: DataFrame, key: str, seen: DataFrame, build: str) -> DataFrame:

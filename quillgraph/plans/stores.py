@@ -96,7 +96,7 @@ def relation_replace(spark: SparkSession, d: str) -> DataFrame:
 
 def contains_after_dedup(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "lineitem")
-    old = t.select(F.col("l_orderkey").alias("url"), F.col("l_partkey").alias("block_id"), F.lit(1).alias("depth")).dropDuplicates(["url", "block_id"])
+    old = t.select(F.col("l_orderkey").alias("url"), F.col("l_partkey").alias("block_id"), F.lit(1).alias("depth"))
     extra = t.where("l_linenumber > 1").select((F.col("l_orderkey") + 1).alias("url"), F.col("l_partkey").alias("block_id"), F.when(F.col("l_partkey") % 2 == 0, F.lit(3)).alias("depth"))
     return store.contains_after_dedup(old, extra)
 

@@ -201,6 +201,34 @@ def test_upsert_orphans_and_ring(spark):
     assert nodes.where(store.is_orphan("b3", null_counts=True)).count() == 2
 
 
+EDGES = "url int, block_id int, depth int"
+
+
+def test_contains_edges_come_once_and_originals_win(spark):
+    old = spark.createDataFrame([(1, 1, 4), (1, 1, 2), (1, 1, None), (1, 2, None), (None, 3, 1), (None, 3, 1)], EDGES)
+    new = spark.createDataFrame([(1, 1, 0), (1, 2, 7), (2, 2, 5), (2, 2, 3), (3, 1, None), (3, 1, 6), (None, 3, 8), (None, 3, 9), (4, None, 2)], EDGES)
+    out = [tuple(r) for r in store.contains_after_dedup(old, new).collect()]
+    kept = [(1, 1, 2, False), (1, 2, None, False), (None, 3, 1, False)]
+    assert sorted(out, key=str) == sorted([*kept, (2, 2, 3, True), (3, 1, 0, True), (None, 3, 8, True), (4, None, 2, True)], key=str)
+    assert store.contains_after_dedup(old.limit(0), new.limit(0)).collect() == []
+
+
+def test_contains_edges_of_a_task_are_few_however_many_there_are(spark, monkeypatch):
+    monkeypatch.setattr(store, "ROWS", 20, raising=False)
+    monkeypatch.setattr(store, "MOST", 100, raising=False)
+    i = F.col("id").cast("int")
+    old = spark.range(2000).select((i % 701).alias("url"), (i % 3).alias("block_id"), (i % 5).alias("depth"))
+    new = spark.range(3000).select(F.when(i % 2 == 0, 9999).otherwise(i % 997).alias("url"), F.when(i % 2 == 0, 1).otherwise(i % 3).alias("block_id"), (i % 7 + 1).alias("depth"))
+    want = {}
+    for rows, via in ((old, False), (new, True)):
+        for url, block, depth in sorted(map(tuple, rows.collect())):
+            want.setdefault((url, block), (depth, via))
+    got = store.contains_after_dedup(old, new).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len(want) and {(r["url"], r["block_id"]): (r["depth"], r["via_dedup"]) for r in got} == want
+    tasks = [r["task"] for r in got]
+    assert max(tasks.count(t) for t in set(tasks)) < 200 < len(want) / 10
+
+
 def test_router(spark):
     q = spark.createDataFrame([(1, "which professors do NLP?"), (2, "MSc A vs MSc B"), (3, "library hours"), (4, "which professors work with Prof. Li")], "query_id int, text string")
     out = {r["query_id"]: (r["mode"], r["confidence"], r["rule"], r["alt_mode"]) for r in router.route(q).collect()}
