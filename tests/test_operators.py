@@ -591,3 +591,28 @@ def test_pages_are_read_in_small_parts_with_the_same_nodes(spark, monkeypatch):
     monkeypatch.setattr(html, "PAGES", 2)
     monkeypatch.setattr(html, "NODES", 5)
     assert whole and sorted((r["url"], r["pre"], r["tag"] or "", r["text"] or "") for r in html.nodes(pages).collect()) == whole
+
+
+def test_relevance_asks_every_vector(spark, sf):
+    from quillgraph.plans import retrieval
+
+    assert retrieval.relevance_hit_at_k(spark, sf).first()["n_queries"] == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_nearest_over_many_blocks_is_brute_force_with_ties_by_id(spark, monkeypatch, many):
+    import numpy as np
+
+    from quillgraph.operators import blocks
+
+    monkeypatch.setattr(blocks, "ROWS", 50)
+    n, k = 1300, 6  # two blocks of queries
+    grid = np.random.default_rng(7).integers(-2, 3, (n, 2)).astype(float)  # many equal vectors, some without length
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(grid)], "vec_id long, embedding array<float>").repartition(3)
+    hits = search.knn(vectors, vectors.selectExpr("vec_id as query_id", "embedding as qvec"), k, other=True, many=many)
+    norm = np.sqrt((grid * grid).sum(axis=1, keepdims=True))
+    unit = np.divide(grid, norm, out=np.zeros_like(grid), where=norm > 0)
+    scores = np.round(unit @ unit.T, 6) + 0.0
+    np.fill_diagonal(scores, -2)
+    want = {(i, int(j), r) for i in range(n) for r, j in enumerate(np.lexsort((np.arange(n), -scores[i]))[:k], 1)}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in hits.collect()} == want
