@@ -616,3 +616,16 @@ def test_nearest_over_many_blocks_is_brute_force_with_ties_by_id(spark, monkeypa
     np.fill_diagonal(scores, -2)
     want = {(i, int(j), r) for i in range(n) for r, j in enumerate(np.lexsort((np.arange(n), -scores[i]))[:k], 1)}
     assert {(r["query_id"], r["id"], r["rank"]) for r in hits.collect()} == want
+
+
+def test_a_sparse_search_joins_no_pairs_of_group_and_term(spark, monkeypatch):
+    from quillgraph.operators import bm25
+
+    monkeypatch.setattr(bm25, "GROUP", 4)
+    docs = spark.createDataFrame([(i, " ".join("abcdefgh"[(i * j) % 8] for j in range(1 + i % 5))) for i in range(40)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "b a"), (2, "c h h"), (3, "none")], "item_id long, text string")
+    found = bm25.search(bm25.temporary(docs), asked, 5, query_id="item_id")
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftSemi" in line]
+    # a list of such pairs grows with the documents, and Spark would collect it in the driver
+    assert joins and not any("term#" in line and "grp#" in line for line in joins)
+    assert found.count() == 15
