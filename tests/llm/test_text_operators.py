@@ -380,3 +380,20 @@ def test_repeated_rows_and_null_ids(spark):
     assert secrets.redact(df).count() == 5
     assert len(bpe.encode(df, vocabulary("word_bpe_49k.json")).collect()) == 5
     assert licenses.digest(licenses.scan(df)).count() == 5
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_sets_come_to_members_without_a_shuffle_of_texts(spark, monkeypatch, docs, texts, bits):
+    monkeypatch.setattr(ngram_join, "FILTER", bits)  # with few bits nearly all texts pass, and the join leaves them out
+    rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+    sets = {i: ngram_join.Shingler().sets([(t or "").encode()])[0][0] for i, t in enumerate(texts)}
+    names = {i: ngram_join.signature(s)[0] for i, s in sets.items() if len(s)}
+    want = {i: sets[i].tobytes() for i in sorted(names)[::3]}
+    members = spark.createDataFrame([(i, names[i]) for i in want], "rep long, cls long")
+    got = ngram_join._sets_of(rows, members)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("MapInArrow")[0]  # what lies over the reading of texts: one join, with sets
+    assert "LeftSemi" not in plan and above.count("Join") == 1
+    assert {r["rep"]: bytes(r["set"]) for r in got.collect()} == want
+    sizes, comp = brute_similar(texts)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar(docs).collect()} == {i: (sizes[i], comp[i]) for i in range(len(texts))}
