@@ -235,3 +235,14 @@ def test_nearest_of_other_ids_and_of_one_label(spark, monkeypatch):
             if i % 20 == 1:
                 want = sorted((-round(cos(v, w), 6) + 0.0, j) for j, w, x in rows if j != i and (same is None or (x is not None and x == label)))[:5]
                 assert [(j, s) for _, j, s in sorted(got.get(i, []))] == [(j, -s + 0.0) for s, j in want], i
+
+
+def test_many_names_side_by_side_have_the_plain_ratio(monkeypatch):
+    monkeypatch.setattr(names, "PAIRS", 7)
+    rng = random.Random(3)
+    some = ["".join(rng.choice("abcé 好") for _ in range(n)) for n in (0, 1, 5, 63, 64, 65, 127, 128, 129, 200) for _ in range(3)]
+    wanted = np.random.default_rng(3).random((len(some), len(some))) < 0.7
+    got = names.Coded(some).all_ratios(some, wanted)
+    assert got.tolist() == [[names.indel_ratio(a, b) if wanted[i, j] else -1.0 for j, b in enumerate(some)] for i, a in enumerate(some)]
+    assert names.Coded([""]).all_ratios(["", "a"], np.ones((2, 1), bool)).tolist() == [[1.0], [0.0]]
+    assert names.Coded([]).all_ratios(["a"], np.ones((1, 0), bool)).shape == (1, 0)
